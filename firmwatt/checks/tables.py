@@ -118,7 +118,11 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("ghi_kwh"),
         )
     )
-    return hourly.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(STATIONS - 1)))).selectExpr(
+    stations = hourly.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(STATIONS - 1))))
+    # The hourly table is tiny and each of its rows drives many turbines and arrays, so
+    # it is spread over all cores before it fans out.
+    spread = stations.repartition(spark.sparkContext.defaultParallelism, "s", "ts")
+    return spread.selectExpr(
         "CAST(s AS BIGINT) AS series_id",
         "ts",
         "wind * (0.9D + 0.05D * s) AS wind",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -30,19 +30,11 @@ def polynomial(x: Column, coefficients: list[float]) -> Column:
     return result
 
 
-def refine(
-    df: DataFrame,
-    name: str,
-    start: Column,
-    step: Callable[[Column], Column],
-    times: int,
-) -> DataFrame:
-    """A fixed number of solver steps as chained projections.
+def refine(start: Column, step: Callable[[Column], Column], times: int) -> Column:
+    """The result of a fixed number of solver steps from ``start``.
 
-    Each step is one projection on the column before it, so the whole solver
-    stays inside whole-stage codegen and no row is multiplied.
+    The steps are folded inside one expression of constant size, so a filter on the
+    result can be pushed below it without growing.
     """
-    df = df.withColumn(name, start)
-    for _ in range(times):
-        df = df.withColumn(name, step(F.col(name)))
-    return df
+    rounds = F.array_repeat(F.lit(0), times)
+    return F.aggregate(rounds, start, lambda value, _: step(value))

@@ -6,15 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmwatt.constants import BAND_GAP_EV, BAND_GAP_SLOPE, BOLTZMANN_EV
-from firmwatt.functions.numeric import refine
 from firmwatt.functions.text import technology_code
 
 # Solver steps. Each start lies close to its root, on the side from which the steps
 # are monotone.
-PEAK_STEPS = 6
-OPEN_STEPS = 4
-SHORT_STEPS = 3
-CURVE_STEPS = 7
+STEPS = 4
+CURVE_STEPS = 6
 
 
 def normalize_technology(modules: DataFrame) -> DataFrame:
@@ -51,64 +48,90 @@ def circuit_params(df: DataFrame, gap_slope: float = BAND_GAP_SLOPE) -> DataFram
     )
 
 
+def _diode(df: DataFrame, *roots: str) -> DataFrame:
+    """Current and its slope at the diode voltage in each named column."""
+    col = F.col
+    df = df.withColumns({f"_e{u}": col("i0") * F.exp(col(u) / col("a")) for u in roots})
+    found = {}
+    for u in roots:
+        found[f"_i{u}"] = col("il") + col("i0") - col(f"_e{u}") - col(u) / col("rsh")
+        found[f"_d{u}"] = -col(f"_e{u}") / col("a") - F.lit(1.0) / col("rsh")
+    return df.withColumns(found)
+
+
+def _at_voltage(u: str, target: Column) -> Column:
+    """One step towards the diode voltage at which the module shows ``target``."""
+    col = F.col
+    return col(u) - (col(u) - col("rs") * col(f"_i{u}") - target) / (
+        F.lit(1.0) - col("rs") * col(f"_d{u}")
+    )
+
+
 def max_power_point(df: DataFrame) -> DataFrame:
     """Characteristic points of the single-diode curve per row.
 
     With the diode voltage ``u``, current ``I(u) = il - i0 (e^(u/a) - 1) - u/rsh``
-    and voltage ``V(u) = u - I rs`` are explicit, so every point is a root in ``u``
-    that a fixed number of Newton steps finds inside the row's own projection: no
-    operating point is expanded into a sweep. Rows without light give zeros.
+    and voltage ``V(u) = u - I rs`` are explicit, so every point is a root in ``u``.
+    A fixed number of Newton steps, chained as projections, finds it inside the row:
+    no operating point is expanded into a sweep. Rows without light give zeros.
+
+    Store the result before filtering on it: a filter would be pushed below the
+    projections and drag all steps along.
     """
     col = F.col
+    kept = df.columns
     il, i0, rs, rsh, a = (col(c) for c in ("il", "i0", "rs", "rsh", "a"))
     lit = (il > 0) & rsh.isNotNull()
-
-    def current(u: Column) -> Column:
-        return il - i0 * (F.exp(u / a) - 1) - u / rsh
-
-    def slope(u: Column) -> Column:
-        return -(i0 / a) * F.exp(u / a) - F.lit(1.0) / rsh
-
-    def bend(u: Column) -> Column:
-        return -(i0 / (a * a)) * F.exp(u / a)
-
-    def peak_step(u: Column) -> Column:
-        i, d, c = current(u), slope(u), bend(u)
-        v, dv = u - i * rs, F.lit(1.0) - d * rs
-        return u - (d * v + i * dv) / (c * v + d * dv * 2 - i * c * rs)
-
-    def at_voltage(target: Column):
-        def step(u: Column) -> Column:
-            return u - (u - rs * current(u) - target) / (F.lit(1.0) - rs * slope(u))
-
-        return step
-
     df = df.withColumn("_top", F.when(lit, a * F.log(il / i0 + 1)))
+
     # At the peak e^(u/a) i0 (1 + (u - 2 I rs) / a) is about il; u and I are bounded
     # here so that the start is not below the root.
     reach = F.greatest(col("_top") - a * 4 - il * rs * 2, F.lit(0.0))
-    nearby = col("_top") - a * F.log(reach / a + 1)
-    df = refine(df, "_peak", nearby, peak_step, PEAK_STEPS)
-    df = refine(df, "_open", col("_top"), lambda u: u - current(u) / slope(u), OPEN_STEPS)
-    df = refine(df, "_short", F.when(lit, il * rs), at_voltage(F.lit(0.0)), SHORT_STEPS)
-    df = df.withColumns({"_i": current(col("_peak")), "_isc": current(col("_short"))})
-    df = df.withColumn("_v", col("_peak") - col("_i") * rs)
-    half, upper = col("_open") / 2, (col("_open") + col("_v")) / 2
-    start = lambda target: F.least(target + il * rs, col("_open"))
-    df = refine(df, "_x", start(half), at_voltage(half), CURVE_STEPS)
-    df = refine(df, "_xx", start(upper), at_voltage(upper), CURVE_STEPS)
+    df = df.withColumns(
+        {
+            "_peak": col("_top") - a * F.log(reach / a + 1),
+            "_open": col("_top"),
+            "_short": F.when(lit, il * rs),
+        }
+    )
+    for _ in range(STEPS):
+        df = _diode(df, "_peak", "_open", "_short")
+        i, d, c = col("_i_peak"), col("_d_peak"), -col("_e_peak") / (a * a)
+        v, dv = col("_peak") - i * rs, F.lit(1.0) - d * rs
+        df = df.withColumns(
+            {
+                "_peak": col("_peak") - (d * v + i * dv) / (c * v + d * dv * 2 - i * c * rs),
+                "_open": col("_open") - col("_i_open") / col("_d_open"),
+                "_short": _at_voltage("_short", F.lit(0.0)),
+            }
+        )
+    df = _diode(df, "_peak", "_short")
+    df = df.withColumn("_v", col("_peak") - col("_i_peak") * rs)
+
+    df = df.withColumns({"_t_x": col("_open") / 2, "_t_xx": (col("_open") + col("_v")) / 2})
+    df = df.withColumns(
+        {
+            "_x": F.least(col("_t_x") + il * rs, col("_open")),
+            "_xx": F.least(col("_t_xx") + il * rs, col("_open")),
+        }
+    )
+    for _ in range(CURVE_STEPS):
+        df = _diode(df, "_x", "_xx")
+        df = df.withColumns(
+            {"_x": _at_voltage("_x", col("_t_x")), "_xx": _at_voltage("_xx", col("_t_xx"))}
+        )
+    df = _diode(df, "_x", "_xx")
     found = {
-        "i_sc": col("_isc"),
+        "i_sc": col("_i_short"),
         "v_oc": col("_open"),
-        "i_mp": col("_i"),
+        "i_mp": col("_i_peak"),
         "v_mp": col("_v"),
-        "p_mp": col("_i") * col("_v"),
-        "i_x": current(col("_x")),
-        "i_xx": current(col("_xx")),
+        "p_mp": col("_i_peak") * col("_v"),
+        "i_x": col("_i_x"),
+        "i_xx": col("_i_xx"),
     }
-    return df.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in found.items()}).drop(
-        "_top", "_peak", "_open", "_short", "_i", "_isc", "_v", "_x", "_xx"
-    )
+    values = [F.coalesce(v, F.lit(0.0)).alias(k) for k, v in found.items()]
+    return df.select(*kept, *values)
 
 
 def string_scaling(df: DataFrame) -> DataFrame:

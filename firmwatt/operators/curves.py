@@ -7,7 +7,8 @@ per turbine.
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,42 +78,51 @@ def correct_curves(points: DataFrame, models: DataFrame, densities: DataFrame) -
     )
 
 
-def not_a_knot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Local cubic coefficients of the interpolating spline, one row per interval."""
-    h, slope = np.diff(x), np.diff(y) / np.diff(x)
-    size = len(x)
-    a, b = np.zeros((size, size)), np.zeros(size)
-    for i in range(1, size - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        b[i] = 3 * (slope[i] - slope[i - 1])
-    # Third derivatives agree across the second and the last but one knot.
-    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    c2 = np.linalg.solve(a, b)
-    c3 = np.diff(c2) / (3 * h)
-    c1 = slope - h * (2 * c2[:-1] + c2[1:]) / 3
-    return np.column_stack([y[:-1], c1, c2[:-1], c3])
-
-
-def _segments_of_curve(points: pd.DataFrame) -> pd.DataFrame:
-    """Segments of one curve (a few dozen points) for power and thrust."""
-    points = points.sort_values(["vcth", "idx"]).drop_duplicates("vcth", keep="first")
-    x = points["vcth"].to_numpy()
-    columns = SEGMENT_SCHEMA.replace(",", " ").split()[::2]
-    if len(x) < 4:
-        return pd.DataFrame(columns=columns)
-    parts = []
-    for quantity in ("p", "ct"):
-        coefficients = not_a_knot(x, points[quantity].to_numpy())
-        lo, hi = x[:-1].copy(), x[1:].copy()
-        lo[0], hi[-1] = -np.inf, np.inf
-        part = pd.DataFrame(coefficients, columns=["c0", "c1", "c2", "c3"])
-        part = part.assign(quantity=quantity, seg=np.arange(len(lo)), x0=x[:-1], lo=lo, hi=hi)
-        parts.append(part)
-    result = pd.concat(parts)
-    result["model_id"] = points["model_id"].iloc[0]
-    result["rho_mean"] = points["rho_mean"].iloc[0]
-    return result[columns]
+def _segment_builder() -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The per-curve function. It is a closure, so it reaches the workers by value
+    and they need no copy of this package."""
+    columns = [part.split()[0] for part in SEGMENT_SCHEMA.split(",")]
+
+    def not_a_knot(x, y):
+        import numpy as np
+
+        h, slope = np.diff(x), np.diff(y) / np.diff(x)
+        size = len(x)
+        a, b = np.zeros((size, size)), np.zeros(size)
+        for i in range(1, size - 1):
+            a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+            b[i] = 3 * (slope[i] - slope[i - 1])
+        # Third derivatives agree across the second and the last but one knot.
+        a[0, :3] = h[1], -(h[0] + h[1]), h[0]
+        a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+        c2 = np.linalg.solve(a, b)
+        c3 = np.diff(c2) / (3 * h)
+        c1 = slope - h * (2 * c2[:-1] + c2[1:]) / 3
+        return np.column_stack([y[:-1], c1, c2[:-1], c3])
+
+    def build(points: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+        import pandas as pd
+
+        points = points.sort_values(["vcth", "idx"]).drop_duplicates("vcth", keep="first")
+        x = points["vcth"].to_numpy()
+        if len(x) < 4:
+            return pd.DataFrame(columns=columns)
+        parts = []
+        for quantity in ("p", "ct"):
+            coefficients = not_a_knot(x, points[quantity].to_numpy())
+            lo, hi = x[:-1].copy(), x[1:].copy()
+            lo[0], hi[-1] = -np.inf, np.inf
+            part = pd.DataFrame(coefficients, columns=["c0", "c1", "c2", "c3"])
+            parts.append(
+                part.assign(quantity=quantity, seg=np.arange(len(lo)), x0=x[:-1], lo=lo, hi=hi)
+            )
+        result = pd.concat(parts)
+        result["model_id"] = points["model_id"].iloc[0]
+        result["rho_mean"] = points["rho_mean"].iloc[0]
+        return result[columns]
+
+    return build
 
 
 def curve_segments(corrected: DataFrame) -> DataFrame:
@@ -123,7 +133,9 @@ def curve_segments(corrected: DataFrame) -> DataFrame:
     but for the first.
     """
     needed = corrected.select("model_id", "rho_mean", "idx", "vcth", "p", "ct")
-    return needed.groupBy("model_id", "rho_mean").applyInPandas(_segments_of_curve, SEGMENT_SCHEMA)
+    return needed.groupBy("model_id", "rho_mean").applyInPandas(
+        _segment_builder(), SEGMENT_SCHEMA
+    )
 
 
 def speed_bin(v: Column) -> Column:

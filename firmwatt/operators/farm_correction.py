@@ -16,21 +16,23 @@ HEIGHT_LIMIT = 10000.0
 HEIGHT_STEPS = 12
 
 
+def is_bracketed() -> Column:
+    """The layer height for the row's ``x_dist`` lies below the upper bracket."""
+    top = F.lit(HEIGHT_LIMIT)
+    return top * (F.log(top / F.col("z02")) - 1) >= F.col("x_dist") * 0.9
+
+
 def layer_height(df: DataFrame) -> DataFrame:
     """Internal boundary layer height ``ibl``: root of ``h (ln(h/z02) - 1) = 0.9 x``.
 
     NULL where ``x_dist`` is not positive or the root lies above the bracket.
     """
-    reach = F.col("x_dist") * 0.9
-    df = refine(
-        df,
-        "ibl",
+    root = refine(
         F.lit(HEIGHT_LIMIT),
-        lambda h: (h + reach) / F.log(h / F.col("z02")),
+        lambda h: (h + F.col("x_dist") * 0.9) / F.log(h / F.col("z02")),
         HEIGHT_STEPS,
     )
-    bracketed = F.lit(HEIGHT_LIMIT) * (F.log(F.lit(HEIGHT_LIMIT) / F.col("z02")) - 1) >= reach
-    return df.withColumn("ibl", F.when((F.col("x_dist") > 0) & bracketed, F.col("ibl")))
+    return df.withColumn("ibl", F.when((F.col("x_dist") > 0) & is_bracketed(), root))
 
 
 def profile_speed(v: Column, h: Column, z: Column, z01: Column, z02: Column) -> Column:
@@ -71,22 +73,22 @@ def behind_lead(hours: DataFrame, leads: DataFrame, turbines: DataFrame) -> Data
 
 
 def large_farm_correction(behind: DataFrame, mean_hubs: DataFrame) -> DataFrame:
-    """Corrected speeds of the turbines behind the lead one, where they change.
+    """Corrected speeds of the turbines behind the lead one, NULL where unchanged.
 
     One turbine without a solution leaves its whole farm hour uncorrected.
     """
-    positive = layer_height(behind.filter(F.col("x_dist") > 0)).join(mean_hubs, "plant_id")
-    unsolved = positive.filter(F.col("ibl").isNull()).select("plant_id", "ts").distinct()
+    positive = behind.filter(F.col("x_dist") > 0).join(mean_hubs, "plant_id")
+    unsolved = positive.filter(~is_bracketed()).select("plant_id", "ts").distinct()
     v = F.col("wind")
     h = F.col("ibl") + F.col("mean_hub") * (2 / 3)
     z = F.col("hub") - F.col("rotor_d") / 2
-    flat = profile_speed(v, h, z, F.col("z01"), F.col("z02"))
+    flat = profile_speed(v, F.col("h"), z, F.col("z01"), F.col("z02"))
     value = recovered_speed(v, F.col("flat"), F.col("x_dist"), F.col("rotor_d"))
+    solved = layer_height(positive.join(unsolved, ["plant_id", "ts"], "left_anti"))
     return (
-        positive.join(unsolved, ["plant_id", "ts"], "left_anti")
+        solved.withColumn("h", h)
         .withColumn("flat", flat)
-        .withColumn("corrected", value)
-        .filter(F.col("corrected") != v)
+        .withColumn("corrected", F.nullif(value, v))
         .select("plant_id", "ts", "turbine_id", "corrected")
     )
 

@@ -158,25 +158,24 @@ def wake_deficits(sources: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def wake_speeds(hours: DataFrame, pairs: DataFrame, segments: DataFrame) -> DataFrame:
+def wake_speeds(sources: DataFrame, pairs: DataFrame) -> DataFrame:
     """Speed of each turbine behind the wakes of the others, as ``wake_speed``.
 
-    ``hours`` has one row per turbine and hour with ``wind, direction, rho,
-    rho_nom, radius, cre, model_id, rho_mean``. A farm hour in which any thrust
-    exceeds 1 has no defined wake and keeps its speeds. Deficits and the turbines'
-    own speeds meet in one aggregation, so no join back is needed.
+    ``sources`` has one row per turbine and hour with ``wind, direction, ta, rho,
+    thrust, radius, cre``. A farm hour in which any thrust exceeds 1 has no defined
+    wake and keeps its speeds. Deficits and the turbines' own rows meet in one
+    aggregation, so no join back is needed.
     """
-    sources = source_thrust(hours, segments)
     undefined = sources.filter(F.col("thrust") > 1).select("plant_id", "ts").distinct()
     deficits = wake_deficits(sources, pairs).join(undefined, ["plant_id", "ts"], "left_anti")
-    keys = ["plant_id", "ts", "turbine_id"]
-    own = hours.select(*keys, "wind", F.lit(0.0).alias("deficit"))
+    keys, own = ["plant_id", "ts", "turbine_id"], ["wind", "ta", "rho"]
+    rows = sources.select(*keys, *own, F.lit(0.0).alias("deficit"))
     total = (
-        own.unionByName(deficits.withColumn("wind", F.lit(None).cast("double")))
+        rows.unionByName(deficits, allowMissingColumns=True)
         .groupBy(*keys)
-        .agg(F.max("wind").alias("wind"), F.sum("deficit").alias("deficit"))
+        .agg(*[F.max(c).alias(c) for c in own], F.sum("deficit").alias("deficit"))
     )
     slowed = F.col("wind") - F.sqrt("deficit")
     return total.select(
-        *keys, "wind", F.when(slowed < 0, F.lit(0.0)).otherwise(slowed).alias("wake_speed")
+        *keys, *own, F.when(slowed < 0, F.lit(0.0)).otherwise(slowed).alias("wake_speed")
     )

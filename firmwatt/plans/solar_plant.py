@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmwatt.operators import array_power, cleaning, energy, inverter, irradiance
+from firmwatt.sources.sinks import stage
 
 
 @dataclass
@@ -35,9 +36,10 @@ def array_irradiance(inputs: SolarInputs) -> DataFrame:
     """``poa`` and ``ta`` per array and hour, for every hour of the series.
 
     Only lit daylight hours count; all others keep their row with 0. The lit flag
-    travels with the row, so the full index never has to be joined back.
+    travels with the row, so the full index never has to be joined back. The
+    irradiance of a plant is stored once and then read for all its arrays.
     """
-    hours = irradiance.irradiance_by_plant(inputs.series, inputs.plants)
+    hours = stage(irradiance.irradiance_by_plant(inputs.series, inputs.plants))
     lit_hours = hours.withColumn("lit", cleaning.is_daylight() & cleaning.is_lit())
     albedo = inputs.plants.select("plant_id", "albedo", "l_pct")
     arrays = inputs.arrays.join(albedo, "plant_id").join(inputs.modules, "inverter_id")

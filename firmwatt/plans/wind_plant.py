@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmwatt.operators import curves, energy, farm_correction, layout, turbine_power, wake
+from firmwatt.sources.sinks import stage
 
 
 @dataclass
@@ -56,50 +57,70 @@ def assigned_turbines(inputs: WindInputs) -> DataFrame:
     return with_tower.unionByName(without)
 
 
-def turbine_hours(inputs: WindInputs) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Turbines with all static attributes, the hourly facts and the curve segments."""
-    series = curves.with_density(inputs.series)
-    densities = curves.mean_density(series)
-    turbines = (
-        layout.turbine_features(assigned_turbines(inputs), inputs.models)
+def static_turbines(inputs: WindInputs) -> DataFrame:
+    """Turbines with everything that does not change by the hour."""
+    densities = curves.mean_density(curves.with_density(inputs.series))
+    turbines = layout.turbine_features(assigned_turbines(inputs), inputs.models)
+    path = layout.cable_path(layout.cable_hops(inputs.links, inputs.turbines, inputs.plants))
+    losses = inputs.plants.select("plant_id", "kv", "kpc", "kt", "kin").join(
+        layout.mean_resistance(inputs.strings), "plant_id"
+    )
+    return (
+        layout.local_offsets(turbines)
         .join(densities, "series_id")
+        .join(path, ["plant_id", "turbine_id"])
+        .join(losses, "plant_id")
     )
-    turbines = layout.local_offsets(turbines)
-    pairs_in_use = turbines.select("model_id", "rho_mean").distinct()
-    corrected = curves.correct_curves(inputs.points, inputs.models, pairs_in_use)
-    segments = curves.curve_segments(corrected)
-    return turbines, layout.fan_out_series(turbines, series), segments
 
 
-def free_speeds(turbines: DataFrame, hours: DataFrame) -> DataFrame:
-    """Turbine hours with the large-farm correction applied at offshore plants."""
-    offshore = hours.filter("offshore")
-    factors = layout.upwind_factor(turbines.filter("offshore"), layout.mean_direction(offshore))
+def segments_in_use(inputs: WindInputs, turbines: DataFrame) -> DataFrame:
+    """Curve segments of every model at every mean density it runs at."""
+    in_use = turbines.select("model_id", "rho_mean").distinct()
+    return curves.curve_segments(curves.correct_curves(inputs.points, inputs.models, in_use))
+
+
+def free_speeds(turbines: DataFrame, series: DataFrame) -> DataFrame:
+    """Turbine hours before wakes, with the large-farm correction applied offshore."""
+    place = ["plant_id", "turbine_id", "series_id", "lat", "lon", "hub", "rotor_d", "z01", "z02"]
+    onshore = layout.fan_out_series(
+        turbines.filter(~F.col("offshore")).select(*place), series
+    )
+    at_sea = turbines.filter("offshore")
+    offshore = layout.fan_out_series(at_sea.select(*place), series)
+    factors = layout.upwind_factor(at_sea, layout.mean_direction(offshore))
     behind = farm_correction.behind_lead(offshore, layout.lead_turbine(factors), turbines)
-    corrections = farm_correction.large_farm_correction(behind, layout.mean_hub_height(turbines))
+    corrections = farm_correction.large_farm_correction(behind, layout.mean_hub_height(at_sea))
     corrected = farm_correction.apply_corrections(offshore, corrections)
-    return hours.filter(~F.col("offshore")).unionByName(corrected)
+    return onshore.unionByName(corrected).select(
+        "plant_id", "turbine_id", "ts", "wind", "direction", "ta", "rho"
+    )
 
 
-def turbine_output(inputs: WindInputs) -> DataFrame:
-    """Hourly power of every turbine."""
-    turbines, hours, segments = turbine_hours(inputs)
-    slowed = wake.wake_speeds(free_speeds(turbines, hours), wake.sector_pairs(turbines), segments)
-    weather = curves.with_density(inputs.series).select("series_id", "ts", "ta", "rho")
-    path = layout.cable_path(layout.cable_hops(inputs.links, inputs.turbines, inputs.plants))
-    losses = inputs.plants.select("plant_id", "kv", "kpc", "kt", "kin").join(
-        layout.mean_resistance(inputs.strings), "plant_id"
+def wake_inputs(turbines: DataFrame, free: DataFrame, segments: DataFrame) -> DataFrame:
+    """Turbine hours as the wake needs them, with each source's thrust."""
+    attributes = turbines.select(
+        "plant_id", "turbine_id", "model_id", "rho_mean", "rho_nom", "radius", "cre"
     )
-    static = (
-        turbines.select(
-            "plant_id", "turbine_id", "series_id", "model_id", "rho_mean", "rho_nom", "p_nom",
-            "t_min", "t_max",
-        )
-        .join(path, ["plant_id", "turbine_id"])
-        .join(losses, "plant_id")
+    return wake.source_thrust(free.join(attributes, ["plant_id", "turbine_id"]), segments)
+
+
+def turbine_output(inputs: WindInputs) -> DataFrame:
+    """Hourly power of every turbine.
+
+    Four stages are stored: the static turbines, the curve segments, the wake pairs
+    and the hourly thrust. Each is read more than once afterwards.
+    """
+    series = curves.with_density(inputs.series)
+    turbines = stage(static_turbines(inputs))
+    segments = stage(segments_in_use(inputs, turbines))
+    pairs = stage(wake.sector_pairs(turbines))
+    hours = stage(wake_inputs(turbines, free_speeds(turbines, series), segments))
+    slowed = wake.wake_speeds(hours, pairs)
+    rated = turbines.select(
+        "plant_id", "turbine_id", "model_id", "rho_mean", "rho_nom", "p_nom", "t_min", "t_max",
+        "path_km", "kv", "mean_ohm", "kpc", "kt", "kin",
     )
-    facts = slowed.join(static, ["plant_id", "turbine_id"]).join(weather, ["series_id", "ts"])
-    return turbine_power.turbine_power(facts, segments)
+    return turbine_power.turbine_power(slowed.join(rated, ["plant_id", "turbine_id"]), segments)
 
 
 def hourly_energy(inputs: WindInputs) -> DataFrame:

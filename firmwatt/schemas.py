@@ -1,27 +1,19 @@
-"""One explicit schema per input; nothing is inferred."""
-
-from __future__ import annotations
-
-from pyspark.sql import types as T
-
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+"""One explicit schema per input, as DDL text; nothing is inferred."""
 
 
 # Hourly series as delivered: calendar parts and decimal-comma text.
-RAW_WIND = _struct(
+RAW_WIND = (
     "Ano string, Mes string, Dia string, Hora string, DireccionViento string, "
     "PresionAtmosferica string, Ta string, VelocidadViento string"
 )
-RAW_SOLAR = _struct("Ano string, Mes string, Dia string, Hora string, Ghi string, Ta string")
+RAW_SOLAR = ("Ano string, Mes string, Dia string, Hora string, Ghi string, Ta string")
 
 _COMMON = (
     "NombrePlanta: string, Cen: double, Ihf: double, Ppi: double, Kpc: double, Kt: double, "
     "Kin: double, Latitud: double, Longitud: double, InformacionMedida: boolean"
 )
 
-WIND_BODY = _struct(
+WIND_BODY = (
     f"ParametrosTransversales struct<{_COMMON}, Offshore: boolean, Elevacion: double, "
     "Voltaje: double>, "
     "ParametrosConfiguracion struct<"
@@ -44,7 +36,7 @@ WIND_BODY = _struct(
     "ArchivoSeries struct<Nombre: string>"
 )
 
-SOLAR_BODY = _struct(
+SOLAR_BODY = (
     f"ParametrosTransversales struct<ZonaHoraria: string, Altitud: double, Albedo: double, "
     f"L: double, {_COMMON}>, "
     "ParametrosConfiguracion struct<GrupoInversores: array<struct<"
@@ -64,4 +56,4 @@ SOLAR_BODY = _struct(
 )
 
 # A request message: the plant kind (0 solar, 1 wind) and the body as text.
-REQUEST = _struct("plant_id bigint, TipoMensaje int, CuerpoMensaje string")
+REQUEST = ("plant_id bigint, TipoMensaje int, CuerpoMensaje string")

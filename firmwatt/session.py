@@ -7,9 +7,25 @@ import os
 from pyspark.sql import SparkSession
 
 
+# Long expression chains make one generated method per stage. Beyond 8000 bytes the
+# JVM no longer compiles it, so such stages use per-operator code instead.
+TUNING = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings that the plans are meant to run with."""
+    for key, value in TUNING.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: str = "*", name: str = "firmwatt") -> SparkSession:
     """A local session; on a cluster the caller brings its own."""
-    return (
+    return tune(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", os.environ.get("FIRMWATT_PARTITIONS", "8"))

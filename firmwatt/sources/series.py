@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from firmwatt import schemas
 from firmwatt.operators.cleaning import clean_solar, clean_wind
 
 
-def read_series(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+def read_series(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """Raw series from one or more parquet paths. The input is left in place."""
     paths = [path] if isinstance(path, str) else path
     return spark.read.schema(schema).parquet(*paths)

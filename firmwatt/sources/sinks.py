@@ -20,6 +20,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """The same rows read back from a table in the shared folder.
+
+    A stage boundary: what follows neither repeats the work before it nor depends
+    on executors that may be lost.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, salt: str | None = None) -> DataFrame:
     """Write one result table by plant, replacing only the plants it holds, and
     read it back from storage.

@@ -389,9 +389,9 @@ CTES: dict[str, str] = {
         / greatest(cos(radians(85e0)), cos(radians(zenith))) + f2 * sin(radians(tilt)))) END AS sky,
         ghi * albedo * (1 - cos(radians(tilt))) / 2 AS ground FROM per2""",
     "plane": """SELECT *, beam + sky + ground AS front, CASE WHEN bifacial
-        THEN beam + sky + ground + poa_back * 0.7e0 ELSE beam + sky + ground END AS both FROM per3""",
-    "poa": """SELECT * EXCLUDE (both), CASE WHEN day AND (dni <> 0 OR dhi <> 0) AND NOT isnan(both)
-        THEN both ELSE 0e0 END AS poa FROM plane""",
+        THEN beam + sky + ground + poa_back * 0.7e0 ELSE beam + sky + ground END AS faces FROM per3""",
+    "poa": """SELECT * EXCLUDE (faces), CASE WHEN day AND (dni <> 0 OR dhi <> 0) AND NOT isnan(faces)
+        THEN faces ELSE 0e0 END AS poa FROM plane""",
     "ptemp": "SELECT *, ta + (45e0 - 20) / 800 * coalesce(poa, 0e0) AS temp FROM poa",
     "circ": """SELECT * REPLACE (coalesce(poa, 0e0) AS poa), coalesce(poa, 0e0) / 1000
         * (il_ref + 0.05e0 * (1 - 6e0 / 100) * (temp - 25)) AS il,
@@ -534,8 +534,8 @@ def _finals() -> dict[str, str]:
         "scale_ghi": f"SELECT event_id, {r('value * 1000', 4, 'ghi')} FROM events",
         "daylight_filter": f"""SELECT event_id, {stamp()} FROM events
             WHERE ts::TIME >= TIME '06:00:00' AND ts::TIME <= TIME '18:00:00'""",
-        "drop_dark_rows": f"SELECT {skey}, {r('dni', 4, 'dni')}, {r('dhi', 4, 'dhi')} FROM irr WHERE dni <> 0 OR dhi <> 0",
-        "low_sun_clamp": f"SELECT {skey}, {r('dni', 4, 'dni')}, {r('dhi', 4, 'dhi')} FROM irr",
+        "drop_dark_rows": f"SELECT {skey}, {r('dni', 6, 'dni')}, {r('dhi', 6, 'dhi')} FROM irr WHERE dni <> 0 OR dhi <> 0",
+        "low_sun_clamp": f"SELECT {skey}, {r('dni', 6, 'dni')}, {r('dhi', 6, 'dhi')} FROM irr",
         "cap_interconnection": f"""SELECT plant_id, l_orderkey, l_linenumber, {r('least(kwh, ppi_kwh)', 4, 'kwh')}
             FROM (SELECT l_suppkey AS plant_id, l_orderkey, l_linenumber, l_quantity * 1000 AS kwh FROM lineitem)
             JOIN mplant USING (plant_id)""",
@@ -559,13 +559,13 @@ def _finals() -> dict[str, str]:
         "air_density": f"SELECT series_id, {stamp()}, {r('rho', 8, 'rho')} FROM air",
         "geo_distance": f"""SELECT a.turbine_id, {r(great_circle('a.lat', 'a.lon', 'f.lat', 'f.lon'), 6, 'flat_km')},
             {r(distance('a', 'f'), 6, 'dist_km')} FROM turb a JOIN farm f USING (plant_id)""",
-        "align_series": f"""SELECT {skey}, {r('zenith', 4, 'zenith')}, {r('iext', 4, 'iext')}, {r('ghi', 4, 'ghi')}
+        "align_series": f"""SELECT {skey}, {r('zenith', 4, 'zenith')}, {r('iext', 6, 'iext')}, {r('ghi', 6, 'ghi')}
             FROM disc1""",
         "restore_index": f"""SELECT {skey}, {r('ta', 4, 'ta')}, {r('''CASE WHEN day AND (dni <> 0 OR dhi <> 0)
-            THEN dhi ELSE 0e0 END''', 4, 'dhi')} FROM irr""",
+            THEN dhi ELSE 0e0 END''', 6, 'dhi')} FROM irr""",
         "nearest_tower": "SELECT plant_id, turbine_id, declared_tower, tower_id FROM nearest",
         "turbine_features": f"SELECT turbine_id, model_id, hub, radius, {r('area', 6, 'area')} FROM feature",
-        "fanout_series": f"SELECT {key}, {r('wind', 6, 'wind')}, {r('direction', 6, 'direction')} FROM th",
+        "fanout_series": f"SELECT {key}, {r('wind', 8, 'wind')}, {r('direction', 6, 'direction')} FROM th",
         "pair_offsets": f"""SELECT plant_id, turbine_id, {r('x_m', 4, 'x_m')}, {r('y_m', 4, 'y_m')},
             {r('dz_m', 4, 'dz_m')} FROM stat""",
         "curve_lookup": f"""SELECT {key}, {r(_evaluate('th.wind'), 4, 'curve_power')} FROM th JOIN seg s
@@ -573,7 +573,7 @@ def _finals() -> dict[str, str]:
             AND th.wind >= s.lo AND th.wind < s.hi""",
         "series_matrix": """SELECT plant_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts,
             string_agg((round_even(wind * 1000, 0)::BIGINT)::VARCHAR, ',' ORDER BY turbine_id) AS row FROM th GROUP BY ALL""",
-        "apply_corrections": f"SELECT {key}, {r('wind', 6, 'wind')} FROM free WHERE offshore",
+        "apply_corrections": f"SELECT {key}, {r('wind', 8, 'wind')} FROM free WHERE offshore",
         "hourly_energy_solar": f"SELECT {skey}, {r('kwh', 2, 'kwh')} FROM sol",
         "hourly_energy_wind": f"SELECT {skey}, {r('kwh', 4, 'kwh')} FROM windh",
         "monthly_energy": f"SELECT plant_id, {ym}, {r('monthly', 2, 'monthly')} FROM monthly",
@@ -604,14 +604,14 @@ def _finals() -> dict[str, str]:
         "month_list": """SELECT plant_id, year(m) AS year, month(m) AS month, 0e0 AS value FROM
             (SELECT plant_id, unnest(range(make_date(year(month) - 1, 12, 1), make_date(year(month), 12, 1),
             INTERVAL 1 MONTH)) AS m FROM firm_s)""",
-        "union_series": f"""SELECT tower_id AS source, {stamp()}, {r('wind', 6, 'wind')} FROM tower
+        "union_series": f"""SELECT tower_id AS source, {stamp()}, {r('wind', 8, 'wind')} FROM tower
             JOIN weather USING (series_id) UNION ALL SELECT -1 - plant_id, strftime(ts, '%Y-%m-%d %H:%M:%S'),
-            {r('wind', 6)} FROM farm JOIN weather USING (series_id)""",
+            {r('wind', 8)} FROM farm JOIN weather USING (series_id)""",
         "correct_curves": f"SELECT model_id, rho_mean, idx, v_design, {r('vp', 8, 'vp')}, {r('vcth', 8, 'vcth')} FROM ccurve",
         "downwind_distance": f"SELECT {key}, lead_id, {r('x_dist', 4, 'x_dist')} FROM behind",
         "ibl_height": f"SELECT {key}, {r('ibl', 4, 'ibl')} FROM ibl",
-        "large_farm_correction": f"SELECT {key}, {r('corrected', 6, 'corrected')} FROM corr",
-        "wake_speeds": f"SELECT {key}, {r('wake_speed', 6, 'wake_speed')} FROM wake",
+        "large_farm_correction": f"SELECT {key}, {r('corrected', 8, 'corrected')} FROM corr",
+        "wake_speeds": f"SELECT {key}, {r('wake_speed', 8, 'wake_speed')} FROM wake",
         "cable_loss": f"""SELECT turbine_id, {r('''(p_nom * 1000 - pow(p_nom * 1000 / (kv * 1000), 2)
             * (mean_ohm * path_km)) / 1000''', 4, 'power')} FROM stat""",
         "connection_loss_wind": f"SELECT turbine_id, {r('p_nom * (1 - kpc / 100 - kt / 100 - kin / 100)', 4, 'power')} FROM stat",
@@ -624,8 +624,8 @@ def _finals() -> dict[str, str]:
             " (SELECT event_id, 1.00011e0 + 0.034221e0 * cos(b) + 0.00128e0 * sin(b)"
             " + 0.000719e0 * cos(2 * b) + 0.000077e0 * sin(2 * b) AS orb FROM"
             " (SELECT event_id, 2 * pi() * (dayofyear(ts) - 1) / 365 AS b FROM events))",
-        "dni_disc": f"""SELECT {skey}, {r('dni0', 4, 'dni')}, {r('kt', 6, 'kt')}, {r('airmass', 6, 'airmass')} FROM disc""",
-        "dhi_closure": f"SELECT {skey}, {r('dni', 4, 'dni')}, {r('dhi', 4, 'dhi')} FROM irr",
+        "dni_disc": f"""SELECT {skey}, {r('dni0', 6, 'dni')}, {r('kt', 6, 'kt')}, {r('airmass', 6, 'airmass')} FROM disc""",
+        "dhi_closure": f"SELECT {skey}, {r('dni', 6, 'dni')}, {r('dhi', 6, 'dhi')} FROM irr",
         "surface_orientation": f"SELECT {akey}, {r('tilt', 4, 'tilt')}, {r('cos(radians(saz))', 6, 'facing_north')} FROM ori",
         "poa_perez": f"""SELECT {akey}, {r('beam', 3, 'beam')}, {r('sky', 3, 'sky')}, {r('ground', 3, 'ground')} FROM per3""",
         "poa_bifacial": f"SELECT {akey}, {r('poa', 3, 'poa')} FROM (SELECT * REPLACE (coalesce(poa, 0) AS poa) FROM poa)",

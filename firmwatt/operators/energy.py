@@ -45,7 +45,8 @@ def monthly_energy(hourly: DataFrame) -> DataFrame:
         F.bround(F.sum("kwh"), 2).alias("monthly")
     )
     following = F.lead("month").over(Window.partitionBy("plant_id").orderBy("month"))
-    last = F.coalesce(F.add_months(following, -1), F.col("month"))
+    sums = sums.withColumn("_next", following)
+    last = F.coalesce(F.add_months("_next", -1), F.col("month"))
     span = F.sequence(F.col("month"), last, F.expr("interval 1 month"))
     return sums.select("plant_id", "monthly", F.posexplode(span).alias("_step", "month")).select(
         "plant_id",

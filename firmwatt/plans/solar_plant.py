@@ -32,23 +32,28 @@ class SolarInputs:
     series: DataFrame
 
 
-def array_irradiance(inputs: SolarInputs) -> DataFrame:
+def plane_of_arrays(hours: DataFrame, inputs: SolarInputs) -> DataFrame:
     """``poa`` and ``ta`` per array and hour, for every hour of the series.
 
-    Only lit daylight hours count; all others keep their row with 0. The lit flag
-    travels with the row, so the full index never has to be joined back. The
-    irradiance of a plant is stored once and then read for all its arrays.
+    ``hours`` is the irradiance by plant. Only lit daylight hours count; all others
+    keep their row with 0. The lit flag travels with the row, so the full index never
+    has to be joined back.
     """
-    hours = stage(irradiance.irradiance_by_plant(inputs.series, inputs.plants))
     lit_hours = hours.withColumn("lit", cleaning.is_daylight() & cleaning.is_lit())
-    albedo = inputs.plants.select("plant_id", "albedo", "l_pct")
-    arrays = inputs.arrays.join(albedo, "plant_id").join(inputs.modules, "inverter_id")
+    site = inputs.plants.select("plant_id", "albedo", "l_pct")
+    arrays = inputs.arrays.join(site, "plant_id").join(inputs.modules, "inverter_id")
     facing = irradiance.surface_orientation(lit_hours.join(arrays, "plant_id"))
     front = irradiance.plane_irradiance(facing).withColumnRenamed("back_irradiance", "poa_back")
     poa = F.nanvl(F.when(F.col("lit"), F.col("poa")), F.lit(0.0))
     return irradiance.combine_faces(front).withColumn("poa", F.coalesce(poa, F.lit(0.0)))
 
 
+def array_irradiance(inputs: SolarInputs) -> DataFrame:
+    """Irradiance on every array; that of a plant is stored once for all its arrays."""
+    hours = stage(irradiance.irradiance_by_plant(inputs.series, inputs.plants))
+    return plane_of_arrays(hours, inputs)
+
+
 def array_output(inputs: SolarInputs) -> DataFrame:
     """DC current, voltage and power of each array per hour, after DC losses."""
     df = array_power.panel_temperature(array_irradiance(inputs))

@@ -115,7 +115,11 @@ def turbine_output(inputs: WindInputs) -> DataFrame:
     segments = stage(segments_in_use(inputs, turbines))
     pairs = stage(wake.sector_pairs(turbines))
     hours = stage(wake_inputs(turbines, free_speeds(turbines, series), segments))
-    slowed = wake.wake_speeds(hours, pairs)
+    return rated_power(wake.wake_speeds(hours, pairs), turbines, segments)
+
+
+def rated_power(slowed: DataFrame, turbines: DataFrame, segments: DataFrame) -> DataFrame:
+    """Power of the turbine hours behind the wakes."""
     rated = turbines.select(
         "plant_id", "turbine_id", "model_id", "rho_mean", "rho_nom", "p_nom", "t_min", "t_max",
         "path_km", "kv", "mean_ohm", "kpc", "kt", "kin",

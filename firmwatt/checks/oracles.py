@@ -413,7 +413,7 @@ def _solver_ctes() -> None:
 
     CTES["mp0"] = """SELECT *, top - a * ln(greatest(0e0, top - 4 * a - 2 * il * rs) / a + 1) AS up,
         top AS uo, il * rs AS us FROM (SELECT *, CASE WHEN il > 0 AND rsh IS NOT NULL
-        THEN a * ln(il / i0 + 1) END AS top FROM circ)"""
+        THEN least(a * ln(il / i0 + 1), il * rsh) END AS top FROM circ)"""
     iu, du, cu = i.format(u="up"), d.format(u="up"), c.format(u="up")
     for k in range(STEPS):
         CTES[f"mp{k + 1}"] = f"""SELECT * REPLACE (

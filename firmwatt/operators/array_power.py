@@ -10,7 +10,7 @@ from firmwatt.functions.text import technology_code
 
 # Solver steps. Each start lies close to its root, on the side from which the steps
 # are monotone.
-STEPS = 4
+STEPS = 5
 CURVE_STEPS = 6
 
 
@@ -82,7 +82,8 @@ def max_power_point(df: DataFrame) -> DataFrame:
     kept = df.columns
     il, i0, rs, rsh, a = (col(c) for c in ("il", "i0", "rs", "rsh", "a"))
     lit = (il > 0) & rsh.isNotNull()
-    df = df.withColumn("_top", F.when(lit, a * F.log(il / i0 + 1)))
+    # Neither the diode nor the shunt alone lets the open voltage exceed its bound.
+    df = df.withColumn("_top", F.when(lit, F.least(a * F.log(il / i0 + 1), il * rsh)))
 
     # At the peak e^(u/a) i0 (1 + (u - 2 I rs) / a) is about il; u and I are bounded
     # here so that the start is not below the root.

@@ -116,7 +116,10 @@ def _irradiance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _plane(spark: SparkSession, sf: str) -> DataFrame:
-    return solar_plant.plane_of_arrays(_irradiance(spark, sf), T.solar_inputs(spark, sf))
+    arrays = _stored(
+        spark, sf, "arrays", lambda: solar_plant.static_arrays(T.solar_inputs(spark, sf))
+    )
+    return solar_plant.plane_of_arrays(_irradiance(spark, sf), arrays)
 
 
 def _circuit(spark: SparkSession, sf: str) -> DataFrame:

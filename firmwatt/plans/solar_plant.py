@@ -32,7 +32,13 @@ class SolarInputs:
     series: DataFrame
 
 
-def plane_of_arrays(hours: DataFrame, inputs: SolarInputs) -> DataFrame:
+def static_arrays(inputs: SolarInputs) -> DataFrame:
+    """Arrays with everything that does not change by the hour."""
+    site = inputs.plants.select("plant_id", "albedo", "l_pct")
+    return inputs.arrays.join(site, "plant_id").join(inputs.modules, "inverter_id")
+
+
+def plane_of_arrays(hours: DataFrame, arrays: DataFrame) -> DataFrame:
     """``poa`` and ``ta`` per array and hour, for every hour of the series.
 
     ``hours`` is the irradiance by plant. Only lit daylight hours count; all others
@@ -40,8 +46,6 @@ def plane_of_arrays(hours: DataFrame, inputs: SolarInputs) -> DataFrame:
     has to be joined back.
     """
     lit_hours = hours.withColumn("lit", cleaning.is_daylight() & cleaning.is_lit())
-    site = inputs.plants.select("plant_id", "albedo", "l_pct")
-    arrays = inputs.arrays.join(site, "plant_id").join(inputs.modules, "inverter_id")
     facing = irradiance.surface_orientation(lit_hours.join(arrays, "plant_id"))
     front = irradiance.plane_irradiance(facing).withColumnRenamed("back_irradiance", "poa_back")
     poa = F.nanvl(F.when(F.col("lit"), F.col("poa")), F.lit(0.0))
@@ -49,9 +53,10 @@ def plane_of_arrays(hours: DataFrame, inputs: SolarInputs) -> DataFrame:
 
 
 def array_irradiance(inputs: SolarInputs) -> DataFrame:
-    """Irradiance on every array; that of a plant is stored once for all its arrays."""
+    """Irradiance on every array. Both sides of the fan-out are stored, so the optimizer
+    knows their true sizes and picks the side to broadcast, or none, by them."""
     hours = stage(irradiance.irradiance_by_plant(inputs.series, inputs.plants))
-    return plane_of_arrays(hours, inputs)
+    return plane_of_arrays(hours, stage(static_arrays(inputs)))
 
 
 def array_output(inputs: SolarInputs) -> DataFrame:

@@ -191,11 +191,12 @@ def towers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def models(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        MODELS,
-        "model_id string, hub double, rotor_d double, p_nom double, v_nom double, "
-        "rho_nom double, v_min double, v_max double, t_min double, t_max double, scale double",
+    names = (
+        "model_id", "hub", "rotor_d", "p_nom", "v_nom", "rho_nom", "v_min", "v_max", "t_min",
+        "t_max", "scale",
     )
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, m)]) for m in MODELS]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def points(spark: SparkSession) -> DataFrame:

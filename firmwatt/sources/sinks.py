@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that the cluster shares.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as
-    in local tests, is a temporary folder of this machine used.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a session on
+    one machine uses a temporary folder, set once; a session on a cluster fails, as its
+    executors would not see the folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="firmwatt-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        base = tempfile.mkdtemp(prefix="firmwatt-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

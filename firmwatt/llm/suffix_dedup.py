@@ -43,7 +43,7 @@ from firmwatt.llm.common import mix64, powers, ship, stage
 
 LENGTH = 400
 GRAM = 64
-GROUP_BLOCKS = 1000
+GROUP_BLOCKS = 8000
 GROUP_BYTES = 1 << 20
 SEGMENT = 1 << 18
 

@@ -116,5 +116,75 @@ FROM lined
 """
 
 
+OP1 = r"""
+WITH RECURSIVE urls AS (
+    SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+    FROM pages
+), rules(action, rule_host, rule_path) AS (
+    VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+        ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), ruled AS (
+    SELECT page_id, host, path, html, (
+        SELECT arg_max({'rule': rule_host || rule_path, 'action': action}, length(rule_host || rule_path)) FROM rules
+        WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    ) AS found FROM urls
+), hosts AS (
+    SELECT host, count(*) AS pages, count(*) FILTER (WHERE found.action = 'allow') AS allowed,
+        count(*) FILTER (WHERE found.action = 'block') AS blocked
+    FROM ruled GROUP BY host
+), links AS (
+    SELECT src, dst, count(*) AS pages FROM (
+        SELECT host AS src, unnest(list_distinct(regexp_extract_all(lower(coalesce(html, '')),
+            '(?is)\b(?:href|src)\s*=\s*["'']?(?:https?:)?//([^/?#"''\s>]+)', 1))) AS dst FROM urls
+    ) WHERE src != '' AND src != dst GROUP BY ALL
+), walks AS (
+    SELECT 'trust' AS kind, src, dst, pages / sum(pages) OVER (PARTITION BY src) AS share FROM links
+    UNION ALL
+    SELECT 'distrust', dst, src, pages / sum(pages) OVER (PARTITION BY dst) FROM links
+), terms(k, kind, host, mass) AS (
+    SELECT 0, kind, host, 0.15 * mass::DOUBLE FROM (
+        SELECT 'trust' AS kind, host, allowed AS mass FROM hosts UNION ALL SELECT 'distrust', host, blocked FROM hosts
+    ) WHERE mass > 0
+    UNION ALL
+    SELECT k + 1, t.kind, w.dst, sum(t.mass * w.share) * 0.85
+    FROM terms t JOIN walks w ON t.kind = w.kind AND t.host = w.src WHERE k < 20 GROUP BY k, t.kind, w.dst
+), scores AS (
+    SELECT host, round(sum(CASE WHEN kind = 'trust' THEN mass ELSE 0 END), 6) AS trust,
+        round(sum(CASE WHEN kind = 'distrust' THEN mass ELSE 0 END), 6) AS distrust
+    FROM terms GROUP BY host
+), ranked AS (
+    SELECT host, pages, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM hosts LEFT JOIN scores USING (host)
+)
+SELECT page_id, host, path, found.rule AS rule, coalesce(found.action, CASE WHEN host != '' AND distrust > 2 * trust
+    AND distrust >= 0.25 * 0.15 * pages THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust
+FROM ruled JOIN ranked USING (host)
+"""
+
+OP10 = r"""
+WITH turns AS (
+    SELECT conv_id, turn // 64 AS part, turn, coalesce(role, 'unknown') AS speaker,
+        replace(coalesce(text, ''), '<|', '< |') AS text
+    FROM conversations
+), views AS (
+    SELECT t.*, me FROM turns t JOIN (SELECT DISTINCT conv_id, part, speaker AS me FROM turns WHERE speaker != 'system') v
+    ON t.conv_id IS NOT DISTINCT FROM v.conv_id AND t.part IS NOT DISTINCT FROM v.part
+), rendered AS (
+    SELECT *, '<|im_start|>' || CASE WHEN speaker = me THEN 'assistant' WHEN speaker = 'system' THEN 'system'
+        ELSE 'user name=' || speaker END || chr(10) AS head, text || '<|im_end|>' AS body FROM views
+), placed AS (
+    SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, me
+        ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT
+        + length(head) AS start FROM rendered
+)
+SELECT conv_id, part, 0::BIGINT AS piece, me AS speaker,
+    string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, speaker, text) AS text,
+    coalesce(string_agg(start || '-' || (start + length(body)), ',' ORDER BY turn NULLS FIRST, speaker, text)
+        FILTER (WHERE speaker = me), '') AS mask, count(*)::INT AS n_turns
+FROM placed GROUP BY conv_id, part, me
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3, "op6_mixing": OP6}
+    return {"op1_url_filter": OP1, "op10_chat": OP10, "op3_quality_rules": OP3, "op6_mixing": OP6}

@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from firmwatt.llm import minhash_dedup, mixing, packing, quality_rules, suffix_dedup
+from firmwatt.llm import chat, minhash_dedup, mixing, packing, quality_rules, suffix_dedup, url_filter
 from firmwatt.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -33,6 +38,13 @@ def op9_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash_dedup.classes(table(spark, sf, "documents"))
 
 
+def op10_chat(spark: SparkSession, sf: str) -> DataFrame:
+    """The mask as text: begin-end, begin-end, ..."""
+    views = chat.rotate(table(spark, sf, "conversations"))
+    spans = F.transform("mask", lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string")))
+    return views.withColumn("mask", F.array_join(spans, ","))
+
+
 def queries() -> dict[str, Query]:
     found = [f for name, f in globals().items() if name.startswith("op")]
     return {f.__name__: f for f in found}

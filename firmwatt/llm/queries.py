@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmwatt.llm import chat, minhash_dedup, mixing, packing, quality_rules, suffix_dedup, url_filter
+from firmwatt.llm import chat, language_id, minhash_dedup, mixing, packing, quality_model, quality_rules, suffix_dedup, url_filter
 from firmwatt.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge(table(spark, sf, "pages"))
 
 
+def op2_quality_model(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_model.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -30,6 +34,10 @@ def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language_id.identify(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf, "documents"))
 

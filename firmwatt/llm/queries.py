@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmwatt.llm import chat, language_id, minhash_dedup, mixing, packing, quality_model, quality_rules, suffix_dedup, url_filter
+from firmwatt.llm import bm25_search, chat, language_id, minhash_dedup, mixing, packing, quality_model, quality_rules, suffix_dedup, url_filter
 from firmwatt.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_bm25_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries: every document whose doc_id is divisible by 100."""
+    return bm25_search.search(table(spark, sf, "documents"), F.col("doc_id") % 100 == 0)
+
+
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"))
 

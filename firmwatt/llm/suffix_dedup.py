@@ -397,7 +397,7 @@ def cut_documents(documents: DataFrame, length: int = LENGTH, keep: str = "first
         for texts, spans in batches:
             yield pd.Series(
                 [
-                    remaining(t, whole_characters(t, merged(s))).decode("utf-8", "replace")
+                    None if t is None else remaining(t, whole_characters(t, merged(s))).decode("utf-8", "replace")
                     for t, s in zip(texts, spans, strict=True)
                 ],
                 dtype=object,

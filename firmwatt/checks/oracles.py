@@ -523,11 +523,12 @@ def _finals() -> dict[str, str]:
             FROM firm_s f JOIN (SELECT plant_id, string_agg(concat('{"anio":', year(month), ',"mes":', month(month),
             ',"valor":"', coalesce(surplus::DECIMAL(18, 2)::VARCHAR, 'N/A'), '"}'), ',' ORDER BY month) AS eda
             FROM surplus GROUP BY plant_id) e USING (plant_id)""",
-        "plant_status": """SELECT plant_id, 'pressure' AS task, count(*) FILTER (pressure * 3 >= 3000) AS n_bad
+        "plant_status": """SELECT plant_id, 'pressure' AS task, 'atmospheric pressure out of range' AS message,
+            count(*) FILTER (pressure * 3 >= 3000) AS n_bad
             FROM reading GROUP BY plant_id UNION ALL
-            SELECT plant_id, 'duplicates', count(*) FILTER (c > 1) FROM (SELECT plant_id, ts, count(*) AS c
+            SELECT plant_id, 'duplicates', 'repeated time stamp', count(*) FILTER (c > 1) FROM (SELECT plant_id, ts, count(*) AS c
             FROM reading GROUP BY ALL) GROUP BY plant_id UNION ALL
-            SELECT plant_id, 'nulls', count(*) FILTER (wind IS NULL OR ta IS NULL) FROM reading GROUP BY plant_id""",
+            SELECT plant_id, 'nulls', 'missing value in wind, ta', count(*) FILTER (wind IS NULL OR ta IS NULL) FROM reading GROUP BY plant_id""",
         "parse_decimal_comma": f"SELECT event_id, {r('value', 6, 'value')} FROM events",
         "build_timestamp": f"""SELECT event_id, {stamp("date_trunc('hour', ts)")},
             strftime(date_trunc('hour', ts) + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') AS ts_utc FROM events""",

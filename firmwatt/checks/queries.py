@@ -232,7 +232,7 @@ def plant_status(spark: SparkSession, sf: str) -> DataFrame:
         quality.check_duplicates(readings, ["plant_id", "ts"]),
         quality.check_nulls(readings, ["wind", "ta"]),
     )
-    return status.select("plant_id", "task", "n_bad")
+    return status.select("plant_id", "task", "message", "n_bad")
 
 
 # --- projections, filters, scalar functions --------------------------------------------
@@ -316,8 +316,7 @@ def check_nulls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def check_inverter_fit(spark: SparkSession, sf: str) -> DataFrame:
-    owners = T.inverters(spark, sf).select("inverter_id", "plant_id")
-    fitted = _fit(spark, sf).join(owners, "inverter_id")
+    fitted = _fit(spark, sf)
     return quality.check_inverter_fit(fitted).select("plant_id", "task", "n_bad")
 
 

@@ -293,6 +293,7 @@ def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inverters(spark, sf_dir).selectExpr(
+        "plant_id",
         "inverter_id",
         "45.0D AS t_noct", "10.0D AS psi",
         "inverter_id % 3 = 0 AS bifacial", "0.7D AS bifaciality",

@@ -25,8 +25,7 @@ def technology_code(spelling: Column) -> Column:
 
 
 def local_stamp(year: Column, month: Column, day: Column, hour: Column) -> Column:
-    """Civil time without zone, from its integer parts."""
+    """Civil time without zone, from its integer parts; parts that are no date give NULL."""
     zero = F.lit(0)
-    return F.make_timestamp_ntz(
-        year.cast("int"), month.cast("int"), day.cast("int"), hour.cast("int"), zero, zero
-    )
+    parts = [part.cast("string").try_cast("int") for part in (year, month, day, hour)]
+    return F.try_make_timestamp_ntz(*parts, zero, zero)

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from firmwatt.constants import INVERTER_LEVELS, POINTS_PER_LEVEL
 from firmwatt.functions.numeric import capped, floored
 
+#: Inverters are numbered within their plant.
+KEY = ["plant_id", "inverter_id"]
+
 
 def inverter_samples(inverters: DataFrame) -> DataFrame:
     """The 21 measured points of each inverter, one row per point.
@@ -17,9 +20,9 @@ def inverter_samples(inverters: DataFrame) -> DataFrame:
     order = F.array(*[F.lit(name) for name in INVERTER_LEVELS])
     points = F.arrays_zip(F.col("p_dc_points").alias("dc"), F.col("p_ac_points").alias("ac"))
     return inverters.select(
-        "inverter_id", "vdco", "paco", F.posexplode(points).alias("_n", "_p")
+        *KEY, "vdco", "paco", F.posexplode(points).alias("_n", "_p")
     ).select(
-        "inverter_id", "vdco", "paco",
+        *KEY, "vdco", "paco",
         F.get(order, F.floor(F.col("_n") / POINTS_PER_LEVEL).cast("int")).alias("level"),
         F.col("_p.dc").alias("dc"),
         F.col("_p.ac").alias("ac"),
@@ -33,7 +36,7 @@ def level_fit(samples: DataFrame) -> DataFrame:
     conditioned. Adds the DC power at rated output and at zero output.
     """
     x, y = F.col("dc") / F.col("paco"), F.col("ac") / F.col("paco")
-    sums = samples.groupBy("inverter_id", "level", "vdco", "paco").agg(
+    sums = samples.groupBy(*KEY, "level", "vdco", "paco").agg(
         F.count("dc").cast("double").alias("s0"),
         F.sum(x).alias("s1"),
         F.sum(x * x).alias("s2"),
@@ -66,7 +69,7 @@ def level_fit(samples: DataFrame) -> DataFrame:
 
     paco = F.col("paco")
     return fit.select(
-        "inverter_id",
+        *KEY,
         "level",
         "vdco",
         (F.col("a") / paco).alias("c0_level"),
@@ -92,7 +95,7 @@ def inverter_fit(samples: DataFrame) -> DataFrame:
         return F.regr_intercept(value, "dv"), F.regr_slope(value, "dv")
 
     at0 = {n: line(f"{n}_level") for n in ("pdco", "pso", "c0")}
-    return levels.groupBy("inverter_id").agg(
+    return levels.groupBy(*KEY).agg(
         at0["c0"][0].alias("c0"),
         F.try_divide(at0["pdco"][1], at0["pdco"][0]).alias("c1"),
         F.try_divide(at0["pso"][1], at0["pso"][0]).alias("c2"),
@@ -111,12 +114,12 @@ def inverter_ac(array_hours: DataFrame, inverters: DataFrame, fit: DataFrame) ->
     col = F.col
     nameplate = inverters.select(
         "plant_id", "inverter_id", "paco", "pdco", "vdco", "pso", "pnt", "n_inv"
-    ).join(fit.select("inverter_id", "c0", "c1", "c2", "c3"), "inverter_id")
-    unit = Window.partitionBy("inverter_id", "ts")
+    ).join(fit.select(*KEY, "c0", "c1", "c2", "c3"), KEY)
+    unit = Window.partitionBy(*KEY, "ts")
     joined = (
-        array_hours.select("inverter_id", "ts", "v_mp", "p_mp")
+        array_hours.select(*KEY, "ts", "v_mp", "p_mp")
         .withColumn("p_dc", F.sum("p_mp").over(unit))
-        .join(nameplate, "inverter_id")
+        .join(nameplate, KEY)
     )
     dv = col("v_mp") - col("vdco")
     a = col("pdco") * (F.lit(1.0) + col("c1") * dv)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmwatt.operators import array_power, cleaning, energy, inverter, irradiance
+from firmwatt.constants import INVERTER_LEVELS, POINTS_PER_LEVEL
+from firmwatt.operators import array_power, cleaning, energy, inverter, irradiance, quality
 from firmwatt.sources.sinks import stage
 
 
@@ -20,7 +21,7 @@ class SolarInputs:
                p_dc_points, p_ac_points
     arrays     plant_id, inverter_id, array_id, tracker, axis_az, axis_tilt, max_angle,
                modules_per_string, strings
-    modules    inverter_id, t_noct, psi, bifacial, bifaciality, alpha_sc, a_ref, il_ref,
+    modules    plant_id, inverter_id, t_noct, psi, bifacial, bifaciality, alpha_sc, a_ref, il_ref,
                i0_ref, rs_ref, rsh_ref, adjust
     series     plant_id, ts, ghi, ta, back_irradiance
     """
@@ -32,10 +33,30 @@ class SolarInputs:
     series: DataFrame
 
 
+def status(inputs: SolarInputs, fit: DataFrame) -> DataFrame:
+    """Inverters whose points or fit are not valid; they would be missing in a plant's sum."""
+    points = len(INVERTER_LEVELS) * POINTS_PER_LEVEL
+    short = (F.coalesce(F.size("p_dc_points"), F.lit(-1)) != points) | (
+        F.coalesce(F.size("p_ac_points"), F.lit(-1)) != points
+    )
+    fitted = inputs.inverters.select(*inverter.KEY).join(fit, inverter.KEY, "left")
+    return quality.plant_status(
+        quality.violations(inputs.inverters, short, "inverter_points", "inverter without all measured points"),
+        quality.check_inverter_fit(fitted),
+    )
+
+
+def accepted_inputs(inputs: SolarInputs, fit: DataFrame) -> SolarInputs:
+    """The inputs without the plants that fail a check; they are reported by ``status``."""
+    failing = stage(status(inputs, fit).filter("n_bad > 0").select("plant_id").distinct())
+    keep = lambda df: df.join(failing, "plant_id", "left_anti")
+    return replace(inputs, plants=keep(inputs.plants), inverters=keep(inputs.inverters), arrays=keep(inputs.arrays))
+
+
 def static_arrays(inputs: SolarInputs) -> DataFrame:
     """Arrays with everything that does not change by the hour."""
     site = inputs.plants.select("plant_id", "albedo", "l_pct")
-    return inputs.arrays.join(site, "plant_id").join(inputs.modules, "inverter_id")
+    return inputs.arrays.join(site, "plant_id").join(inputs.modules, inverter.KEY)
 
 
 def plane_of_arrays(hours: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -67,7 +88,9 @@ def array_output(inputs: SolarInputs) -> DataFrame:
 
 
 def hourly_energy(inputs: SolarInputs) -> DataFrame:
-    fit = inverter.inverter_fit(inverter.inverter_samples(inputs.inverters))
+    """Hourly energy of the plants that pass all checks."""
+    fit = stage(inverter.inverter_fit(inverter.inverter_samples(inputs.inverters)))
+    inputs = accepted_inputs(inputs, fit)
     ac = inverter.inverter_ac(array_output(inputs), inputs.inverters, fit)
     return inverter.plant_losses(energy.hourly_energy_solar(ac), inputs.plants)
 

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmwatt.operators import curves, energy, farm_correction, layout, turbine_power, wake
+from firmwatt.operators import (
+    curves,
+    energy,
+    farm_correction,
+    layout,
+    quality,
+    turbine_power,
+    wake,
+)
 from firmwatt.sources.sinks import stage
 
 
@@ -36,6 +44,47 @@ class WindInputs:
     series: DataFrame
 
 
+def status(inputs: WindInputs) -> DataFrame:
+    """What would cut turbines out of a plant: one row per plant and check.
+
+    The joins of the plan are inner joins; a turbine without a match in one of them would
+    lower its plant's energy unseen. Only dimension tables and the ids of the series are read.
+    """
+    turbines = inputs.turbines
+    curves_ok = inputs.points.groupBy("model_id").agg(F.countDistinct("v").alias("n")).filter("n >= 4")
+    known = inputs.models.select("model_id").join(curves_ok, "model_id", "left_semi").distinct()
+    plants = inputs.plants.select("plant_id", "measured", "series_id")
+    measured = turbines.join(plants.filter("measured"), "plant_id", "left_semi")
+    declared = measured.filter("declared_tower IS NOT NULL").withColumnRenamed("declared_tower", "tower_id")
+    driven = (
+        plants.filter(~F.col("measured"))
+        .select("plant_id", "series_id")
+        .union(inputs.towers.select("plant_id", "series_id"))
+    )
+    place = ["plant_id", "turbine_id"]
+
+    def without(rows: DataFrame, other: DataFrame, on: list[str], task: str, message: str) -> DataFrame:
+        there = other.select(*on).distinct().withColumn("there", F.lit(True))
+        return quality.violations(rows.join(there, on, "left"), F.col("there").isNull(), task, message)
+
+    return quality.plant_status(
+        without(turbines, known, ["model_id"], "models", "turbine model unknown or with fewer than 4 points"),
+        without(turbines, inputs.links, place, "cables", "turbine without a cable"),
+        without(inputs.links, turbines, place, "links", "cable to an unknown turbine"),
+        without(declared, inputs.towers, ["plant_id", "tower_id"], "towers", "turbine with an unknown tower"),
+        without(plants, inputs.strings, ["plant_id"], "strings", "plant without cable strings"),
+        without(driven, inputs.series, ["series_id"], "series", "no weather for a tower or plant"),
+    )
+
+
+def accepted_inputs(inputs: WindInputs) -> WindInputs:
+    """The inputs without the plants that fail a check; they are reported by ``status``."""
+    # a small table, read by two joins
+    failing = stage(status(inputs).filter("n_bad > 0").select("plant_id").distinct())
+    keep = lambda df: df.join(failing, "plant_id", "left_anti")
+    return replace(inputs, plants=keep(inputs.plants), turbines=keep(inputs.turbines), links=keep(inputs.links))
+
+
 def assigned_turbines(inputs: WindInputs) -> DataFrame:
     """Turbines with the series that drives them: their tower's in measured
     plants, the plant's own elsewhere."""
@@ -128,6 +177,8 @@ def rated_power(slowed: DataFrame, turbines: DataFrame, segments: DataFrame) ->
 
 
 def hourly_energy(inputs: WindInputs) -> DataFrame:
+    """Hourly energy of the plants that pass all checks."""
+    inputs = accepted_inputs(inputs)
     return energy.hourly_energy_wind(turbine_output(inputs), inputs.plants)
 
 

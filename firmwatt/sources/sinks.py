@@ -65,10 +65,12 @@ def write_results(
 ) -> dict[str, DataFrame]:
     """All five result tables.
 
-    The hourly energy, the costly part, is written first; the other tables are
-    derived from the stored copy, so losing executors never repeats the physics.
+    The hourly energy of this run, the costly part, is stored first; all tables are
+    derived from that copy, so losing executors never repeats the physics, and the
+    plants of earlier runs are neither read nor written.
     """
-    stored = write_table(hourly, f"{base}/energy", "ts")
+    stored = stage(hourly)
+    write_table(stored, f"{base}/energy", "ts")
     return {name: write_table(df, f"{base}/{name}") for name, df in results(stored).items()}
 
 

@@ -228,8 +228,8 @@ def test_fit_matches_least_squares(spark):
     from firmwatt.operators import inverter
 
     units = spark.createDataFrame(
-        [(1, 2e5, 1174.0, INVERTER_DC, INVERTER_AC)],
-        "inverter_id int, paco double, vdco double, p_dc_points array<double>, "
+        [(1, 1, 2e5, 1174.0, INVERTER_DC, INVERTER_AC)],
+        "plant_id int, inverter_id int, paco double, vdco double, p_dc_points array<double>, "
         "p_ac_points array<double>",
     )
     got = inverter.inverter_fit(inverter.inverter_samples(units)).first()

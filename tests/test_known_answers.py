@@ -270,8 +270,8 @@ def test_inverter_output_at_rated_power(spark):
     )
     fit = inverter.inverter_fit(inverter.inverter_samples(units))
     hours = spark.createDataFrame(
-        [(1, 1, 1174.0, 202507.04), (1, 2, 1174.0, 10.0), (1, 3, 1174.0, 9e5), (1, 4, 0.0, 0.0)],
-        "inverter_id int, ts int, v_mp double, p_mp double",
+        [(1, 1, 1, 1174.0, 202507.04), (1, 1, 2, 1174.0, 10.0), (1, 1, 3, 1174.0, 9e5), (1, 1, 4, 0.0, 0.0)],
+        "plant_id int, inverter_id int, ts int, v_mp double, p_mp double",
     )
     got = [r.p_ac for r in inverter.inverter_ac(hours, units, fit).orderBy("ts").collect()]
     assert got == pytest.approx([4e5, 0.0, 4e5, 0.0])

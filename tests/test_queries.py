@@ -4,10 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registered
+from firmwatt.checks import oracles
+from firmwatt.checks import queries as engine
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
-QUERIES, SQL = registered.queries(), registered.oracle_sql()
+QUERIES, SQL = engine.queries(), oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -40,5 +42,9 @@ def test_only_writers_have_no_sql():
     assert set(QUERIES) - set(SQL) == {"write_result_tables", "write_csv", "ingest_requests_stream"}
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(registered.queries()) and set(SQL) <= set(registered.oracle_sql())
+
+
 def test_entry(spark):
     assert registered.entry(spark).count() == 120

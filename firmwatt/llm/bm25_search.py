@@ -34,7 +34,7 @@ from firmwatt.llm.common import ship, slices, stage, word_hashes
 
 K1, B, TOP = 1.2, 0.75, 10
 SHARD_DOCS, BLOCK_DOCS, QUERY_WORDS = 8192, 32, 2_000_000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

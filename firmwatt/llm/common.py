@@ -77,6 +77,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Longer tables, for very long texts, are not kept by the worker.
+KEPT_POWERS = 1 << 21
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -91,7 +93,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             down = np.full(size, inverse, np.uint64)
             up[0] = down[0] = 1
             have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        _POWERS[0] = have
+        if size <= KEPT_POWERS:
+            _POWERS[0] = have
     return have
 
 

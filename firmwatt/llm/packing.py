@@ -28,7 +28,7 @@ from firmwatt.llm.common import ship, stage
 WINDOW = 2048
 END_TOKEN = 1
 SHARD_PIECES = 4096
-CACHE_UNITS = 400_000
+CACHE_UNITS = 150_000
 
 #: Splits a text as the byte-level tokenizer does (published pattern of its family).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"

@@ -158,7 +158,7 @@ WITH RECURSIVE urls AS (
     SELECT host, pages, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM hosts LEFT JOIN scores USING (host)
 )
 SELECT page_id, host, path, found.rule AS rule, coalesce(found.action, CASE WHEN host != '' AND distrust > 2 * trust
-    AND distrust >= 0.25 * 0.15 * pages THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust
+    AND distrust >= round(0.25 * 0.15 * pages, 6) THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust
 FROM ruled JOIN ranked USING (host)
 """
 

@@ -124,7 +124,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
         F.coalesce("trust", F.lit(0.0)).alias("trust"),
         F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
     )
-    bad = (F.col("distrust") > RATIO * F.col("trust")) & (F.col("distrust") >= SHARE * (1 - DAMPING) * F.col("pages"))
+    bad = (F.col("distrust") > RATIO * F.col("trust")) & (
+        F.col("distrust") >= F.round(SHARE * (1 - DAMPING) * F.col("pages"), 6)
+    )
     ranked = stage(ranked.withColumn("bad", bad & (F.col("of_host") != "")))
     method = F.when(F.coalesce("bad", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     return rows.join(ranked, F.col("host") == F.col("of_host"), "left").select(

@@ -62,35 +62,37 @@ class Encoder:
             if piece not in special
         }
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[str, bytes | None] = {}
+        self.starting, self.spaced = Parts(self, ""), Parts(self, " ")
         self.line_feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         ids = self.encoding.encode_to_numpy(text, disallowed_special=())
         return ids.astype("<u4", copy=False).tobytes()
 
-    def _part(self, part: str) -> bytes | None:
-        body = part[1:] if part[:1] == " " else part
-        odd = not body or body[0].isspace() or body[-1].isspace()
-        if len(self.cache) >= CACHE_UNITS:
-            self.cache.clear()
-        found = self.cache[part] = None if odd else self.whole(part)
-        return found
-
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        cache, out = self.cache, []
-        for number, line in enumerate(text.split("\n")):
+        starting, spaced, out = self.starting, self.spaced, []
+        for line in text.split("\n"):
             first, *rest = line.split(" ")
-            if number:
-                out.append(self.line_feed)
-            for part in (first, *[" " + r for r in rest]):
-                ids = cache.get(part) or self._part(part)
-                if ids is None:
-                    return self.whole(text)
-                out.append(ids)
-        return b"".join(out)
+            out.append(self.line_feed)
+            out.append(starting[first])
+            out += [spaced[r] for r in rest]
+        return self.whole(text) if None in out else b"".join(out[1:])
+
+
+class Parts(dict):
+    """Ids of parts of texts after ``before``; None where white space stands at an end."""
+
+    def __init__(self, encoder: Encoder, before: str):
+        self.encoder, self.before = encoder, before
+
+    def __missing__(self, part: str) -> bytes | None:
+        if len(self) >= CACHE_UNITS:
+            self.clear()
+        odd = not part or part[0].isspace() or part[-1].isspace()
+        found = self[part] = None if odd else self.encoder.whole(self.before + part)
+        return found
 
 
 _ENCODERS: dict[int, Encoder] = {}

@@ -620,6 +620,9 @@ def _finals() -> dict[str, str]:
         "wind_plant": _plant_result(
             "windh", "farm", 24, "CASE WHEN measured THEN least(lowest, cap) ELSE least(lowest, cap) * 0.6e0 END"
         ),
+        "wind_request_result": _plant_result(
+            "windh", "farm", 24, "CASE WHEN measured THEN least(lowest, cap) ELSE least(lowest, cap) * 0.6e0 END"
+        ),
         "sun_position": f"SELECT {skey}, {r('zenith', 4, 'zenith')}, {r('azimuth', 4, 'azimuth')} FROM sun",
         "extraterrestrial": f"SELECT event_id, {r('1366.1e0 * orb', 4, 'iext')} FROM"
             " (SELECT event_id, 1.00011e0 + 0.034221e0 * cos(b) + 0.00128e0 * sin(b)"

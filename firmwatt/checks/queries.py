@@ -103,7 +103,7 @@ def _power(spark: SparkSession, sf: str) -> DataFrame:
 
 def _behind(spark: SparkSession, sf: str) -> DataFrame:
     hours, turbines = _hours(spark, sf), _turbines(spark, sf)
-    factors = layout.upwind_factor(turbines, layout.mean_direction(hours))
+    factors = _factors(spark, sf)
     return farm_correction.behind_lead(hours, layout.lead_turbine(factors), turbines)
 
 
@@ -461,7 +461,7 @@ def mean_hub_height(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mean_direction(spark: SparkSession, sf: str) -> DataFrame:
-    means = layout.mean_direction(_hours(spark, sf))
+    means = layout.mean_direction(_turbines(spark, sf), _air(spark, sf))
     return means.select("plant_id", stamp(), num("mean_dir", 6))
 
 
@@ -491,7 +491,8 @@ def inverter_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _factors(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.upwind_factor(_turbines(spark, sf), layout.mean_direction(_hours(spark, sf)))
+    turbines = _turbines(spark, sf)
+    return layout.upwind_factor(turbines, layout.mean_direction(turbines, _air(spark, sf)))
 
 
 def upwind_rank(spark: SparkSession, sf: str) -> DataFrame:
@@ -621,6 +622,13 @@ def wind_plant_query(spark: SparkSession, sf: str) -> DataFrame:
     return _plant_result(wind_plant.hourly_energy(inputs), inputs.plants, energy.firm_energy_wind)
 
 
+def wind_request_result(spark: SparkSession, sf: str) -> DataFrame:
+    """Firm energy of the farms as their request messages describe them."""
+    series = T.wind_inputs(spark, sf).series.withColumn("series_id", T.series_file(F.col("series_id")))
+    inputs = wind_plant.from_requests(T.wind_requests(spark, sf), series)
+    return _plant_result(wind_plant.hourly_energy(inputs), inputs.plants, energy.firm_energy_wind)
+
+
 # --- solar -----------------------------------------------------------------------------
 
 
@@ -722,7 +730,7 @@ def ingest_requests_stream(spark: SparkSession, sf: str) -> DataFrame:
     base = sinks.shared_folder(spark)
     T.plain_requests(spark, sf).write.json(f"{base}/incoming")
     ingest_requests(spark, f"{base}/incoming", f"{base}/checkpoint", append_to(f"{base}/routed"))
-    return spark.read.schema(f"{T.REQUEST_SCHEMA}, route string, batch int").parquet(
+    return spark.read.schema(f"{T.REQUEST_SCHEMA}, batch int, route string").parquet(
         f"{base}/routed"
     ).select("plant_id", "TipoMensaje", "CuerpoMensaje", "route")
 
@@ -740,7 +748,8 @@ _QUERIES: list[Query] = [
     inverter_fit, upwind_rank, lead_turbine, cable_hops, cable_path, out_hourly, out_monthly,
     out_daily, out_firm, out_surplus, month_list, union_series, correct_curves,
     downwind_distance, ibl_height, large_farm_correction, wake_speeds, cable_loss,
-    connection_loss_wind, turbine_power_query, wind_plant_query, sun_position,
+    connection_loss_wind, turbine_power_query, wind_plant_query,
+    wind_request_result, sun_position,
     extraterrestrial, dni_disc, dhi_closure, surface_orientation, poa_perez, poa_bifacial,
     panel_temperature, circuit_params, max_power_point, string_scaling, dc_losses, inverter_ac,
     plant_losses_solar, solar_plant_query, ingest_requests_stream,

@@ -7,7 +7,7 @@ line items the metered energy, parts the modules.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmwatt import schemas
@@ -324,12 +324,19 @@ def solar_inputs(spark: SparkSession, sf_dir: str) -> SolarInputs:
 # --- requests --------------------------------------------------------------------------
 
 
+def series_file(series_id: Column) -> Column:
+    return F.concat(F.lit("station-"), series_id.cast("string"), F.lit(".parquet"))
+
+
 def wind_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One wind request per farm, as the JSON text a client would send."""
     t = turbines(spark, sf_dir)
     spots = (
         t.join(models(spark), "model_id")
-        .groupBy("plant_id", "model_id", "hub", "rotor_d", "p_nom")
+        .groupBy(
+            "plant_id", "model_id", "hub", "rotor_d", "p_nom", "v_nom", "rho_nom", "v_min", "v_max",
+            "t_min", "t_max",
+        )
         .agg(
             F.sort_array(
                 F.collect_list(
@@ -365,6 +372,9 @@ def wind_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.expr(
                         "named_struct('ModeloAerogenerador', model_id, 'AlturaBuje', hub,"
                         " 'DiametroRotor', rotor_d, 'PotenciaNominal', p_nom,"
+                        " 'VelocidadNominal', v_nom, 'DensidadNominal', rho_nom,"
+                        " 'VelocidadCorteInferior', v_min, 'VelocidadCorteSuperior', v_max,"
+                        " 'TemperaturaAmbienteMinima', t_min, 'TemperaturaAmbienteMaxima', t_max,"
                         " 'CurvasDelFabricante', curve,"
                         " 'EspecificacionesEspacialesAerogeneradores', spots)"
                     )
@@ -374,13 +384,15 @@ def wind_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     masts = (
         towers(spark, sf_dir)
+        .withColumn("file", series_file(F.col("series_id")))
         .groupBy("plant_id")
         .agg(
             F.sort_array(
                 F.collect_list(
                     F.expr(
                         "named_struct('IdentificadorTorre', CAST(tower_id AS STRING), 'Latitud', lat,"
-                        " 'Longitud', lon, 'Elevacion', elev, 'RadioRepresentatividad', radius_km)"
+                        " 'Longitud', lon, 'Elevacion', elev, 'RadioRepresentatividad', radius_km,"
+                        " 'ArchivoSeriesRelacionado', file)"
                     )
                 )
             ).alias("masts")
@@ -418,10 +430,11 @@ def wind_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         " 'Offshore', offshore, 'Elevacion', pcc_elev, 'Voltaje', kv),"
         " 'ParametrosConfiguracion', named_struct('SistemasDeMedicion', masts,"
         " 'Aerogeneradores', groups, 'ParametroConexion', cables),"
-        " 'ArchivoSeries', named_struct('Nombre', concat(name, '.parquet'))))"
+        " 'ArchivoSeries', named_struct('Nombre', file)))"
     )
     return (
         wind_plants(spark, sf_dir)
+        .withColumn("file", series_file(F.col("series_id")))
         .join(groups, "plant_id")
         .join(masts, "plant_id")
         .join(cables, "plant_id")

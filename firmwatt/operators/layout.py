@@ -146,9 +146,17 @@ def local_offsets(turbines: DataFrame) -> DataFrame:
     )
 
 
-def mean_direction(turbine_hours: DataFrame) -> DataFrame:
-    """Arithmetic mean of the wind direction over a farm's turbines."""
-    return turbine_hours.groupBy("plant_id", "ts").agg(F.avg("direction").alias("mean_dir"))
+def mean_direction(turbines: DataFrame, series: DataFrame) -> DataFrame:
+    """Arithmetic mean of the wind direction over a farm's turbines, by hour.
+
+    All turbines of a series see the same direction, so the hours of a farm's few series are
+    weighted by their numbers of turbines; turbine hours are never formed.
+    """
+    driven = turbines.groupBy("plant_id", "series_id").agg(F.count("*").alias("_n"))
+    weight = F.when(F.col("direction").isNotNull(), F.col("_n"))
+    return driven.join(series.select("series_id", "ts", "direction"), "series_id").groupBy(
+        "plant_id", "ts"
+    ).agg(F.try_divide(F.sum(F.col("direction") * F.col("_n")), F.sum(weight)).alias("mean_dir"))
 
 
 def upwind_factor(offsets: DataFrame, directions: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from firmwatt.constants import INVERTER_LEVELS, POINTS_PER_LEVEL
 from firmwatt.operators import array_power, cleaning, energy, inverter, irradiance, quality
+from firmwatt.sources import requests as plant_requests
 from firmwatt.sources.sinks import stage
 
 
@@ -33,6 +34,26 @@ class SolarInputs:
     series: DataFrame
 
 
+def from_requests(requests: DataFrame, series: DataFrame, circuits: DataFrame) -> SolarInputs:
+    """The inputs that solar requests describe.
+
+    ``series`` has the file's name as ``series_id``. ``circuits`` has the six circuit
+    parameters by ``module_model``; a module that it lacks keeps them NULL.
+    """
+    dims = plant_requests.solar_dimensions(requests)
+    parameters = circuits.select(
+        "module_model", "a_ref", "il_ref", "i0_ref", "rs_ref", "rsh_ref", "adjust"
+    )
+    files = dims["plants"].select("plant_id", F.col("series_file").alias("series_id"))
+    return SolarInputs(
+        plants=dims["plants"].drop("series_file"),
+        inverters=dims["inverters"],
+        arrays=dims["arrays"],
+        modules=dims["modules"].join(parameters, "module_model", "left"),
+        series=series.join(files, "series_id").drop("series_id"),
+    )
+
+
 def status(inputs: SolarInputs, fit: DataFrame) -> DataFrame:
     """Inverters whose points or fit are not valid; they would be missing in a plant's sum."""
     points = len(INVERTER_LEVELS) * POINTS_PER_LEVEL

@@ -16,6 +16,7 @@ from firmwatt.operators import (
     turbine_power,
     wake,
 )
+from firmwatt.sources import requests as plant_requests
 from firmwatt.sources.sinks import stage
 
 
@@ -44,6 +45,29 @@ class WindInputs:
     series: DataFrame
 
 
+def from_requests(requests: DataFrame, series: DataFrame) -> WindInputs:
+    """The inputs that wind requests describe; ``series`` has the file's name as ``series_id``.
+
+    Two plants may give the same name to different models, so a model is keyed by its
+    content: equal curves of many plants are still built once.
+    """
+    dims = plant_requests.wind_dimensions(requests)
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.drop("model_id").withColumnRenamed("model_key", "model_id")
+
+    return WindInputs(
+        plants=dims["plants"].withColumnRenamed("series_file", "series_id"),
+        turbines=keyed(dims["turbines"]),
+        towers=dims["towers"].withColumnRenamed("series_file", "series_id"),
+        models=keyed(dims["models"]).drop("plant_id").dropDuplicates(["model_id"]),
+        points=keyed(dims["points"]).drop("plant_id").dropDuplicates(["model_id", "idx"]),
+        strings=dims["strings"],
+        links=dims["links"],
+        series=series,
+    )
+
+
 def status(inputs: WindInputs) -> DataFrame:
     """What would cut turbines out of a plant: one row per plant and check.
 
@@ -136,7 +160,7 @@ def free_speeds(turbines: DataFrame, series: DataFrame) -> DataFrame:
     )
     at_sea = turbines.filter("offshore")
     offshore = layout.fan_out_series(at_sea.select(*place), series)
-    factors = layout.upwind_factor(at_sea, layout.mean_direction(offshore))
+    factors = layout.upwind_factor(at_sea, layout.mean_direction(at_sea, series))
     behind = farm_correction.behind_lead(offshore, layout.lead_turbine(factors), turbines)
     corrections = farm_correction.large_farm_correction(behind, layout.mean_hub_height(at_sea))
     corrected = farm_correction.apply_corrections(offshore, corrections)

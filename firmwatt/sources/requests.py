@@ -10,25 +10,17 @@ from firmwatt import schemas
 SOLAR, WIND = 0, 1
 
 
-def dispatch(requests: DataFrame) -> dict[str, DataFrame]:
-    """Requests by route; a kind that is not known goes to ``rejected``."""
+def with_route(requests: DataFrame) -> DataFrame:
+    """Requests with their ``route``; a kind that is not known goes to ``rejected``."""
     kind = F.col("TipoMensaje")
-    return {
-        "solar": requests.filter(kind == SOLAR),
-        "wind": requests.filter(kind == WIND),
-        "rejected": requests.filter(kind.isNull() | ~kind.isin(SOLAR, WIND)),
-    }
+    route = F.when(kind == SOLAR, "solar").when(kind == WIND, "wind").otherwise("rejected")
+    return requests.withColumn("route", route)
 
 
 def dispatch_log(requests: DataFrame) -> DataFrame:
     """One row per request with its route."""
-    routes = dispatch(requests)
-    message = {"rejected": "unknown plant kind"}
-    parts = [
-        df.select("plant_id", F.lit(r).alias("route"), F.lit(message.get(r, "ok")).alias("message"))
-        for r, df in routes.items()
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    message = F.when(F.col("route") == "rejected", "unknown plant kind").otherwise("ok")
+    return with_route(requests).select("plant_id", "route", message.alias("message"))
 
 
 def _common(prefix: str = "t") -> list:
@@ -70,9 +62,16 @@ def wind_dimensions(requests: DataFrame) -> dict[str, DataFrame]:
         F.col("s.RadioRepresentatividad").alias("radius_km"),
         F.col("s.ArchivoSeriesRelacionado").alias("series_file"),
     )
-    model = body.select("plant_id", F.posexplode("c.Aerogeneradores").alias("m_pos", "m"))
+    # A model's content without its turbines; plants may use one name for different models.
+    content = F.to_json(
+        F.col("m").dropFields("EspecificacionesEspacialesAerogeneradores", "CantidadAerogeneradores")
+    )
+    model = body.select("plant_id", F.posexplode("c.Aerogeneradores").alias("m_pos", "m")).withColumn(
+        "model_key", F.sha2(content, 256)
+    )
     models = model.select(
         "plant_id",
+        "model_key",
         F.col("m.ModeloAerogenerador").alias("model_id"),
         F.col("m.AlturaBuje").alias("hub"),
         F.col("m.DiametroRotor").alias("rotor_d"),
@@ -86,16 +85,17 @@ def wind_dimensions(requests: DataFrame) -> dict[str, DataFrame]:
     )
     points = model.select(
         "plant_id",
+        "model_key",
         F.col("m.ModeloAerogenerador").alias("model_id"),
         F.posexplode("m.CurvasDelFabricante").alias("idx", "p"),
     ).select(
-        "plant_id", "model_id", "idx",
+        "plant_id", "model_key", "model_id", "idx",
         F.col("p.SerieVelocidad").alias("v"),
         F.col("p.SeriePotencia").alias("p"),
         F.col("p.SerieCoeficiente").alias("ct"),
     )
     turbines = model.select(
-        "plant_id", "m_pos",
+        "plant_id", "m_pos", "model_key",
         F.col("m.ModeloAerogenerador").alias("model_id"),
         F.posexplode("m.EspecificacionesEspacialesAerogeneradores").alias("t_pos", "e"),
     ).select(
@@ -103,6 +103,7 @@ def wind_dimensions(requests: DataFrame) -> dict[str, DataFrame]:
         F.col("e.Aerogenerador").alias("turbine_id"),
         # Declaration order over all models, without counting the ones before.
         (F.col("m_pos").cast("bigint") * 4294967296 + F.col("t_pos")).alias("ordinal"),
+        "model_key",
         "model_id",
         F.col("e.Latitud").alias("lat"),
         F.col("e.Longitud").alias("lon"),

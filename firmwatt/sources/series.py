@@ -26,13 +26,13 @@ def read_solar_series(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_tower_series(spark: SparkSession, path: str | list[str], files: DataFrame) -> DataFrame:
     """Cleaned series of many towers in one scan.
 
-    ``files`` maps ``file_name`` to ``tower_id`` (and ``plant_id``). One multi-path
-    read and one join on the file name replace a read per tower.
+    ``files`` maps ``file_path``, the whole path, to ``tower_id`` (and ``plant_id``): files
+    of two folders may share a name. One multi-path read and one join replace a read per tower.
     """
     raw = read_series(spark, path, schemas.RAW_WIND).withColumn(
-        "file_name", F.col("_metadata.file_name")
+        "file_path", F.col("_metadata.file_path")
     )
-    return tag_towers(raw, files, "file_name")
+    return tag_towers(raw, files, "file_path")
 
 
 def tag_towers(raw: DataFrame, files: DataFrame, key: str) -> DataFrame:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from firmwatt import schemas
-from firmwatt.sources.requests import dispatch
+from firmwatt.sources.requests import with_route
 
 
 def request_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,17 +18,16 @@ def ingest_requests(
     spark: SparkSession,
     folder: str,
     checkpoint: str,
-    handle: Callable[[str, DataFrame, int], None],
+    handle: Callable[[DataFrame, int], None],
 ) -> None:
     """Route every request that has arrived since the last run, then stop.
 
-    ``handle(route, requests, batch_id)`` gets each route of a micro-batch; the
+    ``handle(requests, batch_id)`` gets each micro-batch with a ``route`` column; the
     checkpoint makes sure that no file is taken twice.
     """
 
     def route(batch: DataFrame, batch_id: int) -> None:
-        for name, part in dispatch(batch).items():
-            handle(name, part, batch_id)
+        handle(with_route(batch), batch_id)
 
     query = (
         request_stream(spark, folder)
@@ -41,13 +39,11 @@ def ingest_requests(
     query.awaitTermination()
 
 
-def append_to(base: str) -> Callable[[str, DataFrame, int], None]:
+def append_to(base: str) -> Callable[[DataFrame, int], None]:
     """A handler that stores each batch under its own id, so a repeated batch
     overwrites itself instead of adding rows twice."""
 
-    def handle(route: str, part: DataFrame, batch_id: int) -> None:
-        part.withColumn("route", F.lit(route)).write.mode("overwrite").parquet(
-            f"{base}/route={route}/batch={batch_id}"
-        )
+    def handle(routed: DataFrame, batch_id: int) -> None:
+        routed.write.mode("overwrite").partitionBy("route").parquet(f"{base}/batch={batch_id}")
 
     return handle

@@ -28,9 +28,9 @@ def test_read_series_and_towers(spark, tmp_path):
     got = series.read_wind_series(spark, str(tmp_path / "a")).orderBy("ts").collect()
     assert got[1].ts == dt.datetime(2008, 1, 1, 23) and got[1].wind == 9.73
     names = spark.read.parquet(str(tmp_path / "a"), str(tmp_path / "b")).select(
-        F.col("_metadata.file_name").alias("file_name")
+        F.col("_metadata.file_path").alias("file_path")
     ).distinct()
-    files = names.select("file_name", F.hash("file_name").alias("tower_id"))
+    files = names.select("file_path", F.hash("file_path").alias("tower_id"))
     towers = series.read_tower_series(spark, [str(tmp_path / n) for n in ("a", "b")], files)
     assert towers.count() == 4 and towers.select("tower_id").distinct().count() == 2
     # Reading leaves the input in place.

@@ -1,5 +1,6 @@
 """Plants with inputs that would lower their energy unseen are reported and left out."""
 
+import json
 from dataclasses import replace
 
 import pytest
@@ -63,3 +64,51 @@ def test_a_bad_date_is_null(spark):
     rows = spark.createDataFrame([(2024, 2, 30, 1), (2024, 2, 29, 1), (2024, 13, 1, 1)], "y int, m int, d int, h int")
     got = [r[0] for r in rows.select(local_stamp(*map(F.col, "ymdh"))).collect()]
     assert got[0] is None and got[2] is None and got[1].day == 29
+
+
+def test_one_model_name_in_two_plants(spark):
+    """Plants that give one name to different models keep their own curves."""
+    requests = T.wind_requests(spark, SF)
+    other = requests.select(
+        (F.col("plant_id") + 1000).alias("plant_id"),
+        "TipoMensaje",
+        F.regexp_replace("CuerpoMensaje", '"PotenciaNominal":', '"PotenciaNominal":0.5,"Era":').alias("CuerpoMensaje"),
+    )
+    series = T.wind_inputs(spark, SF).series
+    series = series.withColumn("series_id", T.series_file(F.col("series_id")))
+    both = wind_plant.from_requests(requests.unionByName(other), series)
+    alone = wind_plant.from_requests(requests, series)
+    names = both.turbines.select("model_id").distinct().count()
+    assert names == 2 * alone.turbines.select("model_id").distinct().count() == both.models.count()
+    assert not wind_plant.status(both).filter("n_bad > 0").count()
+    features = wind_plant.static_turbines(both).groupBy("plant_id").agg(F.max("p_nom").alias("p"))
+    powers = {r["plant_id"]: r["p"] for r in features.collect()}
+    assert all(powers[p] == 0.5 for p in powers if p >= 1000)
+    assert all(powers[p] > 0.5 for p in powers if p < 1000)
+
+
+def test_solar_request_feeds_the_plan(spark):
+    """The module's circuit parameters and the plant's series come by name."""
+    unit = {"NInv": 1, "PACnominal": 2e5, "PDCnominal": 2.1e5, "VDCnominal": 1174.0, "PDCarranque": 900.0,
+            "PACnocturnoW": 10.0, "PowerAc": INVERTER_AC, "PowerDc": INVERTER_DC}
+    module = {"ReferenciaModulo": "m", "Tnoct": 45, "Psi": 0.5, "Bifacial": False, "Bifacialidad": 0,
+              "AlphaSc": 0.05, "Tecnologia": {"Value": "monosi"}}
+    frame = {"EstructuraPlantaConSeguidores": False, "CantidadPanelConectados": [
+        {"Id": 1, "CantidadSerie": 26, "CantidadParalero": 4, "OAzimutal": 180.0, "OElevacion": 10.0}]}
+    body = {
+        "ParametrosTransversales": {"ZonaHoraria": "America/Bogota", "Albedo": 0.2, "L": 14.6, "Cen": 11, "Ihf": 5,
+                                    "Ppi": 1e9, "Kpc": 0.1, "Kt": 0.1, "Kin": 0.1, "Latitud": 4.6,
+                                    "Longitud": -74.1, "InformacionMedida": True},
+        "ParametrosConfiguracion": {"GrupoInversores": [
+            {"ParametrosInversor": unit, "ParametrosModulo": module, "EstructuraYConfiguracion": frame}]},
+        "ArchivoSeries": {"Nombre": "a.parquet"},
+    }
+    sent = spark.createDataFrame([(p, 0, json.dumps(body)) for p in (7, 8)], T.REQUEST_SCHEMA)
+    series = spark.sql(
+        "SELECT 'a.parquet' AS series_id, TIMESTAMP_NTZ '2020-03-01 12:00:00' AS ts, 900D AS ghi,"
+        " 25D AS ta, 0D AS back_irradiance"
+    )
+    circuits = T.modules(spark, SF).limit(1).withColumn("module_model", F.lit("m"))
+    inputs = solar_plant.from_requests(sent, series, circuits)
+    rows = {r["plant_id"]: r["kwh"] for r in solar_plant.hourly_energy(inputs).collect()}
+    assert rows.keys() == {7, 8} and rows[7] == rows[8] > 0

@@ -31,16 +31,18 @@ def parts(conversations: DataFrame, part_turns: int = PART_TURNS, part_rows: int
     text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("< |"))
     speaker = F.coalesce(F.col("role"), F.lit("unknown"))
     part = F.floor(F.col("turn") / part_turns).cast("long")
-    rows = conversations.select("conv_id", part.alias("part"), "turn", speaker.alias("speaker"), text.alias("text"))
+    # numbered at the scan, where a task that is run again meets its rows in the same order
+    number = F.monotonically_increasing_id().alias("number")
+    rows = conversations.select("conv_id", part.alias("part"), "turn", speaker.alias("speaker"), text.alias("text"), number)
     crowded = rows.groupBy("conv_id", "part").count().filter(F.col("count") > part_rows)
     crowded = crowded.select(
         F.col("conv_id").alias("c_conv"), F.col("part").alias("c_part"), F.ceil(F.col("count") * 2 / part_rows).alias("pieces")
     )
     same = F.col("conv_id").eqNullSafe(F.col("c_conv")) & F.col("part").eqNullSafe(F.col("c_part"))
     spread = F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64("turn", "speaker", "text", F.monotonically_increasing_id()), F.col("pieces"))
+        F.pmod(F.xxhash64("turn", "speaker", "text", "number"), F.col("pieces"))
     )
-    return rows.join(crowded, same, "left").withColumn("piece", spread.cast("long")).drop("c_conv", "c_part", "pieces")
+    return rows.join(crowded, same, "left").withColumn("piece", spread.cast("long")).drop("c_conv", "c_part", "pieces", "number")
 
 
 def rotate(conversations: DataFrame) -> DataFrame:

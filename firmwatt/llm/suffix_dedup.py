@@ -45,6 +45,8 @@ LENGTH = 400
 GRAM = 64
 GROUP_BLOCKS = 8000
 GROUP_BYTES = 1 << 20
+#: A key with more than one in so many rows is joined by broadcast.
+HOT_KEYS = 1000
 SEGMENT = 1 << 18
 
 _POSITION = np.uint64((1 << 20) - 1)
@@ -197,6 +199,19 @@ def _renamed(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("doc_id", "r_doc_id").withColumnRenamed("text_hash", "r_text_hash")
 
 
+def _joined(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
+    """Inner join of rows with a table of one row per key; column ``size`` counts the key's rows.
+
+    A key with more than a thousandth of all rows would fill one task. Fewer than a thousand
+    keys can be that frequent, whatever the data, so these are broadcast and their rows stay
+    where they are; only the others are shuffled.
+    """
+    most = rows.count() / HOT_KEYS
+    hot = F.broadcast(groups.filter(F.col(size) > most))
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(groups.filter(F.col(size) <= most), on))
+
+
 def _blocks(keyed: DataFrame, length: int) -> DataFrame:
     id_type = keyed.schema["doc_id"].dataType.simpleString()
 
@@ -222,8 +237,8 @@ def _blocks(keyed: DataFrame, length: int) -> DataFrame:
 def repeated_spans(keyed: DataFrame, length: int, keep: str, group_blocks: int) -> DataFrame:
     """Spans to remove: doc_id, text_hash, begin, end; they may overlap."""
     blocks = stage(_blocks(keyed, length))
-    often = blocks.groupBy("anchor").count().filter("count > 1").select("anchor")
-    blocks = stage(blocks.join(often, "anchor", "left_semi"))
+    often = stage(blocks.groupBy("anchor").agg(F.count("*").alias("rows")).filter("rows > 1"))
+    blocks = stage(_joined(blocks, often, ["anchor"], "rows").drop("rows"))
     kinds = stage(
         blocks.groupBy("anchor", "content").agg(
             F.count("*").alias("copies"),
@@ -231,8 +246,8 @@ def repeated_spans(keyed: DataFrame, length: int, keep: str, group_blocks: int)
             F.min("n").alias("n"),
         )
     )
-    twice = kinds.filter("copies > 1").select("anchor", "content", "first")
-    whole = blocks.join(twice, ["anchor", "content"])
+    twice = kinds.filter("copies > 1").select("anchor", "content", "first", "copies")
+    whole = _joined(blocks, twice, ["anchor", "content"], "copies")
     if keep == "first":
         here = F.struct("doc_id", "text_hash", "start")
         whole = whole.filter(~here.eqNullSafe(F.col("first")))
@@ -241,7 +256,7 @@ def repeated_spans(keyed: DataFrame, length: int, keep: str, group_blocks: int)
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest"))
     # under 'none' an anchor whose blocks are all repeated as a whole is settled
     several = several.filter("kinds > 1" if keep == "first" else "kinds > 1 and fewest = 1").select("anchor", "kinds")
-    texts = stage(_block_texts(keyed, kinds.join(several, "anchor"), length))
+    texts = stage(_block_texts(keyed, _joined(kinds, stage(several), ["anchor"], "kinds"), length))
     small, large = texts.filter(F.col("kinds") <= group_blocks), texts.filter(F.col("kinds") > group_blocks)
     parts = spans.unionByName(_by_suffix_order(small, length, keep))
     if large.limit(1).count():
@@ -318,7 +333,7 @@ def _by_window_hash(texts: DataFrame, length: int, keep: str) -> DataFrame:
     )
     place = F.struct("doc_id", "text_hash", "start")
     twice = each.groupBy("window").agg(F.count("*").alias("c"), F.min(place).alias("first")).filter("c > 1")
-    found = each.join(twice, "window")
+    found = _joined(each, stage(twice), ["window"], "c")
     found = found.filter(~place.eqNullSafe(F.col("first"))) if keep == "first" else found.filter("copies = 1")
     return found.select(*_KEY, F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
 

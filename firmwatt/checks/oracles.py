@@ -13,9 +13,33 @@ from functools import cache
 import numpy as np
 
 from firmwatt.checks import tables as T
-from firmwatt.constants import PEREZ_BINS, TECHNOLOGY_CODES
-from firmwatt.operators.array_power import CURVE_STEPS, STEPS
-from firmwatt.operators.farm_correction import HEIGHT_STEPS
+
+# More solver steps than the operators take: results that had not converged would differ.
+POINT_STEPS, HEIGHT_STEPS = 9, 40
+
+# Spellings of the module technology by their code.
+TECHNOLOGY_SPELLINGS = {
+    "monoSi": ["Mono-c-Si", "monoSi", "monosi", "c-Si", "xsi", "mtSiMono"],
+    "multiSi": ["Multi-c-Si", "multiSi", "multisi", "mc-Si", "EFG mc-Si"],
+    "poliSi": ["polySi", "polysi", "mtSiPoly"],
+    "cis": ["CIS", "cis"],
+    "cigs": ["CIGS", "cigs"],
+    "cdte": ["CdTe", "cdte", "Thin Film", "GaAs"],
+    "amorphous": ["amorphous", "asi", "a-Si / mono-Si", "2-a-Si", "3-a-Si", "Si-Film", "HIT-Si"],
+}
+TECHNOLOGY_CODES = {x: code for code, found in TECHNOLOGY_SPELLINGS.items() for x in found}
+
+# Perez (1990), one row per clearness bin: lower edge, f11, f12, f13, f21, f22, f23.
+PEREZ_BINS = [
+    (0.0, -0.008, 0.588, -0.062, -0.060, 0.072, -0.022),
+    (1.065, 0.130, 0.683, -0.151, -0.019, 0.066, -0.029),
+    (1.23, 0.330, 0.487, -0.221, 0.055, -0.064, -0.026),
+    (1.5, 0.568, 0.187, -0.295, 0.109, -0.152, -0.014),
+    (1.95, 0.873, -0.392, -0.362, 0.226, -0.462, 0.001),
+    (2.8, 1.132, -1.237, -0.412, 0.288, -0.823, 0.056),
+    (4.5, 1.060, -1.600, -0.359, 0.264, -1.127, 0.131),
+    (6.2, 0.678, -0.327, -0.250, 0.156, -1.377, 0.251),
+]
 
 
 def r(x: str, n: int = 4, name: str | None = None) -> str:
@@ -415,20 +439,20 @@ def _solver_ctes() -> None:
         top AS uo, il * rs AS us FROM (SELECT *, CASE WHEN il > 0 AND rsh IS NOT NULL
         THEN least(a * ln(il / i0 + 1), il * rsh) END AS top FROM circ)"""
     iu, du, cu = i.format(u="up"), d.format(u="up"), c.format(u="up")
-    for k in range(STEPS):
+    for k in range(POINT_STEPS):
         CTES[f"mp{k + 1}"] = f"""SELECT * REPLACE (
             up - ({du} * (up - {iu} * rs) + {iu} * (1 - {du} * rs)) / ({cu} * (up - {iu} * rs)
               + 2 * {du} * (1 - {du} * rs) - {iu} * {cu} * rs) AS up,
             uo - {i.format(u='uo')} / {d.format(u='uo')} AS uo, {at('us', '0')} AS us) FROM mp{k}"""
     CTES["mx0"] = f"""SELECT *, least(uo, uo / 2 + il * rs) AS ux, least(uo, (uo + vm) / 2 + il * rs) AS uxx
-        FROM (SELECT *, {iu} AS im, up - {iu} * rs AS vm FROM mp{STEPS})"""
-    for k in range(CURVE_STEPS):
+        FROM (SELECT *, {iu} AS im, up - {iu} * rs AS vm FROM mp{POINT_STEPS})"""
+    for k in range(POINT_STEPS):
         CTES[f"mx{k + 1}"] = f"""SELECT * REPLACE ({at('ux', '(uo / 2)')} AS ux,
             {at('uxx', '((uo + vm) / 2)')} AS uxx) FROM mx{k}"""
     CTES["mpp"] = f"""SELECT *, coalesce({i.format(u='us')}, 0) AS i_sc, coalesce(uo, 0) AS v_oc,
         coalesce(im, 0) AS i_mp, coalesce(vm, 0) AS v_mp, coalesce(im * vm, 0) AS p_mp,
         coalesce({i.format(u='ux')}, 0) AS i_x, coalesce({i.format(u='uxx')}, 0) AS i_xx
-        FROM mx{CURVE_STEPS}"""
+        FROM mx{POINT_STEPS}"""
 
 
 _solver_ctes()
@@ -504,6 +528,7 @@ def _finals() -> dict[str, str]:
         f" {r('ta', 4, 'ta')}, {r('wind', 4, 'wind')}"
     )
     firm = f"plant_id, {ym}, {r('firm', 4, 'firm')}"
+    route = "CASE s_nationkey % 3 WHEN 0 THEN 'solar' WHEN 1 THEN 'wind' ELSE 'rejected' END"
     return {
         "scan_series": f"SELECT plant_id, {reading} FROM reading",
         "scan_towers": f"""SELECT w.plant_id, tower_id, {reading} FROM reading d
@@ -518,11 +543,27 @@ def _finals() -> dict[str, str]:
         "dispatch_by_type": """SELECT s_suppkey AS plant_id, CASE s_nationkey % 3 WHEN 0 THEN 'solar'
             WHEN 1 THEN 'wind' ELSE 'rejected' END AS route, CASE s_nationkey % 3 WHEN 2
             THEN 'unknown plant kind' ELSE 'ok' END AS message FROM supplier""",
-        "result_payload": """SELECT plant_id, concat('{"enficc":[{"anio":', year(f.month), ',"mes":', month(f.month),
-            ',"valor":"', round_even(firm, 0)::BIGINT, '"}],"eda":[', e.eda, ']}') AS payload
-            FROM firm_s f JOIN (SELECT plant_id, string_agg(concat('{"anio":', year(month), ',"mes":', month(month),
-            ',"valor":"', coalesce(surplus::DECIMAL(18, 2)::VARCHAR, 'N/A'), '"}'), ',' ORDER BY month) AS eda
+        "write_result_tables": """SELECT 'hourly' AS result, count(*) AS rows FROM menergy
+            UNION ALL SELECT 'monthly', count(*) FROM monthly UNION ALL SELECT 'daily', count(*) FROM daily
+            UNION ALL SELECT 'firm', count(*) FROM firm_s UNION ALL SELECT 'surplus', count(*) FROM surplus""",
+        "write_csv": f"SELECT plant_id, {ym}, {r('monthly', 2, 'energy_kwh_month')} FROM monthly",
+        "ingest_requests_stream": f"""SELECT s_suppkey AS plant_id, (s_nationkey % 3)::INT AS "TipoMensaje",
+            concat('{{"ArchivoSeries":{{"Nombre":"', s_name, '"}}}}') AS "CuerpoMensaje", {route} AS route FROM supplier""",
+        "request_status": """SELECT s_suppkey AS plant_id, 'request' AS task, CASE s_nationkey % 3
+            WHEN 2 THEN 'unknown plant kind' ELSE 'request cannot be read' END AS message, 1 AS n_bad FROM supplier""",
+        "accepted_plants": """SELECT plant_id FROM mplant
+            WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180""",
+        "result_payload": """SELECT plant_id, concat('{"ArchivoResultados":"results/', plant_id,
+            '","ArchivosResultados":["results/', plant_id, '"],"DatosEnficc":[{"Anio":', year(f.month), ',"Mes":',
+            month(f.month), ',"Valor":', round_even(firm, 0)::BIGINT, '}],"DatosEda":[', e.eda,
+            '],"IdTransaccion":"run-', plant_id, '","CalculoCorrecto":true}') AS payload
+            FROM firm_s f JOIN (SELECT plant_id, string_agg(concat('{"Anio":', year(month), ',"Mes":', month(month),
+            ',"Valor":"', coalesce(surplus::DECIMAL(18, 2)::VARCHAR, 'N/A'), '"}'), ',' ORDER BY month) AS eda
             FROM surplus GROUP BY plant_id) e USING (plant_id)""",
+        "failure_payload": """SELECT plant_id, concat('{"ArchivoResultados":"","ArchivosResultados":[],',
+            '"DatosEnficc":[],"DatosEda":[],"IdTransaccion":"run-', plant_id,
+            '","CalculoCorrecto":false,"ExcepcionPython":"latitude or longitude out of range"}') AS payload
+            FROM mplant WHERE NOT (lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180)""",
         "plant_status": """SELECT plant_id, 'pressure' AS task, 'atmospheric pressure out of range' AS message,
             count(*) FILTER (pressure * 3 >= 3000) AS n_bad
             FROM reading GROUP BY plant_id UNION ALL
@@ -574,6 +615,7 @@ def _finals() -> dict[str, str]:
             AND th.wind >= s.lo AND th.wind < s.hi""",
         "series_matrix": """SELECT plant_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts,
             string_agg((round_even(wind * 1000, 0)::BIGINT)::VARCHAR, ',' ORDER BY turbine_id) AS row FROM th GROUP BY ALL""",
+        "matrix_to_long": f"SELECT {key}, {r('wind', 8, 'wind')} FROM th",
         "apply_corrections": f"SELECT {key}, {r('wind', 8, 'wind')} FROM free WHERE offshore",
         "hourly_energy_solar": f"SELECT {skey}, {r('kwh', 2, 'kwh')} FROM sol",
         "hourly_energy_wind": f"SELECT {skey}, {r('kwh', 4, 'kwh')} FROM windh",

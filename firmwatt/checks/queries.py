@@ -211,9 +211,31 @@ def write_result_tables(spark: SparkSession, sf: str) -> DataFrame:
     return result
 
 
+def _sent(spark: SparkSession, sf: str) -> DataFrame:
+    return T.metered_plants(spark, sf).selectExpr(
+        "plant_id",
+        "concat('results/', plant_id) AS result_file",
+        "concat('run-', plant_id) AS transaction_id",
+    )
+
+
 def result_payload(spark: SparkSession, sf: str) -> DataFrame:
     firm, surplus = _firm(spark, sf), _surplus(spark, sf)
-    return sinks.result_payload(energy.out_firm(firm), energy.out_surplus(surplus))
+    return sinks.result_payload(energy.out_firm(firm), energy.out_surplus(surplus), _sent(spark, sf))
+
+
+def failure_payload(spark: SparkSession, sf: str) -> DataFrame:
+    status = quality.check_coordinates(T.metered_plants(spark, sf))
+    return sinks.failure_payload(status, _sent(spark, sf))
+
+
+def request_status(spark: SparkSession, sf: str) -> DataFrame:
+    return requests.request_status(T.plain_requests(spark, sf))
+
+
+def accepted_plants(spark: SparkSession, sf: str) -> DataFrame:
+    plants = T.metered_plants(spark, sf)
+    return quality.accepted(plants, quality.check_coordinates(plants)).select("plant_id")
 
 
 def write_csv(spark: SparkSession, sf: str) -> DataFrame:
@@ -396,10 +418,14 @@ def curve_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 def series_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """One row per farm and hour with all turbines' speeds in mm/s, by turbine id."""
-    cells = F.sort_array(F.collect_list(F.struct("turbine_id", "wind")))
-    text = F.transform(cells, lambda c: F.bround(c["wind"] * 1000, 0).cast("bigint").cast("string"))
-    rows = _hours(spark, sf).groupBy("plant_id", "ts").agg(F.array_join(text, ",").alias("row"))
-    return rows.select("plant_id", stamp(), "row")
+    text = F.transform("cells", lambda c: F.bround(c["value"] * 1000, 0).cast("bigint").cast("string"))
+    rows = layout.series_matrix(_hours(spark, sf), "wind")
+    return rows.select("plant_id", stamp(), F.array_join(text, ",").alias("row"))
+
+
+def matrix_to_long(spark: SparkSession, sf: str) -> DataFrame:
+    matrix = layout.series_matrix(_hours(spark, sf), "wind")
+    return layout.matrix_to_long(matrix, "wind").select("plant_id", "turbine_id", stamp(), num("wind", 8))
 
 
 def apply_corrections(spark: SparkSession, sf: str) -> DataFrame:
@@ -737,7 +763,7 @@ def ingest_requests_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 _QUERIES: list[Query] = [
     scan_series, scan_towers, config_to_dims, dispatch_by_type, write_result_tables,
-    result_payload, write_csv, plant_status, parse_decimal_comma, build_timestamp, scale_ghi,
+    result_payload, failure_payload, request_status, accepted_plants, matrix_to_long, write_csv, plant_status, parse_decimal_comma, build_timestamp, scale_ghi,
     daylight_filter, drop_dark_rows, low_sun_clamp, cap_interconnection, floor_zero,
     temperature_gate, normalize_technology, check_pressure, check_coordinates, check_nulls,
     check_inverter_fit, terrain_constants, air_density, geo_distance, align_series,

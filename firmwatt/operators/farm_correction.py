@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmwatt.functions.numeric import refine
-from firmwatt.operators.layout import downwind_distance
+from firmwatt.operators.layout import downwind_distance, upwind_position
 
 # Upper end of the height bracket in metres and number of solver steps; the
 # steps converge quadratically, eight already agree to the last digits.
@@ -79,17 +79,52 @@ def large_farm_correction(behind: DataFrame, mean_hubs: DataFrame) -> DataFrame:
     """
     positive = behind.filter(F.col("x_dist") > 0).join(mean_hubs, "plant_id")
     unsolved = positive.filter(~is_bracketed()).select("plant_id", "ts").distinct()
+    solved = positive.join(unsolved, ["plant_id", "ts"], "left_anti")
+    return with_corrected(solved).select("plant_id", "ts", "turbine_id", "corrected")
+
+
+def with_corrected(df: DataFrame) -> DataFrame:
+    """Rows with ``x_dist`` and ``mean_hub`` and their corrected speed, NULL where unchanged."""
     v = F.col("wind")
     h = F.col("ibl") + F.col("mean_hub") * (2 / 3)
     z = F.col("hub") - F.col("rotor_d") / 2
     flat = profile_speed(v, F.col("h"), z, F.col("z01"), F.col("z02"))
     value = recovered_speed(v, F.col("flat"), F.col("x_dist"), F.col("rotor_d"))
-    solved = layer_height(positive.join(unsolved, ["plant_id", "ts"], "left_anti"))
     return (
-        solved.withColumn("h", h)
+        layer_height(df)
+        .withColumn("h", h)
         .withColumn("flat", flat)
         .withColumn("corrected", F.nullif(value, v))
-        .select("plant_id", "ts", "turbine_id", "corrected")
+    )
+
+
+def offshore_speeds(hours: DataFrame, directions: DataFrame) -> DataFrame:
+    """Turbine hours with the large-farm correction applied, in one pass.
+
+    ``hours`` also holds the turbine's offsets and its farm's ``mean_hub``; ``directions`` is
+    the farm's mean direction by hour. The lead turbine and the question whether any turbine
+    is unsolved are windows over one farm's turbines in one hour, which share the join's
+    partitioning: nothing is joined back.
+    """
+    farm_hour = Window.partitionBy("plant_id", "ts")
+    placed = hours.join(directions, ["plant_id", "ts"], "left").withColumn(
+        "factor", upwind_position(F.col("mean_dir"), F.col("x_m"), F.col("y_m"))
+    )
+    place = F.struct("turbine_id", "lat", "lon")
+    lead = F.max_by(place, F.struct("factor", -F.col("turbine_id"))).over(farm_hour)
+    x = downwind_distance(
+        F.col("direction"), F.col("lead.lat"), F.col("lead.lon"), F.col("lat"), F.col("lon")
+    )
+    follows = F.col("x_dist") > 0
+    unsolved = F.max(F.coalesce(follows & ~is_bracketed(), F.lit(False))).over(farm_hour)
+    behind = (
+        placed.withColumn("lead", lead)
+        .withColumn("x_dist", F.when(F.col("turbine_id") != F.col("lead.turbine_id"), x))
+        .withColumn("unsolved", unsolved)
+    )
+    applies = follows & ~F.col("unsolved")
+    return with_corrected(behind).withColumn(
+        "wind", F.coalesce(F.when(applies, F.col("corrected")), "wind")
     )
 
 

@@ -124,6 +124,22 @@ def fan_out_series(turbines: DataFrame, series: DataFrame) -> DataFrame:
     return turbines.join(series, "series_id")
 
 
+def series_matrix(hours: DataFrame, value: str) -> DataFrame:
+    """One row per farm and hour: ``cells`` lists every turbine's value, by turbine id.
+
+    A row is as wide as its farm has turbines.
+    """
+    cell = F.struct("turbine_id", F.col(value).alias("value"))
+    return hours.groupBy("plant_id", "ts").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+
+
+def matrix_to_long(matrix: DataFrame, value: str) -> DataFrame:
+    """The inverse of ``series_matrix``: one row per farm, hour and turbine."""
+    return matrix.select("plant_id", "ts", F.explode("cells").alias("c")).select(
+        "plant_id", "ts", "c.turbine_id", F.col("c.value").alias(value)
+    )
+
+
 def local_offsets(turbines: DataFrame) -> DataFrame:
     """Signed metres east and north of the farm's first turbine.
 
@@ -173,6 +189,12 @@ def upwind_factor(offsets: DataFrame, directions: DataFrame) -> DataFrame:
     )
 
 
+def upwind_position(mean_dir: Column, x_m: Column, y_m: Column) -> Column:
+    """The factor of ``upwind_factor`` for rows that hold the direction and the offsets."""
+    angle = geo.wind_angle(mean_dir)
+    return F.sin(angle) * x_m + F.cos(angle) * y_m
+
+
 def upwind_rank(factors: DataFrame) -> DataFrame:
     """Rank from 1 per farm and hour; a group is one farm's turbines in one hour."""
     order = Window.partitionBy("plant_id", "ts").orderBy(F.col("factor").desc(), "turbine_id")

@@ -40,7 +40,7 @@ def from_requests(requests: DataFrame, series: DataFrame, circuits: DataFrame) -
     ``series`` has the file's name as ``series_id``. ``circuits`` has the six circuit
     parameters by ``module_model``; a module that it lacks keeps them NULL.
     """
-    dims = plant_requests.solar_dimensions(requests)
+    dims = plant_requests.solar_dimensions(plant_requests.accepted(requests, "solar"))
     parameters = circuits.select(
         "module_model", "a_ref", "il_ref", "i0_ref", "rs_ref", "rsh_ref", "adjust"
     )

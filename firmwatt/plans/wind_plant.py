@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from firmwatt.operators import (
 from firmwatt.sources import requests as plant_requests
 from firmwatt.sources.sinks import stage
 
+WEATHER = ["wind", "direction", "ta", "pressure"]
+
 
 @dataclass
 class WindInputs:
@@ -51,7 +54,7 @@ def from_requests(requests: DataFrame, series: DataFrame) -> WindInputs:
     Two plants may give the same name to different models, so a model is keyed by its
     content: equal curves of many plants are still built once.
     """
-    dims = plant_requests.wind_dimensions(requests)
+    dims = plant_requests.wind_dimensions(plant_requests.accepted(requests, "wind"))
 
     def keyed(df: DataFrame) -> DataFrame:
         return df.drop("model_id").withColumnRenamed("model_key", "model_id")
@@ -72,7 +75,8 @@ def status(inputs: WindInputs) -> DataFrame:
     """What would cut turbines out of a plant: one row per plant and check.
 
     The joins of the plan are inner joins; a turbine without a match in one of them would
-    lower its plant's energy unseen. Only dimension tables and the ids of the series are read.
+    lower its plant's energy unseen. The series are checked once per series, not per turbine:
+    repeated stamps and missing values would count twice or not at all.
     """
     turbines = inputs.turbines
     curves_ok = inputs.points.groupBy("model_id").agg(F.countDistinct("v").alias("n")).filter("n >= 4")
@@ -86,6 +90,14 @@ def status(inputs: WindInputs) -> DataFrame:
         .union(inputs.towers.select("plant_id", "series_id"))
     )
     place = ["plant_id", "turbine_id"]
+    missing = reduce(lambda a, b: a | b, [quality.is_missing(F.col(c)) for c in WEATHER])
+    by_stamp = inputs.series.groupBy("series_id", "ts").agg(
+        F.count("*").alias("rows"), F.count_if(missing).alias("holes")
+    )
+    faults = by_stamp.groupBy("series_id").agg(
+        F.count_if((F.col("rows") > 1) | F.col("ts").isNull()).alias("stamps"), F.sum("holes").alias("holes")
+    )
+    weather = driven.join(faults, "series_id", "left")
 
     def without(rows: DataFrame, other: DataFrame, on: list[str], task: str, message: str) -> DataFrame:
         there = other.select(*on).distinct().withColumn("there", F.lit(True))
@@ -97,7 +109,9 @@ def status(inputs: WindInputs) -> DataFrame:
         without(inputs.links, turbines, place, "links", "cable to an unknown turbine"),
         without(declared, inputs.towers, ["plant_id", "tower_id"], "towers", "turbine with an unknown tower"),
         without(plants, inputs.strings, ["plant_id"], "strings", "plant without cable strings"),
-        without(driven, inputs.series, ["series_id"], "series", "no weather for a tower or plant"),
+        quality.violations(weather, F.col("stamps").isNull(), "series", "no weather for a tower or plant"),
+        quality.violations(weather, F.col("stamps") > 0, "stamps", "repeated or missing time stamp"),
+        quality.violations(weather, F.col("holes") > 0, "values", "missing value in " + ", ".join(WEATHER)),
     )
 
 
@@ -159,14 +173,11 @@ def free_speeds(turbines: DataFrame, series: DataFrame) -> DataFrame:
         turbines.filter(~F.col("offshore")).select(*place), series
     )
     at_sea = turbines.filter("offshore")
-    offshore = layout.fan_out_series(at_sea.select(*place), series)
-    factors = layout.upwind_factor(at_sea, layout.mean_direction(at_sea, series))
-    behind = farm_correction.behind_lead(offshore, layout.lead_turbine(factors), turbines)
-    corrections = farm_correction.large_farm_correction(behind, layout.mean_hub_height(at_sea))
-    corrected = farm_correction.apply_corrections(offshore, corrections)
-    return onshore.unionByName(corrected).select(
-        "plant_id", "turbine_id", "ts", "wind", "direction", "ta", "rho"
-    )
+    described = at_sea.select(*place, "x_m", "y_m").join(layout.mean_hub_height(at_sea), "plant_id")
+    hours = layout.fan_out_series(described, series)
+    corrected = farm_correction.offshore_speeds(hours, layout.mean_direction(at_sea, series))
+    columns = ["plant_id", "turbine_id", "ts", "wind", "direction", "ta", "rho"]
+    return onshore.select(*columns).unionByName(corrected.select(*columns))
 
 
 def wake_inputs(turbines: DataFrame, free: DataFrame, segments: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmwatt import schemas
@@ -23,6 +23,33 @@ def dispatch_log(requests: DataFrame) -> DataFrame:
     return with_route(requests).select("plant_id", "route", message.alias("message"))
 
 
+def with_problem(requests: DataFrame) -> DataFrame:
+    """Requests with their route and ``problem``: NULL, or why no plan can take them."""
+    routed = with_route(requests)
+
+    def configured(schema: str) -> Column:
+        return F.from_json("CuerpoMensaje", schema)["ParametrosConfiguracion"].isNotNull()
+
+    solar = F.when(F.col("route") == "solar", configured(schemas.SOLAR_BODY))
+    wind = F.when(F.col("route") == "wind", configured(schemas.WIND_BODY))
+    readable = F.coalesce(solar, wind, F.lit(False))
+    unknown = F.when(F.col("route") == "rejected", "unknown plant kind")
+    return routed.withColumn("problem", F.coalesce(unknown, F.when(~readable, "request cannot be read")))
+
+
+def accepted(requests: DataFrame, route: str) -> DataFrame:
+    """Requests of one kind that can be read."""
+    return with_problem(requests).filter((F.col("route") == route) & F.col("problem").isNull()).drop("route", "problem")
+
+
+def request_status(requests: DataFrame) -> DataFrame:
+    """Requests that no plan can take, as rows of the plant status."""
+    failing = with_problem(requests).filter("problem IS NOT NULL")
+    return failing.groupBy("plant_id", F.lit("request").alias("task"), F.col("problem").alias("message")).agg(
+        F.count("*").alias("n_bad")
+    )
+
+
 def _common(prefix: str = "t") -> list:
     names = {
         "NombrePlanta": "name", "Cen": "cen", "Ihf": "ihf", "Ppi": "ppi", "Kpc": "kpc",

@@ -38,17 +38,16 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def write_table(df: DataFrame, path: str, salt: str | None = None) -> DataFrame:
+def write_table(df: DataFrame, path: str) -> DataFrame:
     """Write one result table by plant, replacing only the plants it holds, and
     read it back from storage.
 
-    ``salt`` names a column whose values spread a plant with very many rows over
-    several writing tasks.
+    Rows are dealt by plant; parts are then split and joined by their size, so a plant
+    with very many rows is written by several tasks.
     """
     spark = df.sparkSession
-    spread = [F.pmod(F.hash(salt), F.lit(8))] if salt else []
     (
-        df.repartition("plant_id", *spread)
+        df.hint("rebalance", "plant_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("plant_id")
@@ -70,7 +69,7 @@ def write_results(
     plants of earlier runs are neither read nor written.
     """
     stored = stage(hourly)
-    write_table(stored, f"{base}/energy", "ts")
+    write_table(stored, f"{base}/energy")
     return {name: write_table(df, f"{base}/{name}") for name, df in results(stored).items()}
 
 
@@ -78,30 +77,58 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def result_payload(firm: DataFrame, surplus: DataFrame) -> DataFrame:
+def result_payload(firm: DataFrame, surplus: DataFrame, sent: DataFrame) -> DataFrame:
     """One JSON document per plant with its firm energy and its 12 surplus values.
 
-    ``firm`` and ``surplus`` are the reported shapes. A plant has one firm row and
-    twelve surplus rows, so the collected lists have a fixed size.
+    ``firm`` and ``surplus`` are the reported shapes, ``sent`` names the plant's
+    ``result_file`` and ``transaction_id``. A plant has one firm row and twelve surplus
+    rows, so the collected lists have a fixed size.
     """
     months = surplus.groupBy("plant_id").agg(
         F.sort_array(
             F.collect_list(
                 F.struct(
-                    F.col("year").alias("anio"),
-                    F.col("month").alias("mes"),
-                    F.col("surplus_kwh_day").alias("valor"),
+                    F.col("year").alias("Anio"),
+                    F.col("month").alias("Mes"),
+                    F.col("surplus_kwh_day").alias("Valor"),
                 )
             )
         ).alias("eda")
     )
     row = F.struct(
-        F.col("year").alias("anio"),
-        F.col("month").alias("mes"),
-        F.coalesce(F.col("firm_kwh_day").cast("string"), F.lit("N/A")).alias("valor"),
+        F.col("year").alias("Anio"), F.col("month").alias("Mes"), F.col("firm_kwh_day").alias("Valor")
+    )
+    document = F.struct(
+        F.col("result_file").alias("ArchivoResultados"),
+        F.array("result_file").alias("ArchivosResultados"),
+        F.col("enficc").alias("DatosEnficc"),
+        F.col("eda").alias("DatosEda"),
+        F.col("transaction_id").alias("IdTransaccion"),
+        F.lit(True).alias("CalculoCorrecto"),
     )
     return (
         firm.select("plant_id", F.array(row).alias("enficc"))
         .join(months, "plant_id")
-        .select("plant_id", F.to_json(F.struct("enficc", "eda")).alias("payload"))
+        .join(sent, "plant_id")
+        .select("plant_id", F.to_json(document).alias("payload"))
+    )
+
+
+def failure_payload(status: DataFrame, sent: DataFrame) -> DataFrame:
+    """One JSON document per failing plant, with the messages of its failed checks.
+
+    A plant has one status row per check, so the joined text is short.
+    """
+    messages = F.array_sort(F.collect_set("message"))
+    failing = status.filter("n_bad > 0").groupBy("plant_id").agg(F.array_join(messages, "; ").alias("why"))
+    nothing = F.array().cast("array<string>")
+    document = F.struct(
+        F.lit("").alias("ArchivoResultados"),
+        nothing.alias("ArchivosResultados"),
+        nothing.alias("DatosEnficc"),
+        nothing.alias("DatosEda"),
+        F.col("transaction_id").alias("IdTransaccion"),
+        F.lit(False).alias("CalculoCorrecto"),
+        F.col("why").alias("ExcepcionPython"),
     )
+    return failing.join(sent, "plant_id").select("plant_id", F.to_json(document).alias("payload"))

@@ -11,6 +11,7 @@ from firmwatt.checks.tables import INVERTER_AC, INVERTER_DC
 from firmwatt.functions.text import local_stamp
 from firmwatt.operators import inverter
 from firmwatt.plans import solar_plant, wind_plant
+from firmwatt.sources import requests
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,6 +27,8 @@ def broken(inputs):
         "models": replace(inputs, points=inputs.points.filter(F.col("idx") % 12 == 0)),
         "strings": replace(inputs, strings=inputs.strings.filter(~here)),
         "series": replace(inputs, series=inputs.series.limit(0)),
+        "stamps": replace(inputs, series=inputs.series.union(inputs.series)),
+        "values": replace(inputs, series=inputs.series.withColumn("ta", F.lit(None).cast("double"))),
     }
 
 
@@ -42,6 +45,14 @@ def test_wind_faults_are_reported_and_left_out(spark):
         assert kept.turbines.filter(F.col("plant_id") == plant).count() == 0
 
 
+def test_requests_that_no_plan_can_take(spark):
+    rows = [(1, 0, "{not json"), (2, 1, None), (3, 7, "{}"), (4, 0, '{"ParametrosConfiguracion":{"GrupoInversores":[]}}')]
+    sent = spark.createDataFrame(rows, T.REQUEST_SCHEMA)
+    bad = {r["plant_id"]: r["message"] for r in requests.request_status(sent).collect()}
+    assert bad == {1: "request cannot be read", 2: "request cannot be read", 3: "unknown plant kind"}
+    assert [r["plant_id"] for r in requests.accepted(sent, "solar").collect()] == [4]
+
+
 def test_inverters_are_numbered_by_plant(spark):
     rows = [
         (1, 1, 2e5, 1174.0, INVERTER_DC, INVERTER_AC),

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from firmwatt.llm import minhash_dedup, mixing, packing, quality_rules, suffix_dedup
 from firmwatt.llm.common import stage, table
 
+#: The shortest passage of over 50 words.
+PASSAGE_WORDS = 51
+
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -24,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of 400-byte passages; the first copy stays."""
-    return suffix_dedup.cut_documents(docs)
+    """Documents without later copies of passages of over 50 words; the first copy stays."""
+    return suffix_dedup.cut_documents(docs, length=PASSAGE_WORDS, symbol=suffix_dedup.WORD)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from firmwatt.sources.sinks import stage
 
-__all__ = ["WORD", "crc_mod", "mix64", "rows_of", "ship", "slices", "stage", "table", "word_hashes"]
+__all__ = ["WORD", "crc_mod", "mix64", "rows_of", "ship", "slices", "stage", "table", "word_edges", "word_hashes"]
 
 #: A word: the longest run of characters that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -98,6 +98,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def word_edges(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of every word of a text, and the byte after its last one."""
+    inside = ~((text == 32) | ((text >= 9) & (text <= 13)))
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False]))))
+    return edge[::2], edge[1::2]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word of several texts, and the index of each word's text.
 
@@ -107,9 +114,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = np.frombuffer(b"\n".join(texts), np.uint8)
     if not len(joined):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    inside = ~((joined == 32) | ((joined >= 9) & (joined <= 13)))
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False]))))
-    begin, end = edge[::2], edge[1::2]
+    begin, end = word_edges(joined)
     up, down = powers(len(joined))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(joined) + 1, np.uint64)

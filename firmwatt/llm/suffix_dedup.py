@@ -18,6 +18,11 @@ content, so that equal passages meet without any pair being formed:
 
 The spans found are joined to their documents once, and the bytes are cut out.
 
+``symbol`` says what a text is a row of: ``BYTE``, as above, or ``WORD``. For words every
+number above is one of words (anchors of ``GRAM_WORDS`` words), a word is the 64-bit hash of
+its bytes, white space is not compared, and a span is cut from the first byte of its first
+word to the last byte of its last one.
+
 ``keep`` says what goes: 'none' removes every copy, 'first' keeps the first of the corpus
 (by doc_id, then by a hash of the text, then by position).
 
@@ -39,10 +44,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmwatt.llm.common import mix64, powers, ship, stage
+from firmwatt.llm.common import mix64, powers, ship, stage, word_edges, word_hashes
 
 LENGTH = 400
 GRAM = 64
+GRAM_WORDS = 10
+BYTE, WORD = np.dtype(np.uint8), np.dtype("<u8")
 GROUP_BLOCKS = 8000
 GROUP_BYTES = 1 << 20
 #: A key with more than one in so many rows is joined by broadcast.
@@ -52,12 +59,15 @@ SEGMENT = 1 << 18
 _POSITION = np.uint64((1 << 20) - 1)
 
 
-def window_blocks(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
+def window_blocks(
+    text: bytes, length: int = LENGTH, gram: int = GRAM, symbol: np.dtype = BYTE
+) -> Iterator[tuple[int, int, int, int]]:
     """Blocks of windows with a common anchor: anchor hash, content hash, first start, windows."""
-    windows, width = len(text) - length + 1, length - gram + 1
+    size = symbol.itemsize
+    windows, width = len(text) // size - length + 1, length - gram + 1
     for first in range(0, max(windows, 0), SEGMENT):
         many = min(SEGMENT, windows - first)
-        part = np.frombuffer(text, np.uint8, many + length - 1, first)
+        part = np.frombuffer(text, symbol, many + length - 1, first * size)
         hashes = gram_hashes(part, gram)
         keys = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)
         span = 1
@@ -71,12 +81,12 @@ def window_blocks(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterat
         count = np.diff(np.append(begin, many))
         minimum = hashes[anchor[begin]].view(np.int64)
         for a, b, n in zip(minimum.tolist(), begin.tolist(), count.tolist(), strict=True):
-            content = xxhash.xxh3_64_intdigest(text[first + b : first + b + n + length - 1])
+            content = xxhash.xxh3_64_intdigest(text[(first + b) * size : (first + b + n + length - 1) * size])
             yield a, content - (1 << 63), first + b, n
 
 
 def gram_hashes(part: np.ndarray, gram: int) -> np.ndarray:
-    """64-bit hash of every string of ``gram`` bytes, by running sums."""
+    """64-bit hash of every string of ``gram`` symbols, by running sums."""
     up, down = powers(len(part))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(part) + 1, np.uint64)
@@ -161,16 +171,17 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def shared_windows(blocks: list[bytes], length: int, keep: str) -> list[tuple[np.ndarray, np.ndarray]]:
+def shared_windows(blocks: list[bytes], length: int, keep: str, symbol: np.dtype = BYTE) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per block, the runs of window starts that stand in another place (or an earlier one).
 
-    The blocks come in the order of the corpus. Symbol 0, which is no byte, ends each
-    block; no window of a block holds it.
+    The blocks come in the order of the corpus. Symbol 0, which is no byte and no word, ends
+    each block; no window of a block holds it.
     """
+    blocks = _numbered(blocks, symbol)
     symbols = np.zeros(sum(len(b) + 1 for b in blocks), np.int64)
     at = 0
     for block in blocks:
-        symbols[at : at + len(block)] = np.frombuffer(block, np.uint8).astype(np.int64) + 1
+        symbols[at : at + len(block)] = block
         at += len(block) + 1
     order = SuffixOrder(symbols)
     factor = order.longest_previous_factor() if keep == "first" else order.longest_other_factor()
@@ -181,6 +192,14 @@ def shared_windows(blocks: list[bytes], length: int, keep: str) -> list[tuple[np
     return out
 
 
+def _numbered(blocks: list[bytes], symbol: np.dtype) -> list[np.ndarray]:
+    """The symbols of each block as small numbers from 1 on."""
+    if symbol == BYTE:
+        return [np.frombuffer(b, BYTE).astype(np.int64) + 1 for b in blocks]
+    _, number = np.unique(np.frombuffer(b"".join(blocks), symbol), return_inverse=True)
+    return np.split(number + 1, np.cumsum([len(b) // symbol.itemsize for b in blocks])[:-1])
+
+
 # --- Spark ---------------------------------------------------------------------------
 
 _KEY = ("doc_id", "text_hash")
@@ -191,6 +210,16 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", binary.alias("bytes")).withColumn("text_hash", F.xxhash64("bytes"))
 
 
+def _words(keyed: DataFrame) -> DataFrame:
+    """The keys, with the hashes of the words of each text for its bytes."""
+
+    @F.pandas_udf("binary")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([word_hashes([t])[0].astype(WORD).tobytes() for t in texts], dtype=object)
+
+    return keyed.select(*_KEY, hashed("bytes").alias("bytes"))
+
+
 def _same_key(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["r_doc_id"]) & (left["text_hash"] == right["r_text_hash"])
 
@@ -212,14 +241,15 @@ def _joined(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> Dat
     return rows.join(hot, on).unionByName(rest.join(groups.filter(F.col(size) <= most), on))
 
 
-def _blocks(keyed: DataFrame, length: int) -> DataFrame:
+def _blocks(keyed: DataFrame, length: int, symbol: np.dtype) -> DataFrame:
     id_type = keyed.schema["doc_id"].dataType.simpleString()
+    gram = GRAM if symbol == BYTE else GRAM_WORDS
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, found = [], []
             for number, text in enumerate(batch["bytes"]):
-                here = list(window_blocks(text.as_py(), length))
+                here = list(window_blocks(text.as_py(), length, gram, symbol))
                 found += here
                 row += [number] * len(here)
             take = pa.array(row, pa.int64())
@@ -234,9 +264,11 @@ def _blocks(keyed: DataFrame, length: int) -> DataFrame:
     )
 
 
-def repeated_spans(keyed: DataFrame, length: int, keep: str, group_blocks: int) -> DataFrame:
-    """Spans to remove: doc_id, text_hash, begin, end; they may overlap."""
-    blocks = stage(_blocks(keyed, length))
+def repeated_spans(keyed: DataFrame, length: int, keep: str, group_blocks: int, symbol: np.dtype = BYTE) -> DataFrame:
+    """Spans to remove: doc_id, text_hash, begin, end, in symbols; they may overlap."""
+    if symbol == WORD:
+        keyed = stage(_words(keyed))
+    blocks = stage(_blocks(keyed, length, symbol))
     often = stage(blocks.groupBy("anchor").agg(F.count("*").alias("rows")).filter("rows > 1"))
     blocks = stage(_joined(blocks, often, ["anchor"], "rows").drop("rows"))
     kinds = stage(
@@ -256,31 +288,32 @@ def repeated_spans(keyed: DataFrame, length: int, keep: str, group_blocks: int)
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest"))
     # under 'none' an anchor whose blocks are all repeated as a whole is settled
     several = several.filter("kinds > 1" if keep == "first" else "kinds > 1 and fewest = 1").select("anchor", "kinds")
-    texts = stage(_block_texts(keyed, _joined(kinds, stage(several), ["anchor"], "kinds"), length))
+    texts = stage(_block_texts(keyed, _joined(kinds, stage(several), ["anchor"], "kinds"), length, symbol))
     small, large = texts.filter(F.col("kinds") <= group_blocks), texts.filter(F.col("kinds") > group_blocks)
-    parts = spans.unionByName(_by_suffix_order(small, length, keep))
+    parts = spans.unionByName(_by_suffix_order(small, length, keep, symbol))
     if large.limit(1).count():
-        parts = parts.unionByName(_by_window_hash(large, length, keep))
+        parts = parts.unionByName(_by_window_hash(large, length, keep, symbol))
     return parts
 
 
-def _block_texts(keyed: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
+def _block_texts(keyed: DataFrame, kinds: DataFrame, length: int, symbol: np.dtype) -> DataFrame:
     """The bytes of the first block of each kind, cut from its document."""
     wanted = kinds.groupBy(F.col("first.doc_id").alias("r_doc_id"), F.col("first.text_hash").alias("r_text_hash")).agg(
         F.collect_list(F.struct("anchor", "content", "copies", "kinds", F.col("first.start").alias("start"), "n")).alias("b")
     )
     joined = keyed.join(wanted, _same_key(keyed, wanted))
+    size = symbol.itemsize
     cut = F.transform(
         "b",
         lambda x: F.struct(
             *[x[name].alias(name) for name in ("anchor", "content", "copies", "kinds", "start")],
-            F.substr(F.col("bytes"), (x["start"] + 1).cast("int"), (x["n"] + length - 1).cast("int")).alias("block"),
+            F.substr(F.col("bytes"), (x["start"] * size + 1).cast("int"), ((x["n"] + length - 1) * size).cast("int")).alias("block"),
         ),
     )
     return joined.select(*_KEY, F.explode(cut).alias("x")).select(*_KEY, "x.*").dropDuplicates([*_KEY, "start"])
 
 
-def _by_suffix_order(texts: DataFrame, length: int, keep: str) -> DataFrame:
+def _by_suffix_order(texts: DataFrame, length: int, keep: str, symbol: np.dtype) -> DataFrame:
     size = texts.agg(F.sum(F.length("block"))).first()[0] or 0
     buckets = max(1, -(-size // GROUP_BYTES))
     id_type = texts.schema["doc_id"].dataType.simpleString()
@@ -288,7 +321,7 @@ def _by_suffix_order(texts: DataFrame, length: int, keep: str) -> DataFrame:
 
     def find(group: pa.Table) -> pa.Table:
         group = group.take(pc.sort_indices(group, sort_keys=order, null_placement="at_start"))
-        found = shared_windows(group["block"].to_pylist(), length, keep)
+        found = shared_windows(group["block"].to_pylist(), length, keep, symbol)
         start, copies = group["start"].to_numpy(), group["copies"].to_numpy()
         row, begin, end = [], [], []
         for number, (a, b) in enumerate(found):
@@ -310,16 +343,17 @@ def _by_suffix_order(texts: DataFrame, length: int, keep: str) -> DataFrame:
     )
 
 
-def _by_window_hash(texts: DataFrame, length: int, keep: str) -> DataFrame:
+def _by_window_hash(texts: DataFrame, length: int, keep: str, symbol: np.dtype) -> DataFrame:
     """The same answer for anchors with very many blocks: windows counted by their hash."""
     id_type = texts.schema["doc_id"].dataType.simpleString()
+    size = symbol.itemsize
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, block in enumerate(batch["block"]):
                 text, start = block.as_py(), batch["start"][number].as_py()
-                n = len(text) - length + 1
-                hashes = [xxhash.xxh3_128_digest(text[i : i + length]) for i in range(n)]
+                n = len(text) // size - length + 1
+                hashes = [xxhash.xxh3_128_digest(text[i * size : (i + length) * size]) for i in range(n)]
                 take = pa.array([number] * n, pa.int64())
                 yield pa.RecordBatch.from_pydict(
                     {name: batch[name].take(take) for name in (*_KEY, "copies")}
@@ -349,6 +383,12 @@ def merged(spans: list[dict] | np.ndarray | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def in_bytes(text: bytes, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of words as runs of bytes, without the white space around them."""
+    begin, end = word_edges(np.frombuffer(text, np.uint8))
+    return [(int(begin[a]), int(end[b - 1])) for a, b in words]
+
+
 def remaining(text: bytes, cut: list[tuple[int, int]]) -> bytes:
     if not cut:
         return text
@@ -394,8 +434,15 @@ def digests(documents: DataFrame, length: int = LENGTH, keep: str = "none", grou
     return joined.select("doc_id", digest("bytes", "spans").alias("d")).select("doc_id", "d.*")
 
 
-def cut_documents(documents: DataFrame, length: int = LENGTH, keep: str = "first", group_blocks: int = GROUP_BLOCKS) -> DataFrame:
-    """The documents with repeated passages cut out of their texts, in all their columns.
+def cut_documents(
+    documents: DataFrame,
+    length: int = LENGTH,
+    keep: str = "first",
+    group_blocks: int = GROUP_BLOCKS,
+    symbol: np.dtype = BYTE,
+) -> DataFrame:
+    """The documents with repeated passages of ``length`` symbols cut out of their texts, in
+    all their columns.
 
     A span is narrowed to whole characters. Where there is a column ``n_chars``, it follows
     the new text. A null text stays null.
@@ -407,18 +454,22 @@ def cut_documents(documents: DataFrame, length: int = LENGTH, keep: str = "first
         F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"),
     ).withColumn("text_hash", F.xxhash64("bytes"))
 
+    def cut(text: bytes, spans: list[dict]) -> list[tuple[int, int]]:
+        found = merged(spans)
+        return whole_characters(text, found if symbol == BYTE else in_bytes(text, found))
+
     @F.pandas_udf("string")
     def rest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, spans in batches:
             yield pd.Series(
                 [
-                    None if t is None else remaining(t, whole_characters(t, merged(s))).decode("utf-8", "replace")
+                    None if t is None else remaining(t, cut(t, s)).decode("utf-8", "replace")
                     for t, s in zip(texts, spans, strict=True)
                 ],
                 dtype=object,
             )
 
-    spans = repeated_spans(_keyed(documents), length, keep, group_blocks)
+    spans = repeated_spans(_keyed(documents), length, keep, group_blocks, symbol)
     lists = _renamed(spans.groupBy(*_KEY).agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
     joined = rows.drop("bytes").join(lists, _same_key(rows, lists), "left")
     text = F.when(F.col("spans").isNull(), F.col("doc.text")).otherwise(rest(F.col("doc.text").cast("binary"), F.col("spans")))

@@ -162,6 +162,38 @@ def test_cut_documents_keeps_the_first_copy(documents, rows):
     assert by_id[72]["text"] is None and by_id[67]["n_chars"] == len(by_id[67]["text"])
 
 
+def test_cut_documents_by_words(spark):
+    import corpus_pipeline
+
+    draw = np.random.default_rng(8)
+    words = lambda n: [f"{draw.integers(1 << 40):x}" for _ in range(n)]
+    short = lambda n: "".join(f"{draw.choice(list('abcdefghij'))}{i % 10} " for i in range(n)).split()
+    over, under, wide = short(51), short(50), words(90)
+    assert len(" ".join(over)) < 400
+    texts = [words(100) + p + words(100) for p in [over] * 3 + [under] * 3]
+    # unequal blocks of the same anchors: parts of one passage
+    texts += [words(40) + wide[k : k + 60 + k] + words(40) for k in (0, 5, 10, 20)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(20, "\t\n".join(texts[0][90:160])), (21, None), (22, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, want = set(), {}
+    for i, text in rows:
+        found = (text or "").split()
+        gone = [False] * len(found)
+        for k in range(len(found) - 50):
+            window = tuple(found[k : k + 51])
+            if window in seen:
+                gone[k : k + 51] = [True] * 51
+            seen.add(window)
+        want[i] = [w for w, g in zip(found, gone, strict=True) if not g]
+    assert [len(want[i]) for i in (0, 1, 2, 4, 20)] == [251, 200, 200, 250, 0]
+    for group_blocks in (suffix_dedup.GROUP_BLOCKS, 1):
+        found = suffix_dedup.cut_documents(frame, 51, group_blocks=group_blocks, symbol=suffix_dedup.WORD).collect()
+        assert {r["doc_id"]: (r["text"] or "").split() for r in found} == want
+    stage = corpus_pipeline.repeated_passages(spark, frame, "").collect()
+    assert {r["doc_id"]: (r["text"] or "").split() for r in stage} == want
+
+
 def brute_classes(rows):
     bags = []
     for r in rows:

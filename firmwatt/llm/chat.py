@@ -8,9 +8,11 @@ A turn is ``<|im_start|>role`` or ``<|im_start|>user name=NAME``, a line feed, t
 ``<|im_end|>`` with a line feed. Marks inside a text are broken up (``<|`` becomes ``< |``).
 
 A conversation is cut into parts of ``PART_TURNS`` turn numbers, each an example with the
-participants that speak in it; rows that share a part beyond ``PART_ROWS`` (repeated or null
-turn numbers) are dealt over more parts by a hash. So no row grows with the table, and a
-conversation with a third of all rows is many parts.
+participants that speak in it; a part of more than ``PART_ROWS`` rows (repeated or null turn
+numbers) is cut into consecutive pieces of so many rows in the order of its turns. So no row
+grows with the table, and a conversation with a third of all rows is many parts. The order is
+found by a range partition and counts per partition; rows that are equal in it are equal in
+all that is rendered, so the pieces don't depend on the layout of the files.
 
 Defined cases: a null role is a participant named ``unknown``; a null text is empty; turns
 go by turn number (null first), then role, then text; a conversation of system turns alone
@@ -20,9 +22,11 @@ gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from firmwatt.llm.common import stage
+
 PART_TURNS, PART_ROWS = 64, 256
 
 
@@ -31,18 +35,33 @@ def parts(conversations: DataFrame, part_turns: int = PART_TURNS, part_rows: int
     text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("< |"))
     speaker = F.coalesce(F.col("role"), F.lit("unknown"))
     part = F.floor(F.col("turn") / part_turns).cast("long")
-    # numbered at the scan, where a task that is run again meets its rows in the same order
-    number = F.monotonically_increasing_id().alias("number")
-    rows = conversations.select("conv_id", part.alias("part"), "turn", speaker.alias("speaker"), text.alias("text"), number)
+    rows = conversations.select("conv_id", part.alias("part"), "turn", speaker.alias("speaker"), text.alias("text"))
     crowded = rows.groupBy("conv_id", "part").count().filter(F.col("count") > part_rows)
-    crowded = crowded.select(
-        F.col("conv_id").alias("c_conv"), F.col("part").alias("c_part"), F.ceil(F.col("count") * 2 / part_rows).alias("pieces")
-    )
+    crowded = stage(crowded.select(F.col("conv_id").alias("c_conv"), F.col("part").alias("c_part")))
+    first = F.lit(0).cast("long").alias("piece")
+    if not crowded.limit(1).count():
+        return rows.select("*", first)
     same = F.col("conv_id").eqNullSafe(F.col("c_conv")) & F.col("part").eqNullSafe(F.col("c_part"))
-    spread = F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64("turn", "speaker", "text", "number"), F.col("pieces"))
-    )
-    return rows.join(crowded, same, "left").withColumn("piece", spread.cast("long")).drop("c_conv", "c_part", "pieces", "number")
+    cut = _stretches(rows.join(crowded, same, "left_semi"), part_rows)
+    return rows.join(crowded, same, "left_anti").select("*", first).unionByName(cut)
+
+
+def _stretches(rows: DataFrame, part_rows: int) -> DataFrame:
+    """The rows with their piece: their place in the order of their part, by ``part_rows``.
+
+    A tie-breaker spreads equal rows over partitions; which of them is first makes no difference.
+    """
+    key, order = ["conv_id", "part"], ["turn", "speaker", "text", "tie"]
+    tied = stage(rows.withColumn("tie", F.monotonically_increasing_id()))
+    ranged = stage(tied.repartitionByRange(*key, *order).withColumn("slot", F.spark_partition_id()))
+    counts = ranged.groupBy(*key, "slot").count()
+    before = F.sum("count").over(Window.partitionBy(*key).orderBy("slot")) - F.col("count")
+    counts = counts.select(*[F.col(k).alias(f"c_{k}") for k in (*key, "slot")], before.alias("before"))
+    same = (F.col("slot") == F.col("c_slot")) & F.col("conv_id").eqNullSafe(F.col("c_conv_id"))
+    same = same & F.col("part").eqNullSafe(F.col("c_part"))
+    place = F.row_number().over(Window.partitionBy("slot", *key).orderBy(*order)) - 1 + F.col("before")
+    placed = ranged.join(counts, same).withColumn("piece", F.floor(place / part_rows).cast("long"))
+    return placed.select(*key, "turn", "speaker", "text", "piece")
 
 
 def rotate(conversations: DataFrame) -> DataFrame:

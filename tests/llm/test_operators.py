@@ -409,3 +409,18 @@ def test_every_participant_gets_a_view(spark):
     split = chat.parts(crowd, part_rows=8).groupBy("piece").count().collect()
     assert len(split) > 1 and sum(r["count"] for r in split) == 40
 
+
+def test_crowded_parts_are_cut_in_order(spark):
+    draw = np.random.default_rng(11)
+    rows = [(9, i % 8 if i % 9 else None, f"s{i % 3}", f"t{draw.integers(40)}") for i in range(700)]
+    rows += [(9, 3, "s1", "same")] * 100 + [(8, 0, "ann", "x"), (None, None, "ann", "y")]
+    place = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2], r[3])
+    want, at = [], collections.Counter()
+    for r in sorted(rows, key=place):
+        part = None if r[1] is None else 0
+        want.append((r[0], part, at[r[0], part] // 16, *r[1:]))
+        at[r[0], part] += 1
+    for partitions in (1, 7):  # the pieces don't go by the layout
+        turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(partitions)
+        found = chat.parts(turns, part_rows=16).select("conv_id", "part", "piece", "turn", "speaker", "text").collect()
+        assert sorted(map(tuple, found), key=str) == sorted(want, key=str)

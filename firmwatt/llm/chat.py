@@ -7,8 +7,10 @@ character spans that the participant is trained on: their texts with the end mar
 A turn is ``<|im_start|>role`` or ``<|im_start|>user name=NAME``, a line feed, the text and
 ``<|im_end|>`` with a line feed. Marks inside a text are broken up (``<|`` becomes ``< |``).
 
-A conversation is cut into parts of ``PART_TURNS`` turn numbers, each an example with the
-participants that speak in it; a part of more than ``PART_ROWS`` rows (repeated or null turn
+A conversation is cut into parts of ``PART_TURNS`` turn numbers. Every participant of the
+conversation gets every part, also those where they don't speak, and a part begins with the
+system turns that stand before it, equal texts once (a conversation with more than
+``PART_ROWS`` different system texts gives the first of them along). A part of more than ``PART_ROWS`` rows (repeated or null turn
 numbers) is cut into consecutive pieces of so many rows in the order of its turns. So no row
 grows with the table, and a conversation with a third of all rows is many parts. The order is
 found by a range partition and counts per partition; rows that are equal in it are equal in
@@ -22,7 +24,10 @@ gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmwatt.llm.common import stage
@@ -64,15 +69,48 @@ def _stretches(rows: DataFrame, part_rows: int) -> DataFrame:
     return placed.select(*key, "turn", "speaker", "text", "piece")
 
 
+def _same_part(other: DataFrame, names: tuple[str, ...] = ("conv_id", "part", "piece")) -> tuple[DataFrame, Column]:
+    """``other`` with ``names`` renamed, and the condition that they are equal or both null."""
+    renamed = other.withColumnsRenamed({n: f"o_{n}" for n in names})
+    return renamed, reduce(and_, [F.col(n).eqNullSafe(F.col(f"o_{n}")) for n in names])
+
+
+def views_of(rows: DataFrame) -> DataFrame:
+    """conv_id, part, piece and me: each part with each participant of its conversation."""
+    speakers = rows.filter("speaker != 'system'").select("conv_id", F.col("speaker").alias("me")).distinct()
+    speakers, same = _same_part(speakers, ("conv_id",))
+    return rows.select("conv_id", "part", "piece").distinct().join(speakers, same).drop("o_conv_id")
+
+
+def system_before(rows: DataFrame, most: int = PART_ROWS) -> DataFrame:
+    """conv_id, part, piece and before: the system turns of the conversation's earlier parts."""
+    place = F.min(F.struct("part", "piece", "turn")).alias("place")
+    system = rows.filter("speaker = 'system'").groupBy("conv_id", "text").agg(place)
+    system = system.withColumn("nth", F.row_number().over(Window.partitionBy("conv_id").orderBy("place", "text")))
+    system, same = _same_part(system.filter(F.col("nth") <= most), ("conv_id",))
+    earlier = F.struct("place.part", "place.piece") < F.struct("part", "piece")
+    turn = F.struct(F.col("place.turn").alias("turn"), F.lit("system").alias("speaker"), "text")
+    ordered = F.array_sort(F.collect_list(F.struct("nth", turn.alias("t"))))
+    found = rows.select("conv_id", "part", "piece").distinct().join(system, same & earlier)
+    return found.groupBy("conv_id", "part", "piece").agg(F.transform(ordered, lambda x: x["t"]).alias("before"))
+
+
 def rotate(conversations: DataFrame) -> DataFrame:
     """One row per part and participant: conv_id, part, piece, speaker, text, mask, n_turns.
 
-    ``mask`` is an array of (begin, end) in characters, ``end`` not included.
+    ``mask`` is an array of (begin, end) in characters, ``end`` not included; ``n_turns``
+    counts the part's own turns, without the system turns from before it.
     """
+    rows = parts(conversations)
     turn = F.struct("turn", "speaker", "text")
-    whole = parts(conversations).groupBy("conv_id", "part", "piece").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    speakers = F.filter(F.array_sort(F.array_distinct(F.col("turns.speaker"))), lambda s: s != "system")
-    views = whole.withColumn("me", F.explode(speakers))
+    whole = rows.groupBy("conv_id", "part", "piece").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    whole = whole.withColumn("n_turns", F.size("turns"))
+    before, same = _same_part(system_before(rows))
+    whole = whole.join(before, same, "left").select(
+        "conv_id", "part", "piece", "n_turns", F.when(F.col("before").isNull(), F.col("turns")).otherwise(F.concat("before", "turns")).alias("turns")
+    )
+    views, same = _same_part(views_of(rows))
+    views = whole.join(views, same)
     head = lambda t: F.when(t["speaker"] == F.col("me"), F.lit("assistant")).when(
         t["speaker"] == "system", F.lit("system")
     ).otherwise(F.concat(F.lit("user name="), t["speaker"]))
@@ -103,5 +141,5 @@ def rotate(conversations: DataFrame) -> DataFrame:
         F.col("me").alias("speaker"),
         text.alias("text"),
         F.aggregate("rendered", start, step, lambda s: s["spans"]).alias("mask"),
-        F.size("turns").alias("n_turns"),
+        "n_turns",
     )

@@ -424,3 +424,28 @@ def test_crowded_parts_are_cut_in_order(spark):
         turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(partitions)
         found = chat.parts(turns, part_rows=16).select("conv_id", "part", "piece", "turn", "speaker", "text").collect()
         assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+
+
+def test_every_participant_gets_every_part(spark):
+    rows = [(5, 0, "system", "be kind"), (5, 0, "system", "be kind")]
+    rows += [(5, i, "ann" if i < 64 else "bob", f"t{i}") for i in range(1, 100)]
+    rows += [(5, 70, "system", "be brief"), (6, 1, "bob", "x"), (None, 0, "system", "s"), (None, 200, "cy", "z")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {(r["conv_id"], r["part"], r["speaker"]): r for r in chat.rotate(turns).collect()}
+    both = {(5, part, me) for part in (0, 1) for me in ("ann", "bob")}
+    assert set(found) == both | {(6, 0, "bob"), (None, 0, "cy"), (None, 3, "cy")}
+    ann, bob = found[5, 1, "ann"], found[5, 0, "bob"]
+    assert ann["mask"] == [] and ann["n_turns"] == 37 and bob["mask"] == [] and bob["n_turns"] == 65
+    opening = "<|im_start|>system\nbe kind<|im_end|>\n"
+    assert ann["text"].startswith(opening + "<|im_start|>user name=bob\nt64<|im_end|>")
+    assert ann["text"].count("be kind") == 1 and ann["text"].count("be brief") == 1
+    mine = found[5, 1, "bob"]
+    assert mine["text"].startswith(opening + "<|im_start|>assistant\nt64")
+    want = [f"t{i}<|im_end|>" for i in range(64, 100)]
+    assert [mine["text"][s["begin"] : s["end"]] for s in mine["mask"]] == want
+    assert found[None, 3, "cy"]["text"].startswith("<|im_start|>system\ns<|im_end|>\n<|im_start|>assistant\nz")
+    # pieces of one part give their system turns along too
+    crowd = [(7, 0, "system", "a")] + [(7, 0, "zoe", f"t{i:03}") for i in range(300)]
+    found = chat.rotate(spark.createDataFrame(crowd, turns.schema)).orderBy("piece").collect()
+    assert [(r["piece"], r["speaker"], r["n_turns"]) for r in found] == [(0, "zoe", 256), (1, "zoe", 45)]
+    assert found[1]["text"].startswith("<|im_start|>system\na<|im_end|>\n<|im_start|>assistant\nt255<")

@@ -236,6 +236,24 @@ def test_minhash_classes_against_all_pairs(documents, rows, nothing):
     assert minhash_dedup.classes(nothing).count() == 0
 
 
+def test_copies_do_not_hide_an_edited_copy(spark):
+    draw = np.random.default_rng(21)
+    words = lambda n: [f"{draw.integers(1 << 40):x}" for _ in range(n)]
+    hot, edits = words(104), words(104)
+    changed = lambda text, *at: [f"n{draw.integers(1 << 40):x}" if i in at else w for i, w in enumerate(text)]
+    # a text with a third of all rows and one copy of it with two words changed: 90 of 110 shingles
+    texts = [hot] * 40 + [changed(hot, 30, 60)] + [words(50) for _ in range(79)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    found = {r["doc_id"]: r for r in minhash_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[40]["class_id"] == 0 and found[0]["class_size"] == 41
+    assert all(found[i]["class_size"] == 1 for i in range(41, 120))
+    # a group of different edited copies with half of all rows
+    texts = [edits] + [changed(edits, 10 + i, 60 + i) for i in range(9)] + [words(50) for _ in range(10)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    found = {r["doc_id"]: r for r in minhash_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i]["class_size"] for i in range(20)] == [10] * 10 + [1] * 10
+
+
 def test_linked_blocks_against_pairs(rows):
     weights = minhash_dedup.Weights(np.empty(0, np.uint64), np.empty(0))
     texts = sorted({(r[1] or "").encode() for r in rows})

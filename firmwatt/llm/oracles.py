@@ -186,5 +186,63 @@ FROM placed GROUP BY conv_id, part, me
 """
 
 
+OP12 = r"""
+WITH units AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
+        regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents
+), drawn AS (
+    SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b,
+        ('0x' || h[17:24])::BIGINT % 100 AS c, ('0x' || h[25:32])::BIGINT % 100 AS d FROM units
+), cut AS (
+    SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90
+            THEN 'plain' WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form,
+        array_to_string(u[1:least(a, b)], '') AS prefix, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS middle,
+        array_to_string(u[greatest(a, b) + 1:], '') AS suffix FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN length(prefix) END AS prefix_chars,
+    CASE WHEN form != 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM cut
+"""
+
+OP13 = r"""
+WITH numbered AS (
+    SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), postings AS (
+    SELECT row, doc_id, term, count(*)::BIGINT AS tf FROM numbered GROUP BY ALL
+), lengths AS (
+    SELECT row, sum(tf)::BIGINT AS n FROM postings GROUP BY row
+), totals AS (
+    SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM lengths
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM postings, totals GROUP BY term, docs
+), items AS (
+    SELECT DISTINCT item_row, item_id, term FROM (
+        SELECT row_number() OVER () AS item_row, item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+), scored AS (
+    SELECT item_row, item_id, row, doc_id,
+        sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+    FROM items JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (row), totals GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id NULLS LAST) AS rank
+    FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op10_chat": OP10, "op3_quality_rules": OP3, "op6_mixing": OP6}
+    return {
+        "op1_url_filter": OP1,
+        "op10_chat": OP10,
+        "op12_fill_in_middle": OP12,
+        "op13_interval_search": OP13,
+        "op3_quality_rules": OP3,
+        "op6_mixing": OP6,
+    }

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmwatt.llm import bm25_search, chat, language_id, minhash_dedup, mixing, packing, quality_model, quality_rules, suffix_dedup, url_filter
+from firmwatt.llm import (
+    bm25_search,
+    chat,
+    fill_in_middle,
+    interval_search,
+    language_id,
+    minhash_dedup,
+    mixing,
+    packing,
+    quality_model,
+    quality_rules,
+    suffix_dedup,
+    two_fit_packing,
+    url_filter,
+)
 from firmwatt.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +72,19 @@ def op10_chat(spark: SparkSession, sf: str) -> DataFrame:
     return views.withColumn("mask", F.array_join(spans, ","))
 
 
+def op11_best_two_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return two_fit_packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf, "documents"))
+
+
+def op13_interval_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Items: every row of ``benchmark``."""
+    return interval_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     found = [f for name, f in globals().items() if name.startswith("op")]
     return {f.__name__: f for f in found}

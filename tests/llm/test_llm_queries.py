@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(oracles.oracle_sql()))
 def test_query(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "labels", "pages", "conversations"):
+    for table in ("documents", "labels", "pages", "conversations", "benchmark"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = queries.queries()[name](spark, SF)
     want = duck.execute(oracles.oracle_sql()[name])

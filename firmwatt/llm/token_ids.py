@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 
-import numpy as np
+CACHE_PARTS, CACHED_CHARACTERS = 200_000, 64
+#: Marks that stand behind words; a run of them is one unit of the pattern.
+MARKS = ".,;:!?)"
+#: Letters below are letters in every version of Unicode, so that a word of them is one unit.
+STABLE_LETTERS = "\u0250"
 
-CACHE_PARTS = 150_000
+
+def _characters_of_bytes() -> dict[int, str]:
+    """The published map of byte-level vocabularies: printable bytes stand for themselves,
+    the others for the characters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class Encoder:
@@ -15,8 +26,9 @@ class Encoder:
 
     ``definition`` is the JSON of a byte-level tokenizer. Its pattern never joins what stands
     on both sides of a single space or line feed, so a text is split there and each part is
-    encoded once and remembered. Where white space stands otherwise, the whole text is
-    encoded at once. A special token's string in a text becomes that token.
+    encoded once and remembered. A part that is one word of letters, with marks behind it or
+    not, goes to the tokenizer's model without its pattern. Where white space stands otherwise,
+    the whole text is encoded at once. A special token's string in a text becomes that token.
     """
 
     def __init__(self, definition: bytes):
@@ -26,12 +38,27 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition.decode())
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced_special = [s for s in special if any(c.isspace() for c in s)]
+        self.plain_words = not any(s.strip(MARKS).isalpha() for s in special)
+        self.model, self.characters = self.tokenizer.model, _characters_of_bytes()
         self.starting, self.spaced = Parts(self, ""), Parts(self, " ")
+        self.marks: dict[str, bytes] = {}
         self.line_feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def unit(self, text: str) -> str:
+        """The characters that stand for the bytes of a text."""
+        return text.encode().decode("latin-1").translate(self.characters)
+
+    def behind(self, marks: str) -> bytes:
+        """Ids of marks behind a word."""
+        if marks not in self.marks:
+            if len(self.marks) >= CACHE_PARTS:
+                self.marks.clear()
+            self.marks[marks] = self.whole(marks)
+        return self.marks[marks]
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -48,16 +75,34 @@ class Encoder:
 
 
 class Parts(dict):
-    """Ids of parts of texts after ``before``; None where white space stands at an end."""
+    """Ids of parts of texts after ``before``; None where white space stands at an end.
+
+    When it is full it starts anew beside what it held, so frequent parts stay.
+    """
 
     def __init__(self, encoder: Encoder, before: str):
-        self.encoder, self.before = encoder, before
+        self.encoder, self.before, self.former = encoder, before, {}
+        self.words, self.tokenize, self.unit = encoder.plain_words, encoder.model.tokenize, encoder.unit(before)
 
     def __missing__(self, part: str) -> bytes | None:
-        if len(self) >= CACHE_PARTS:
-            self.clear()
-        odd = not part or part[0].isspace() or part[-1].isspace()
-        found = self[part] = None if odd else self.encoder.whole(self.before + part)
+        found = self.former.get(part)
+        if found is None:
+            word = part.rstrip(MARKS)
+            if self.words and word.isalpha() and (word.isascii() or max(word) < STABLE_LETTERS):
+                if len(word) < len(part):
+                    return self[word] + self.encoder.behind(part[len(word) :])
+                unit = word if word.isascii() else self.encoder.unit(word)
+                ids = [t.id for t in self.tokenize(self.unit + unit)]
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            elif not part or part[0].isspace() or part[-1].isspace():
+                return None
+            else:
+                found = self.encoder.whole(self.before + part)
+        if len(part) <= CACHED_CHARACTERS:
+            if len(self) >= CACHE_PARTS:
+                self.former = dict(self)
+                self.clear()
+            self[part] = found
         return found
 
 

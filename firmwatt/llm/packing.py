@@ -9,12 +9,11 @@ small however many documents there are, and no document or source is dealt as a
 
 Defined cases: a null text counts as empty and is the end token alone; equal rows are
 packed each on its own; a null doc_id is packed like any other. An empty table gives no
-rows. A string of the tokenizer's special token in a text is ordinary text.
+rows. A string of the tokenizer's special token in a text is that token.
 """
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 
@@ -24,87 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmwatt.llm.common import ship, stage
+from firmwatt.llm.token_ids import encoder
 
 WINDOW = 2048
 END_TOKEN = 1
 SHARD_PIECES = 4096
-CACHE_UNITS = 150_000
-
-#: Splits a text as the byte-level tokenizer does (published pattern of its family).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-
-
-def _byte_of_char() -> dict[str, int]:
-    """The published map of byte-level vocabularies: printable bytes stand for themselves,
-    the others for the characters from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
-class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes.
-
-    ``definition`` is the tokenizer's JSON file. A text is split at single spaces and line
-    feeds, which are always token borders of the pattern; each part is encoded once and
-    remembered. Where white space stands otherwise, the whole text is encoded at once.
-    """
-
-    def __init__(self, definition: bytes):
-        import tiktoken
-
-        loaded = json.loads(definition)
-        special = {t["content"] for t in loaded["added_tokens"]}
-        chars = _byte_of_char()
-        ranks = {
-            bytes(chars[c] for c in piece): rank
-            for piece, rank in loaded["model"]["vocab"].items()
-            if piece not in special
-        }
-        self.encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.starting, self.spaced = Parts(self, ""), Parts(self, " ")
-        self.line_feed = self.whole("\n")
-
-    def whole(self, text: str) -> bytes:
-        ids = self.encoding.encode_to_numpy(text, disallowed_special=())
-        return ids.astype("<u4", copy=False).tobytes()
-
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        starting, spaced, out = self.starting, self.spaced, []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out.append(self.line_feed)
-            out.append(starting[first])
-            out += [spaced[r] for r in rest]
-        return self.whole(text) if None in out else b"".join(out[1:])
-
-
-class Parts(dict):
-    """Ids of parts of texts after ``before``; None where white space stands at an end."""
-
-    def __init__(self, encoder: Encoder, before: str):
-        self.encoder, self.before = encoder, before
-
-    def __missing__(self, part: str) -> bytes | None:
-        if len(self) >= CACHE_UNITS:
-            self.clear()
-        odd = not part or part[0].isspace() or part[-1].isspace()
-        found = self[part] = None if odd else self.encoder.whole(self.before + part)
-        return found
-
-
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def encoder(definition: bytes) -> Encoder:
-    """One encoder per worker and tokenizer; it stays for the worker's next tasks."""
-    key = zlib.crc32(definition)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(definition)
-    return _ENCODERS[key]
 
 
 def pieces(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, with_ids: bool = False) -> DataFrame:

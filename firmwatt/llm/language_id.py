@@ -39,7 +39,7 @@ FOLDS, HELD_OUT = 3, 1
 ROUNDS, PIECE_LENGTH, WORD_LIMIT, SMOOTHING = 2, 6, 24, 0.1
 #: Least probability of a piece: a word of 24 characters stays above the smallest double.
 LEAST = 1e-10
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 START = "▁"
 _LETTERS = re.compile(r"[^\W\d_]+")

@@ -17,7 +17,8 @@ idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Words are runs of characters other th
 white space, with A-Z in lower case.
 
 Defined cases: texts without words, or null, are never found and as queries find nothing;
-equal scores go to the smaller doc_id, null last; equal rows are found each; rows with a
+equal scores go to the smaller doc_id, null last; equal rows are found each, and as queries
+answered each; rows with a
 score of 0 are not results; fewer than k matches give fewer rows.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from firmwatt.llm.common import ship, slices, stage, word_hashes
 
 K1, B, TOP = 1.2, 0.75, 10
-SHARD_DOCS, BLOCK_DOCS, QUERY_WORDS = 8192, 32, 2_000_000
+SHARD_DOCS, BLOCK_DOCS, QUERY_WORDS = 8192, 32, 500_000
 BLOCK_BYTES = 1 << 20
 
 
@@ -94,14 +95,13 @@ def weighted_queries(queries: DataFrame, frequencies: DataFrame, documents: int)
                 row = np.repeat(np.arange(len(words)), [len(w) for w in words])
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "query": batch["doc_id"].take(pa.array(row)),
+                        "query": batch["row"].take(pa.array(row)),
                         "word": pa.array(np.concatenate(words)),
                         "often": pa.array(np.concatenate(counts).astype(np.int64)),
                     }
                 )
 
-    id_type = queries.schema["doc_id"].dataType.simpleString()
-    exploded = queries.select("doc_id", "words", "counts").mapInArrow(spread, f"query {id_type}, word long, often long")
+    exploded = queries.select("row", "words", "counts").mapInArrow(spread, "query long, word long, often long")
     idf = F.log(1 + (F.lit(documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return exploded.join(frequencies, "word").select("query", "word", (F.col("often") * idf).alias("weight"))
 
@@ -165,7 +165,7 @@ def search(documents: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
     """query, rank, doc_id and score: the best k documents of every row that is a query."""
     spark = documents.sparkSession
     ship(spark)
-    index = stage(postings(documents))
+    index = stage(postings(documents).withColumn("row", F.monotonically_increasing_id()))
     total, mean = index.agg(F.count("*"), F.avg("length")).first()
     every = documents.count()
     weights = stage(weighted_queries(index.filter(is_query), document_frequencies(index), every))
@@ -177,22 +177,24 @@ def search(documents: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
     blocks = stage(blocks.select("bucket", "block"))
     weights = weights.withColumn("bucket", spread).join(blocks, "bucket")
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"query {id_type}, doc_id {id_type}, score double"
+    schema = f"query long, doc_id {id_type}, score double"
     found = None
     for number in sorted(r["block"] for r in blocks.select("block").distinct().collect()):
         sent = spark.sparkContext.broadcast(_packed(weights.filter(F.col("block") == number)))
         part = stage(index.mapInArrow(_searcher(sent, k, mean, id_type), schema))
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = index.select(F.col("doc_id").alias("query"), "doc_id", F.lit(0.0).alias("score")).limit(0)
+        found = index.select(F.col("row").alias("query"), "doc_id", F.lit(0.0).alias("score")).limit(0)
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     rounded = found.withColumn("score", F.round("score", 6))
-    return rounded.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = rounded.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    asked = index.filter(is_query).select(F.col("row").alias("query"), F.col("doc_id").alias("asked"))
+    return ranked.join(asked, "query").select(F.col("asked").alias("query"), "doc_id", "score", "rank")
 
 
 def _packed(rows: DataFrame) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     """Queries of one block: their ids, where each begins, words and weights."""
-    table = rows.select("query", "word", "weight").orderBy("query", "word").toPandas()
+    table = rows.select("query", "word", "weight").orderBy("query", "word").toArrow()
     ids, begin = np.unique(table["query"].to_numpy(), return_index=True)
     return ids.tolist(), np.append(begin, len(table)), table["word"].to_numpy(), table["weight"].to_numpy()
 
@@ -214,7 +216,7 @@ def _searcher(sent, k: int, mean: float, id_type: str):
         query, doc, score = zip(*rows, strict=True) if rows else ([], [], [])
         kind = pa.int64() if id_type == "bigint" else None
         yield pa.RecordBatch.from_pydict(
-            {"query": pa.array(query, kind), "doc_id": pa.array(doc, kind), "score": pa.array(score, pa.float64())}
+            {"query": pa.array(query, pa.int64()), "doc_id": pa.array(doc, kind), "score": pa.array(score, pa.float64())}
         )
 
     return run

@@ -297,3 +297,14 @@ def test_rare_terms_leave_most_documents_unscored():
     searcher = interval_search.Searcher([common, rare], [draw.integers(1, 100, 20000), draw.integers(50, 100, 40)], 20000)
     searcher.best(np.arange(2), np.array([1, 100]), 10)
     assert searcher.scored < 500
+
+
+def test_queries_of_one_id_are_answered_each(spark):
+    from pyspark.sql import functions as F
+
+    from firmwatt.llm import bm25_search
+
+    rows = [(100, "alpha beta gamma"), (100, "delta delta"), (1, "alpha beta"), (2, "delta"), (3, "none")]
+    found = bm25_search.search(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 100 == 0)
+    got = sorted((r["query"], r["rank"], r["doc_id"]) for r in found.collect())
+    assert got == [(100, 1, 100), (100, 1, 100), (100, 2, 1), (100, 2, 2)]

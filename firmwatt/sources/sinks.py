@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,14 +28,57 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+class Stages:
+    """The folders of the stages that are stored while it is entered, to be removed together.
+
+    Rows of a stage are read lazily, so ``release`` comes after the results that
+    need them are written.
+    """
+
+    _open: ContextVar[tuple[Stages, ...]] = ContextVar("stages", default=())
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def __enter__(self) -> Stages:
+        self._token = self._open.set((*self._open.get(), self))
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self._open.reset(self._token)
+
+    @classmethod
+    def note(cls, folder: str) -> None:
+        for run in cls._open.get()[-1:]:
+            run.folders.append(folder)
+
+    def release(self) -> None:
+        """Delete the folders, through the file system that they are on."""
+        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
+        while self.folders:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folders.pop())
+            path.getFileSystem(hadoop).delete(path, True)
+
+
+@contextmanager
+def temporary_stages(spark: SparkSession) -> Iterator[Stages]:
+    """Stages stored inside are gone afterwards, also after an error; write results before."""
+    with Stages(spark) as run:
+        try:
+            yield run
+        finally:
+            run.release()
+
+
 def stage(df: DataFrame) -> DataFrame:
     """The same rows read back from a table in the shared folder.
 
     A stage boundary: what follows neither repeats the work before it nor depends
-    on executors that may be lost.
+    on executors that may be lost. ``Stages`` gives the table an end.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
+    Stages.note(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,11 +111,13 @@ def write_results(
 
     The hourly energy of this run, the costly part, is stored first; all tables are
     derived from that copy, so losing executors never repeats the physics, and the
-    plants of earlier runs are neither read nor written.
+    plants of earlier runs are neither read nor written. The copy is removed when all
+    tables are written; ``temporary_stages`` around a plan and this removes the plan's too.
     """
-    stored = stage(hourly)
-    write_table(stored, f"{base}/energy")
-    return {name: write_table(df, f"{base}/{name}") for name, df in results(stored).items()}
+    with temporary_stages(hourly.sparkSession):
+        stored = stage(hourly)
+        write_table(stored, f"{base}/energy")
+        return {name: write_table(df, f"{base}/{name}") for name, df in results(stored).items()}
 
 
 def write_csv(df: DataFrame, path: str) -> None:

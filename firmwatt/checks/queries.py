@@ -75,6 +75,16 @@ def _segments(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _steps(spark: SparkSession, sf: str) -> int:
+    return curves.lookup_steps(_segments(spark, sf))
+
+
+def _armed(spark: SparkSession, sf: str) -> DataFrame:
+    """Turbines with their curves."""
+    build = lambda: curves.with_curves(_turbines(spark, sf), _segments(spark, sf))
+    return _stored(spark, sf, "armed", build)
+
+
 def _air(spark: SparkSession, sf: str) -> DataFrame:
     return curves.with_density(T.wind_inputs(spark, sf).series)
 
@@ -85,9 +95,9 @@ def _hours(spark: SparkSession, sf: str) -> DataFrame:
 
 def _thrust(spark: SparkSession, sf: str) -> DataFrame:
     def build() -> DataFrame:
-        turbines = _turbines(spark, sf)
-        free = wind_plant.free_speeds(turbines, _air(spark, sf))
-        return wind_plant.wake_inputs(turbines, free, _segments(spark, sf))
+        armed = _armed(spark, sf)
+        free = wind_plant.free_speeds(armed, _air(spark, sf))
+        return wind_plant.wake_inputs(armed, free, _steps(spark, sf))
 
     return _stored(spark, sf, "thrust", build)
 
@@ -98,7 +108,7 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _power(spark: SparkSession, sf: str) -> DataFrame:
     slowed = wake.wake_speeds(_thrust(spark, sf), _pairs(spark, sf))
-    return wind_plant.rated_power(slowed, _turbines(spark, sf), _segments(spark, sf))
+    return wind_plant.rated_power(slowed, _armed(spark, sf), _steps(spark, sf))
 
 
 def _behind(spark: SparkSession, sf: str) -> DataFrame:
@@ -410,9 +420,9 @@ def pair_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def curve_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    found = curves.curve_lookup(
-        _hours(spark, sf), _segments(spark, sf), "p", "wind", "curve_power"
-    )
+    armed = _armed(spark, sf).select("plant_id", "turbine_id", "series_id", "curve")
+    hours = layout.fan_out_series(armed, _air(spark, sf))
+    found = curves.curve_value(hours, "p", "wind", "curve_power", _steps(spark, sf))
     return found.select("plant_id", "turbine_id", stamp(), num("curve_power"))
 
 

@@ -2,25 +2,26 @@
 
 ``points`` tables hold ``(model_id, idx, v, p, ct)``; a curve is one model at one
 mean density, so there are as many curves as distinct pairs of the two, never one
-per turbine.
+per turbine. A curve is one row: its knots, the coefficients of its cubics and, for
+every 1 m/s bin of speeds, the first cubic that can hold. It travels with the turbine's
+row, so a speed finds its cubic by its bin and no row is ever joined by its curve.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmwatt.functions.air import moist_density
 
-SEGMENT_SCHEMA = (
-    "model_id string, rho_mean double, quantity string, seg int, x0 double, lo double, "
-    "hi double, c0 double, c1 double, c2 double, c3 double"
-)
 # Lookup bins are 1 m/s wide; the two outermost ones are open-ended.
 FIRST_BIN, LAST_BIN = -1, 60
+#: A spline without knots at the second and the last but one point needs four points.
+LEAST_POINTS = 4
+#: Up to so many knots in one bin a cubic is found by comparisons in generated code.
+MOST_STEPS = 64
 
 
 def with_density(series: DataFrame) -> DataFrame:
@@ -78,64 +79,111 @@ def correct_curves(points: DataFrame, models: DataFrame, densities: DataFrame) -
     )
 
 
-def _segment_builder() -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The per-curve function. It is a closure, so it reaches the workers by value
-    and they need no copy of this package."""
-    columns = [part.split()[0] for part in SEGMENT_SCHEMA.split(",")]
-
-    def not_a_knot(x, y):
-        import numpy as np
-
-        h, slope = np.diff(x), np.diff(y) / np.diff(x)
-        size = len(x)
-        a, b = np.zeros((size, size)), np.zeros(size)
-        for i in range(1, size - 1):
-            a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-            b[i] = 3 * (slope[i] - slope[i - 1])
-        # Third derivatives agree across the second and the last but one knot.
-        a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-        a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-        c2 = np.linalg.solve(a, b)
-        c3 = np.diff(c2) / (3 * h)
-        c1 = slope - h * (2 * c2[:-1] + c2[1:]) / 3
-        return np.column_stack([y[:-1], c1, c2[:-1], c3])
-
-    def build(points: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-        import pandas as pd
-
-        points = points.sort_values(["vcth", "idx"]).drop_duplicates("vcth", keep="first")
-        x = points["vcth"].to_numpy()
-        if len(x) < 4:
-            return pd.DataFrame(columns=columns)
-        parts = []
-        for quantity in ("p", "ct"):
-            coefficients = not_a_knot(x, points[quantity].to_numpy())
-            lo, hi = x[:-1].copy(), x[1:].copy()
-            lo[0], hi[-1] = -np.inf, np.inf
-            part = pd.DataFrame(coefficients, columns=["c0", "c1", "c2", "c3"])
-            parts.append(
-                part.assign(quantity=quantity, seg=np.arange(len(lo)), x0=x[:-1], lo=lo, hi=hi)
-            )
-        result = pd.concat(parts)
-        result["model_id"] = points["model_id"].iloc[0]
-        result["rho_mean"] = points["rho_mean"].iloc[0]
-        return result[columns]
-
-    return build
+def _at(array: Column, place: Column | int) -> Column:
+    return F.get(array, place if isinstance(place, Column) else F.lit(place))
+
+
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda row: row[name]
+
+
+def _second_coefficients(x: Column, slopes: dict[str, Column], h: Column, n: Column) -> dict[str, Column]:
+    """The quadratic coefficient at every knot, per quantity.
+
+    Smooth second derivatives give one equation per inner knot. Third derivatives that agree
+    across the second and the last but one knot express the two outer unknowns by
+    their neighbours, which leaves a tridiagonal system. It is solved by elimination, a fold over
+    the equations, and by substitution, a fold over them backwards.
+    """
+    first, last = F.lit(1), n - 2
+
+    def equation(i: Column) -> Column:
+        left, right = _at(h, i - 1), _at(h, i)
+        at_first, at_last = i == first, i == last
+        under = F.when(at_first, 0.0).when(at_last, left - right * right / left).otherwise(left)
+        over = F.when(at_last, 0.0).when(at_first, right - left * left / right).otherwise(right)
+        middle = (left + right) * 2
+        middle = middle + F.when(at_first, left * (left + right) / right).otherwise(0.0)
+        middle = middle + F.when(at_last, right * (left + right) / left).otherwise(0.0)
+        sides = [((_at(s, i) - _at(s, i - 1)) * 3).alias(q) for q, s in slopes.items()]
+        return F.struct(under.alias("under"), middle.alias("middle"), over.alias("over"), *sides)
+
+    nothing = F.struct(F.lit(0.0).alias("over"), *[F.lit(0.0).alias(q) for q in slopes])
+
+    def eliminate(done: Column, row: Column) -> Column:
+        above = F.element_at(done, -1)
+        pivot = row["middle"] - row["under"] * above["over"]
+        sides = [((row[q] - row["under"] * above[q]) / pivot).alias(q) for q in slopes]
+        return F.concat(done, F.array(F.struct((row["over"] / pivot).alias("over"), *sides)))
+
+    def substitute(done: Column, row: Column) -> Column:
+        below = F.element_at(done, -1)
+        found = [(row[q] - row["over"] * below[q]).alias(q) for q in slopes]
+        return F.concat(done, F.array(F.struct(F.lit(0.0).alias("over"), *found)))
+
+    rows = F.transform(F.sequence(first, last), equation)
+    reduced = F.aggregate(rows, F.array(nothing), eliminate)
+    solved = F.aggregate(F.reverse(F.slice(reduced, 2, n - 2)), F.array(nothing), substitute)
+    inner = F.reverse(F.slice(solved, 2, n - 2))
+
+    def with_ends(q: str) -> Column:
+        c = F.transform(inner, _field(q))
+        start = ((_at(h, 0) + _at(h, 1)) * _at(c, 0) - _at(h, 0) * _at(c, 1)) / _at(h, 1)
+        a, b = _at(h, n - 2), _at(h, n - 3)
+        end = ((a + b) * _at(c, n - 3) - a * _at(c, n - 4)) / b
+        return F.concat(F.array(start), c, F.array(end))
+
+    return {q: with_ends(q) for q in slopes}
 
 
 def curve_segments(corrected: DataFrame) -> DataFrame:
-    """Cubic segments of every curve, built once per curve.
+    """One row per curve: ``model_id, rho_mean`` and the struct ``curve``.
 
     Both power and thrust are interpolated over the thrust-corrected speed. The
     end cubics extrapolate. Points that the top-speed limit made equal are dropped
-    but for the first.
+    but for the first. A curve that then has fewer than four points or a missing
+    value has no row. Its fields: ``knots``, the four coefficients of every cubic
+    in ``p`` and ``ct``, and ``starts``, per bin the number of inner knots below it.
     """
-    needed = corrected.select("model_id", "rho_mean", "idx", "vcth", "p", "ct")
-    return needed.groupBy("model_id", "rho_mean").applyInPandas(
-        _segment_builder(), SEGMENT_SCHEMA
+    quantities = ("p", "ct")
+    point = F.struct("vcth", "idx", *quantities)
+    missing = F.lit(False)
+    for name in ("vcth", *quantities):
+        missing = missing | F.col(name).isNull() | F.isnan(name)
+    rows = corrected.groupBy("model_id", "rho_mean").agg(
+        F.array_sort(F.collect_list(point)).alias("_all"), F.max(missing).alias("_missing")
+    )
+    kept = F.filter("_all", lambda e, i: (i == 0) | (e["vcth"] != _at(F.col("_all"), i - 1)["vcth"]))
+    rows = rows.withColumn("_kept", kept).filter(~F.col("_missing") & (F.size("_kept") >= LEAST_POINTS))
+    rows = rows.withColumns(
+        {"x": F.transform("_kept", _field("vcth")), "n": F.size("_kept")}
+        | {q: F.transform("_kept", _field(q)) for q in quantities}
     )
+    pieces = F.sequence(F.lit(0), F.col("n") - 2)
+    rows = rows.withColumn("h", F.transform(pieces, lambda i: _at(F.col("x"), i + 1) - _at(F.col("x"), i)))
+
+    def rise(q: str) -> Column:
+        return F.transform(pieces, lambda i: (_at(F.col(q), i + 1) - _at(F.col(q), i)) / _at(F.col("h"), i))
+
+    rows = rows.withColumns({f"s_{q}": rise(q) for q in quantities})
+    bends = _second_coefficients(F.col("x"), {q: F.col(f"s_{q}") for q in quantities}, F.col("h"), F.col("n"))
+    rows = rows.withColumns({f"b_{q}": bend for q, bend in bends.items()})
+
+    def cubics(q: str) -> Column:
+        def one(i: Column) -> Column:
+            h, here, after = _at(F.col("h"), i), _at(F.col(f"b_{q}"), i), _at(F.col(f"b_{q}"), i + 1)
+            slope = _at(F.col(f"s_{q}"), i) - h * (here * 2 + after) / 3
+            return F.array(_at(F.col(q), i), slope, here, (after - here) / (h * 3))
+
+        return F.flatten(F.transform(pieces, one)).alias(q)
+
+    inner = F.slice("x", F.lit(2), F.col("n") - 2)
+    bins = F.sequence(F.lit(FIRST_BIN), F.lit(LAST_BIN))
+    starts = F.transform(
+        bins, lambda b: F.when(b == FIRST_BIN, 0).otherwise(F.size(F.filter(inner, lambda k: k <= b)))
+    )
+    curve = F.struct(F.col("x").alias("knots"), *[cubics(q) for q in quantities], starts.alias("starts"))
+    return rows.select("model_id", "rho_mean", curve.alias("curve"))
 
 
 def speed_bin(v: Column) -> Column:
@@ -144,31 +192,53 @@ def speed_bin(v: Column) -> Column:
     return F.floor(clamped).cast("int")
 
 
+def lookup_steps(segments: DataFrame) -> int:
+    """The most inner knots that any curve has in one bin. ``segments`` should be stored."""
+    starts, inner = F.col("curve.starts"), F.size("curve.knots") - 2
+    ends = F.concat(F.slice(starts, 2, LAST_BIN - FIRST_BIN), F.array(inner))
+    most = segments.agg(F.max(F.array_max(F.zip_with(ends, starts, lambda e, s: e - s)))).first()[0]
+    return most or 0
+
+
+def with_curves(df: DataFrame, segments: DataFrame) -> DataFrame:
+    """Rows with ``curve``, the curve of their ``model_id`` and ``rho_mean``; NULL without one."""
+    return df.join(segments, ["model_id", "rho_mean"], "left")
+
+
+def curve_value(df: DataFrame, quantity: str, speed: str, out: str, steps: int) -> DataFrame:
+    """Value of the row's ``curve`` at its speed; NULL without a curve or for no number.
+
+    The bin of the speed gives the first cubic that can hold; each of the next ``steps``
+    knots at or below the speed moves it on by one.
+    """
+    x, start = F.nanvl(F.col(speed), F.lit(None).cast("double")), F.col("_start")
+    knots, cubics = F.col("curve.knots"), F.col(f"curve.{quantity}")
+    passed = start
+    if steps <= MOST_STEPS:
+        for k in range(steps):
+            # the last knot ends the last cubic, which extrapolates
+            beyond = (start + k < F.size(knots) - 2) & (_at(knots, start + k + 1) <= F.col("_x"))
+            passed = passed + F.coalesce(beyond.cast("int"), F.lit(0))
+    else:
+        inner = F.slice(knots, F.lit(2), F.size(knots) - 2)
+        passed = F.size(F.filter(inner, lambda k: k <= F.col("_x")))
+    dx = F.col("_x") - _at(knots, F.col("_cubic"))
+    c0, c1, c2, c3 = (_at(cubics, F.col("_cubic") * 4 + k) for k in range(4))
+    return (
+        df.withColumn("_x", x)
+        .withColumn("_start", _at(F.col("curve.starts"), speed_bin(F.col("_x")) - FIRST_BIN))
+        .withColumn("_cubic", passed)
+        .withColumn(out, c0 + dx * (c1 + dx * (c2 + dx * c3)))
+        .drop("_x", "_start", "_cubic")
+    )
+
+
 def curve_lookup(
     df: DataFrame, segments: DataFrame, quantity: str, speed: str, out: str
 ) -> DataFrame:
     """Value of a curve at the speed in each row (keys ``model_id, rho_mean``).
 
-    A range join on ``lo <= v < hi``. Each segment is listed under every 1 m/s bin
-    that it touches, so the join is an equi-join that meets two or three segments
-    per row. A row without a curve or with a speed that is no number gets NULL.
+    For rows that do not hold their turbine's curve; a plan gives the curve to its turbines
+    (``with_curves``) and reads it from their hours (``curve_value``).
     """
-    x = F.col(f"d.{speed}")
-    dx = x - F.col("s.x0")
-    value = F.col("s.c0") + dx * (F.col("s.c1") + dx * (F.col("s.c2") + dx * F.col("s.c3")))
-    listed = segments.filter(F.col("quantity") == quantity).select(
-        "model_id", "rho_mean", "x0", "lo", "hi", "c0", "c1", "c2", "c3",
-        F.explode(F.sequence(speed_bin(F.col("lo")), speed_bin(F.col("hi")))).alias("_bin"),
-    )
-    within = (
-        (F.col("d.model_id") == F.col("s.model_id"))
-        & (F.col("d.rho_mean") == F.col("s.rho_mean"))
-        & (speed_bin(x) == F.col("s._bin"))
-        & (F.col("s.lo") <= x)
-        & (x < F.col("s.hi"))
-    )
-    return (
-        df.alias("d")
-        .join(listed.alias("s"), within, "left")
-        .select("d.*", value.alias(out))
-    )
+    return curve_value(with_curves(df, segments), quantity, speed, out, lookup_steps(segments)).drop("curve")

@@ -20,6 +20,30 @@ def violations(df: DataFrame, bad: Column, task: str, message: str) -> DataFrame
     )
 
 
+def violations_of(df: DataFrame, *checks: tuple[str, str, Column]) -> DataFrame:
+    """Several checks (task, message, what is bad) of one table in one aggregation.
+
+    One row per plant and check, as ``violations`` gives for one. A condition that is
+    NULL is no violation.
+    """
+    counts = [F.count_if(F.coalesce(bad, F.lit(False))).alias(f"n{i}") for i, (_, _, bad) in enumerate(checks)]
+    rows = [
+        F.struct(F.lit(task).alias("task"), F.lit(message).alias("message"), F.col(f"n{i}").alias("n_bad"))
+        for i, (task, message, _) in enumerate(checks)
+    ]
+    return df.groupBy("plant_id").agg(*counts).select("plant_id", F.inline(F.array(*rows)))
+
+
+def any_missing(*columns: str) -> Column:
+    """One of the columns is NULL or no number."""
+    return reduce(lambda a, b: a | b, [is_missing(F.col(c).cast("double")) for c in columns])
+
+
+def outside(lat: str, lon: str) -> Column:
+    """The place is not on the globe."""
+    return ~F.coalesce(valid_coordinates(F.col(lat), F.col(lon)), F.lit(False))
+
+
 def check_pressure(series: DataFrame) -> DataFrame:
     bad = F.col("pressure") >= PRESSURE_LIMIT
     return violations(series, bad, "pressure", "atmospheric pressure out of range")
@@ -55,7 +79,10 @@ def plant_status(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
+def failing_plants(status: DataFrame) -> DataFrame:
+    return status.filter("n_bad > 0").select("plant_id").distinct()
+
+
 def accepted(df: DataFrame, status: DataFrame) -> DataFrame:
     """Rows of the plants without any violation."""
-    failing = status.filter("n_bad > 0").select("plant_id").distinct()
-    return df.join(failing, "plant_id", "left_anti")
+    return df.join(failing_plants(status), "plant_id", "left_anti")

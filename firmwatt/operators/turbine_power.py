@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmwatt.functions.numeric import capped, floored
-from firmwatt.operators.curves import curve_lookup
+from firmwatt.operators.curves import curve_value
 
 
 def within_temperature(power: Column, ta: Column, t_min: Column, t_max: Column) -> Column:
@@ -25,14 +25,14 @@ def after_connection(power: Column, kpc: Column, kt: Column, kin: Column) -> Col
     return power * (F.lit(1.0) - kpc / 100 - kt / 100 - kin / 100)
 
 
-def turbine_power(hours: DataFrame, segments: DataFrame) -> DataFrame:
+def turbine_power(hours: DataFrame, steps: int) -> DataFrame:
     """Turbine output ``power`` in kW per hour.
 
-    ``hours`` holds ``wake_speed, ta, rho`` and the turbine's ``model_id, rho_mean,
-    rho_nom, p_nom, t_min, t_max, path_km`` and its plant's ``kv, mean_ohm, kpc,
-    kt, kin``.
+    ``hours`` holds ``wake_speed, ta, rho`` and the turbine's ``curve, rho_nom, p_nom,
+    t_min, t_max, path_km`` and its plant's ``kv, mean_ohm, kpc, kt, kin``; ``steps`` is
+    ``lookup_steps`` of all curves.
     """
-    found = curve_lookup(hours, segments, "p", "wake_speed", "curve_power")
+    found = curve_value(hours, "p", "wake_speed", "curve_power", steps).drop("curve")
     power = within_temperature(F.col("curve_power"), F.col("ta"), F.col("t_min"), F.col("t_max"))
     power = power * F.col("rho_nom") / F.col("rho")
     found = found.withColumn("power", power)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from firmwatt.functions.geo import wind_angle
 from firmwatt.functions.wake import overlap_share, speed_loss
-from firmwatt.operators.curves import curve_lookup
+from firmwatt.operators.curves import curve_value
 
 SECTOR_DEG = 10.0
 TILE_ALONG_M = 2000.0
@@ -121,9 +121,12 @@ def sector_pairs(turbines: DataFrame) -> DataFrame:
     )
 
 
-def source_thrust(hours: DataFrame, segments: DataFrame) -> DataFrame:
-    """Thrust coefficient of each turbine at its own speed and density."""
-    return curve_lookup(hours, segments, "ct", "wind", "ct").withColumn(
+def source_thrust(hours: DataFrame, steps: int) -> DataFrame:
+    """Thrust coefficient of each turbine at its own speed and density.
+
+    ``hours`` holds the turbine's ``curve``; ``steps`` is ``lookup_steps`` of all curves.
+    """
+    return curve_value(hours, "ct", "wind", "ct", steps).withColumn(
         "thrust", F.col("ct") * F.col("rho_nom") / F.col("rho")
     )
 

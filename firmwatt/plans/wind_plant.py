@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from firmwatt.constants import PRESSURE_LIMIT
 from firmwatt.operators import (
     curves,
     energy,
@@ -71,58 +71,145 @@ def from_requests(requests: DataFrame, series: DataFrame) -> WindInputs:
     )
 
 
-def status(inputs: WindInputs) -> DataFrame:
-    """What would cut turbines out of a plant: one row per plant and check.
+def series_profile(series: DataFrame) -> DataFrame:
+    """One pass over the series: per series its mean density and its faults.
+
+    ``stamps`` counts repeated or missing time stamps, ``holes`` rows with a missing value,
+    ``pressures`` rows with a pressure out of range.
+    """
+    missing = quality.any_missing(*WEATHER)
+    by_stamp = curves.with_density(series).groupBy("series_id", "ts").agg(
+        F.count("*").alias("rows"),
+        F.count_if(missing).alias("holes"),
+        F.count_if(F.col("pressure") >= PRESSURE_LIMIT).alias("pressures"),
+        F.sum("rho").alias("rho"),
+        F.count("rho").alias("n"),
+    )
+    return by_stamp.groupBy("series_id").agg(
+        F.count_if((F.col("rows") > 1) | F.col("ts").isNull()).alias("stamps"),
+        F.sum("holes").alias("holes"),
+        F.sum("pressures").alias("pressures"),
+        F.bround(F.try_divide(F.sum("rho"), F.sum("n")), 2).alias("rho_mean"),
+    )
+
+
+def status(inputs: WindInputs, profile: DataFrame | None = None) -> DataFrame:
+    """What would cut turbines out of a plant or leave its energy undefined: one row per plant
+    and check.
 
     The joins of the plan are inner joins; a turbine without a match in one of them would
     lower its plant's energy unseen. The series are checked once per series, not per turbine:
-    repeated stamps and missing values would count twice or not at all.
+    repeated stamps and missing values would count twice or not at all. ``profile`` is the
+    stored ``series_profile``, where there is one.
     """
-    turbines = inputs.turbines
-    curves_ok = inputs.points.groupBy("model_id").agg(F.countDistinct("v").alias("n")).filter("n >= 4")
-    known = inputs.models.select("model_id").join(curves_ok, "model_id", "left_semi").distinct()
-    plants = inputs.plants.select("plant_id", "measured", "series_id")
-    measured = turbines.join(plants.filter("measured"), "plant_id", "left_semi")
-    declared = measured.filter("declared_tower IS NOT NULL").withColumnRenamed("declared_tower", "tower_id")
-    driven = (
-        plants.filter(~F.col("measured"))
-        .select("plant_id", "series_id")
-        .union(inputs.towers.select("plant_id", "series_id"))
+    profile = series_profile(inputs.series) if profile is None else profile
+    there = F.lit(True)
+    one = lambda df, name, *keys: df.select(*keys).distinct().withColumn(name, there)
+    counted = lambda df, name, *keys: df.groupBy(*keys).agg(F.count("*").alias(name))
+    usable = inputs.points.groupBy("model_id").agg(
+        F.countDistinct("v").alias("n_points"), F.max(quality.any_missing("v", "p", "ct")).alias("hole")
     )
+    nameplate = inputs.models.groupBy("model_id").agg(
+        F.count("*").alias("n_models"),
+        F.max(quality.any_missing("hub", "p_nom", "v_nom", "rho_nom", "v_max")).alias("no_nameplate"),
+        F.max(F.coalesce(~(F.col("rotor_d") > 0) | F.isnan("rotor_d"), F.lit(True))).alias("no_rotor"),
+    )
+    models = nameplate.join(usable, "model_id", "left")
+    plants = inputs.plants.select("plant_id", "measured", "series_id")
+    towers = inputs.towers.join(plants.filter("measured").select("plant_id"), "plant_id", "left_semi")
     place = ["plant_id", "turbine_id"]
-    missing = reduce(lambda a, b: a | b, [quality.is_missing(F.col(c)) for c in WEATHER])
-    by_stamp = inputs.series.groupBy("series_id", "ts").agg(
-        F.count("*").alias("rows"), F.count_if(missing).alias("holes")
+    turbines = (
+        inputs.turbines.withColumn("tower_id", F.col("declared_tower"))
+        .join(models, "model_id", "left")
+        .join(one(inputs.links, "cabled", *place), place, "left")
+        .join(plants.select("plant_id", "measured"), "plant_id", "left")
+        .join(one(towers, "known_tower", "plant_id", "tower_id"), ["plant_id", "tower_id"], "left")
+        .join(counted(inputs.turbines, "n_turbines", *place), place, "left")
     )
-    faults = by_stamp.groupBy("series_id").agg(
-        F.count_if((F.col("rows") > 1) | F.col("ts").isNull()).alias("stamps"), F.sum("holes").alias("holes")
+    few = ~F.coalesce(F.col("n_points") >= curves.LEAST_POINTS, F.lit(False)) | F.col("hole")
+    cables = inputs.links.join(one(inputs.turbines, "known", *place), place, "left")
+    sites = inputs.plants.join(
+        inputs.strings.groupBy("plant_id").agg(F.max(quality.any_missing("ohm")).alias("no_ohm")), "plant_id", "left"
+    ).join(counted(inputs.plants, "n_plants", "plant_id"), "plant_id", "left")
+    masts = towers.join(counted(towers, "n_towers", "plant_id", "tower_id"), ["plant_id", "tower_id"], "left")
+    driven = plants.filter(~F.col("measured")).select("plant_id", "series_id").union(towers.select("plant_id", "series_id"))
+    weather = driven.join(profile, "series_id", "left")
+    repeated = "repeated row of a plant, turbine, tower or model"
+    return quality.plant_status(
+        quality.violations_of(
+            turbines,
+            ("models", "turbine model unknown or with fewer than 4 points", few),
+            ("cables", "turbine without a cable", F.col("cabled").isNull()),
+            (
+                "towers",
+                "turbine with an unknown tower",
+                F.col("measured") & F.col("declared_tower").isNotNull() & F.col("known_tower").isNull(),
+            ),
+            ("coordinates", "latitude or longitude out of range", quality.outside("lat", "lon")),
+            ("distance", "missing elevation", quality.any_missing("elev")),
+            ("wake_radius", "rotor without a diameter", F.col("no_rotor")),
+            ("nameplate", "missing value in a turbine model", F.col("no_nameplate")),
+            ("repeated", repeated, (F.col("n_turbines") > 1) | (F.col("n_models") > 1)),
+        ),
+        quality.violations_of(cables, ("links", "cable to an unknown turbine", F.col("known").isNull())),
+        quality.violations_of(
+            masts,
+            ("coordinates", "latitude or longitude out of range", quality.outside("lat", "lon")),
+            ("distance", "missing elevation", quality.any_missing("elev", "radius_km")),
+            ("repeated", repeated, F.col("n_towers") > 1),
+        ),
+        quality.violations_of(
+            sites,
+            ("strings", "plant without cable strings or resistance", F.coalesce("no_ohm", there)),
+            ("coordinates", "latitude or longitude out of range", quality.outside("pcc_lat", "pcc_lon")),
+            ("distance", "missing elevation", quality.any_missing("pcc_elev")),
+            ("plant", "missing value of a plant", quality.any_missing("kv", "kpc", "kt", "kin", "ihf", "ppi")),
+            ("repeated", repeated, F.col("n_plants") > 1),
+        ),
+        quality.violations_of(
+            weather,
+            ("series", "no weather for a tower or plant", F.col("stamps").isNull()),
+            ("stamps", "repeated or missing time stamp", F.col("stamps") > 0),
+            ("values", "missing value in " + ", ".join(WEATHER), F.col("holes") > 0),
+            ("pressure", "atmospheric pressure out of range", F.col("pressures") > 0),
+        ),
     )
-    weather = driven.join(faults, "series_id", "left")
 
-    def without(rows: DataFrame, other: DataFrame, on: list[str], task: str, message: str) -> DataFrame:
-        there = other.select(*on).distinct().withColumn("there", F.lit(True))
-        return quality.violations(rows.join(there, on, "left"), F.col("there").isNull(), task, message)
 
-    return quality.plant_status(
-        without(turbines, known, ["model_id"], "models", "turbine model unknown or with fewer than 4 points"),
-        without(turbines, inputs.links, place, "cables", "turbine without a cable"),
-        without(inputs.links, turbines, place, "links", "cable to an unknown turbine"),
-        without(declared, inputs.towers, ["plant_id", "tower_id"], "towers", "turbine with an unknown tower"),
-        without(plants, inputs.strings, ["plant_id"], "strings", "plant without cable strings"),
-        quality.violations(weather, F.col("stamps").isNull(), "series", "no weather for a tower or plant"),
-        quality.violations(weather, F.col("stamps") > 0, "stamps", "repeated or missing time stamp"),
-        quality.violations(weather, F.col("holes") > 0, "values", "missing value in " + ", ".join(WEATHER)),
+def curve_status(inputs: WindInputs, armed: DataFrame) -> DataFrame:
+    """Turbines that lost their curve to the top-speed limit, or were lost on the way to the
+    stored ``armed`` turbines."""
+    place = ["plant_id", "turbine_id"]
+    found = armed.select(*place, F.col("curve").isNull().alias("no_curve"))
+    return quality.violations_of(
+        inputs.turbines.select(*place).join(found, place, "left"),
+        ("curves", "curve with fewer than 4 points at the site's density", F.col("no_curve")),
+        ("turbines", "turbine without weather, tower or model", F.col("no_curve").isNull()),
     )
 
 
-def accepted_inputs(inputs: WindInputs) -> WindInputs:
-    """The inputs without the plants that fail a check; they are reported by ``status``."""
-    # a small table, read by two joins
-    failing = stage(status(inputs).filter("n_bad > 0").select("plant_id").distinct())
+def undefined_thrust() -> Column:
+    thrust = F.col("thrust")
+    return thrust.isNull() | F.isnan(thrust) | (F.abs(thrust) == float("inf"))
+
+
+def thrust_status(hours: DataFrame) -> DataFrame:
+    """Turbine hours whose thrust is no finite number; the wake would spread it unseen."""
+    return quality.violations_of(hours, ("thrust", "thrust coefficient is not a number", undefined_thrust()))
+
+
+def without(inputs: WindInputs, failing: DataFrame) -> WindInputs:
+    """The inputs without the failing plants."""
     keep = lambda df: df.join(failing, "plant_id", "left_anti")
     return replace(inputs, plants=keep(inputs.plants), turbines=keep(inputs.turbines), links=keep(inputs.links))
 
 
+def accepted_inputs(inputs: WindInputs) -> WindInputs:
+    """The inputs without the plants that fail a check; they are reported by ``status``."""
+    # a small table, read by several joins
+    return without(inputs, stage(quality.failing_plants(status(inputs))))
+
+
 def assigned_turbines(inputs: WindInputs) -> DataFrame:
     """Turbines with the series that drives them: their tower's in measured
     plants, the plant's own elsewhere."""
@@ -144,9 +231,15 @@ def assigned_turbines(inputs: WindInputs) -> DataFrame:
     return with_tower.unionByName(without)
 
 
-def static_turbines(inputs: WindInputs) -> DataFrame:
-    """Turbines with everything that does not change by the hour."""
-    densities = curves.mean_density(curves.with_density(inputs.series))
+def static_turbines(inputs: WindInputs, profile: DataFrame | None = None) -> DataFrame:
+    """Turbines with everything that does not change by the hour but their curve.
+
+    ``profile`` is the stored ``series_profile``, where there is one.
+    """
+    if profile is None:
+        densities = curves.mean_density(curves.with_density(inputs.series))
+    else:
+        densities = profile.select("series_id", "rho_mean")
     turbines = layout.turbine_features(assigned_turbines(inputs), inputs.models)
     path = layout.cable_path(layout.cable_hops(inputs.links, inputs.turbines, inputs.plants))
     losses = inputs.plants.select("plant_id", "kv", "kpc", "kt", "kin").join(
@@ -180,41 +273,67 @@ def free_speeds(turbines: DataFrame, series: DataFrame) -> DataFrame:
     return onshore.select(*columns).unionByName(corrected.select(*columns))
 
 
-def wake_inputs(turbines: DataFrame, free: DataFrame, segments: DataFrame) -> DataFrame:
-    """Turbine hours as the wake needs them, with each source's thrust."""
-    attributes = turbines.select(
-        "plant_id", "turbine_id", "model_id", "rho_mean", "rho_nom", "radius", "cre"
+def wake_inputs(armed: DataFrame, free: DataFrame, steps: int) -> DataFrame:
+    """Turbine hours as the wake needs them, with each source's thrust. ``armed`` are the
+    turbines with their ``curve``."""
+    attributes = armed.select("plant_id", "turbine_id", "rho_nom", "radius", "cre", "curve")
+    return wake.source_thrust(free.join(attributes, ["plant_id", "turbine_id"]), steps).drop("curve")
+
+
+def rated_power(slowed: DataFrame, armed: DataFrame, steps: int) -> DataFrame:
+    """Power of the turbine hours behind the wakes."""
+    rated = armed.select(
+        "plant_id", "turbine_id", "rho_nom", "p_nom", "t_min", "t_max",
+        "path_km", "kv", "mean_ohm", "kpc", "kt", "kin", "curve",
     )
-    return wake.source_thrust(free.join(attributes, ["plant_id", "turbine_id"]), segments)
+    return turbine_power.turbine_power(slowed.join(rated, ["plant_id", "turbine_id"]), steps)
 
 
-def turbine_output(inputs: WindInputs) -> DataFrame:
-    """Hourly power of every turbine.
+@dataclass
+class Checked:
+    """Hourly energy of the plants that pass all checks, and the outcome of every check."""
 
-    Four stages are stored: the static turbines, the curve segments, the wake pairs
-    and the hourly thrust. Each is read more than once afterwards.
-    """
-    series = curves.with_density(inputs.series)
-    turbines = stage(static_turbines(inputs))
-    segments = stage(segments_in_use(inputs, turbines))
-    pairs = stage(wake.sector_pairs(turbines))
-    hours = stage(wake_inputs(turbines, free_speeds(turbines, series), segments))
-    return rated_power(wake.wake_speeds(hours, pairs), turbines, segments)
+    hourly: DataFrame
+    status: DataFrame
 
 
-def rated_power(slowed: DataFrame, turbines: DataFrame, segments: DataFrame) -> DataFrame:
-    """Power of the turbine hours behind the wakes."""
-    rated = turbines.select(
-        "plant_id", "turbine_id", "model_id", "rho_mean", "rho_nom", "p_nom", "t_min", "t_max",
-        "path_km", "kv", "mean_ohm", "kpc", "kt", "kin",
-    )
-    return turbine_power.turbine_power(slowed.join(rated, ["plant_id", "turbine_id"]), segments)
+def checked_energy(inputs: WindInputs) -> Checked:
+    """The plan, with its checks where their data pass anyway.
+
+    The series are profiled in the pass that gives their mean density. Lost curves show in the
+    stored turbines. The stored thrust is observed while it is written; only if any of it
+    is undefined are the plants counted. A plant that fails leaves before the next stage.
+
+    Five stages are stored: the profile, the static turbines with their curves, the curve
+    segments, the wake pairs and the hourly thrust. Each is read more than once afterwards.
+    """
+    profile = stage(series_profile(inputs.series))
+    found = stage(status(inputs, profile))
+    passing = without(inputs, quality.failing_plants(found))
+    turbines = stage(static_turbines(passing, profile))
+    segments = stage(segments_in_use(passing, turbines))
+    steps = curves.lookup_steps(segments)
+    armed = stage(curves.with_curves(turbines, segments))
+    lost = stage(curve_status(passing, armed))
+    found, failing = found.unionByName(lost), quality.failing_plants(lost)
+    if not failing.isEmpty():
+        passing, armed = without(passing, failing), armed.join(failing, "plant_id", "left_anti")
+    free = free_speeds(armed, curves.with_density(inputs.series))
+    seen = Observation()
+    thrust = wake_inputs(armed, free, steps).observe(seen, F.count_if(undefined_thrust()).alias("undefined"))
+    hours = stage(thrust)
+    if seen.get["undefined"]:
+        bad = stage(thrust_status(hours))
+        found, failing = found.unionByName(bad), quality.failing_plants(bad)
+        passing, hours = without(passing, failing), hours.join(failing, "plant_id", "left_anti")
+    pairs = stage(wake.sector_pairs(armed))
+    power = rated_power(wake.wake_speeds(hours, pairs), armed, steps)
+    return Checked(energy.hourly_energy_wind(power, passing.plants), found)
 
 
 def hourly_energy(inputs: WindInputs) -> DataFrame:
     """Hourly energy of the plants that pass all checks."""
-    inputs = accepted_inputs(inputs)
-    return energy.hourly_energy_wind(turbine_output(inputs), inputs.plants)
+    return checked_energy(inputs).hourly
 
 
 def results(hourly: DataFrame, plants: DataFrame) -> dict[str, DataFrame]:

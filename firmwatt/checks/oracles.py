@@ -665,6 +665,40 @@ def _finals() -> dict[str, str]:
         "wind_request_result": _plant_result(
             "windh", "farm", 24, "CASE WHEN measured THEN least(lowest, cap) ELSE least(lowest, cap) * 0.6e0 END"
         ),
+        "wind_plant_status": """, spot AS (
+            SELECT turbine_id, plant_id, plant_id % 6 AS fault, turbine_id % 20 AS k FROM turb
+        ), faulty AS (
+            SELECT plant_id, unnest(CASE fault
+                WHEN 1 THEN CASE k WHEN 2 THEN ['coordinates'] WHEN 3 THEN ['distance'] WHEN 4 THEN
+                    ['models'] ELSE [] END
+                WHEN 2 THEN CASE WHEN k = 3 THEN ['cables'] WHEN k = 4 AND plant_id % 2 = 0 THEN ['towers'] ELSE [] END
+                WHEN 3 THEN CASE WHEN turbine_id = (SELECT min(t.turbine_id) FROM turb t WHERE t.plant_id = spot.plant_id)
+                    THEN ['strings', 'plant'] ELSE [] END
+                ELSE [] END) AS task FROM spot
+        ), driven AS (
+            SELECT plant_id, tower.series_id FROM tower JOIN farm f USING (plant_id) WHERE f.measured
+            UNION ALL SELECT plant_id, series_id FROM farm WHERE NOT measured
+        ), holes AS (
+            SELECT plant_id, CASE hour(ts) WHEN 5 THEN 'pressure' ELSE 'values' END AS task, count(DISTINCT row) AS n_bad
+            FROM (SELECT *, row_number() OVER () AS row FROM driven WHERE series_id = 2) JOIN weather USING (series_id)
+            WHERE hour(ts) IN (5, 7) GROUP BY ALL
+        ), tables AS (
+            SELECT plant_id, task, count(*) AS n_bad FROM faulty GROUP BY ALL UNION ALL SELECT * FROM holes
+        ), later AS (
+            SELECT plant_id, 'curves' AS task, count(*) AS n_bad FROM spot WHERE fault = 4 AND k = 6 GROUP BY ALL
+            UNION ALL SELECT s.plant_id, 'thrust', count(*) FROM th JOIN spot s USING (turbine_id)
+            WHERE fault = 5 AND k = 0 GROUP BY ALL
+        ) SELECT * FROM tables UNION ALL SELECT * FROM later WHERE plant_id NOT IN (SELECT plant_id FROM tables)""",
+        "solar_plant_status": """, hit AS (
+            SELECT s_suppkey // 4 AS plant_id, s_suppkey % 4 AS k, (s_suppkey // 4) % 8 AS fault FROM supplier
+        ) SELECT plant_id, unnest(CASE WHEN fault = 2 AND k = 1 THEN ['modules'] WHEN fault = 3 AND k = 2 THEN ['circuits']
+            WHEN fault = 4 AND k = 3 THEN ['arrays'] WHEN fault = 5 AND k = 0 THEN ['inverter_points', 'inverter_fit']
+            ELSE [] END) AS task, 1 AS n_bad FROM hit
+        UNION ALL SELECT DISTINCT plant_id, CASE fault WHEN 1 THEN 'coordinates' WHEN 6 THEN 'stamps' ELSE 'values' END, 1
+            FROM hit WHERE fault IN (1, 6) OR (fault = 7 AND EXISTS (SELECT 1 FROM events WHERE hour(ts) = 12))""",
+        "solar_request_result": _plant_result(
+            "solh", "site", 12, "CASE WHEN measured THEN least(lowest, cap) ELSE lowest * 0.8e0 END"
+        ),
         "sun_position": f"SELECT {skey}, {r('zenith', 4, 'zenith')}, {r('azimuth', 4, 'azimuth')} FROM sun",
         "extraterrestrial": f"SELECT event_id, {r('1366.1e0 * orb', 4, 'iext')} FROM"
             " (SELECT event_id, 1.00011e0 + 0.034221e0 * cos(b) + 0.00128e0 * sin(b)"
@@ -712,7 +746,7 @@ def oracle_sql() -> dict[str, str]:
             blocks.append(f"{block} AS ({body})")
         head, tail = ", ".join(blocks), select.strip()
         if tail.startswith(","):
-            result[name] = f"WITH {head} {tail}"
+            result[name] = f"WITH {head} {tail}" if head else f"WITH {tail[1:]}"
         else:
             result[name] = f"WITH {head} {tail}" if head else tail
     return result

@@ -665,6 +665,16 @@ def wind_request_result(spark: SparkSession, sf: str) -> DataFrame:
     return _plant_result(wind_plant.hourly_energy(inputs), inputs.plants, energy.firm_energy_wind)
 
 
+def _failures(status: DataFrame) -> DataFrame:
+    found = status.groupBy("plant_id", "task").agg(F.sum("n_bad").alias("n_bad"))
+    return found.filter("n_bad > 0")
+
+
+def wind_plant_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Every failed check of farms with faults, from one run of the plan."""
+    return _failures(wind_plant.checked_energy(T.faulty_wind_inputs(spark, sf)).status)
+
+
 # --- solar -----------------------------------------------------------------------------
 
 
@@ -759,6 +769,20 @@ def solar_plant_query(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def solar_plant_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Every failed check of solar plants with faults, from one run of the plan."""
+    return _failures(solar_plant.checked_energy(T.faulty_solar_inputs(spark, sf)).status)
+
+
+def solar_request_result(spark: SparkSession, sf: str) -> DataFrame:
+    """Firm energy of the solar plants as their request messages describe them."""
+    series = T.weather(spark, sf).select(
+        T.series_file(F.col("series_id")).alias("series_id"), "ts", "ghi", "ta", (F.col("ghi") * 0.15).alias("back_irradiance")
+    )
+    inputs = solar_plant.from_requests(T.solar_requests(spark, sf), series, T.module_names(spark, sf))
+    return _plant_result(solar_plant.hourly_energy(inputs), inputs.plants, energy.firm_energy_solar)
+
+
 # --- streaming -------------------------------------------------------------------------
 
 
@@ -785,7 +809,7 @@ _QUERIES: list[Query] = [
     out_daily, out_firm, out_surplus, month_list, union_series, correct_curves,
     downwind_distance, ibl_height, large_farm_correction, wake_speeds, cable_loss,
     connection_loss_wind, turbine_power_query, wind_plant_query,
-    wind_request_result, sun_position,
+    wind_request_result, wind_plant_status, solar_plant_status, solar_request_result, sun_position,
     extraterrestrial, dni_disc, dhi_closure, surface_orientation, poa_perez, poa_bifacial,
     panel_temperature, circuit_params, max_power_point, string_scaling, dc_losses, inverter_ac,
     plant_losses_solar, solar_plant_query, ingest_requests_stream,

@@ -7,6 +7,8 @@ line items the metered energy, parts the modules.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -321,6 +323,70 @@ def solar_inputs(spark: SparkSession, sf_dir: str) -> SolarInputs:
     )
 
 
+def faulty_wind_inputs(spark: SparkSession, sf_dir: str) -> WindInputs:
+    """The wind farms with faults by farm number modulo 6, and two in the weather of station 2.
+
+    1: a turbine off the globe, one without elevation, one of an unknown model. 2: a turbine
+    without a cable, one with an unknown tower. 3: no cable strings, no voltage. 4: a model
+    whose top speed leaves too few points. 5: a model with an infinite thrust coefficient.
+    """
+    good = wind_inputs(spark, sf_dir)
+    fault, k = F.col("plant_id") % 6, F.col("ordinal")
+    names = F.when((fault == 1) & (k == 4), "MX").when((fault == 4) & (k == 6), "MC").when((fault == 5) & (k == 0), "MT")
+    tower = F.when((fault == 2) & (k == 4), F.lit(-1).cast("long")).otherwise(F.col("declared_tower"))
+    turbines = good.turbines.withColumns(
+        {
+            "model_id": F.coalesce(names, "model_id"),
+            "declared_tower": tower,
+            "lat": F.when((fault == 1) & (k == 2), 100.0).otherwise(F.col("lat")),
+            "elev": F.when((fault == 1) & (k == 3), None).otherwise(F.col("elev")),
+        }
+    )
+    copy = lambda df, name: df.filter("model_id = 'M1'").withColumn("model_id", F.lit(name))
+    flat = copy(good.models, "MC").withColumn("v_max", F.lit(2.5))
+    infinite = F.when(F.col("idx") == 9, float("inf")).otherwise(F.col("ct"))
+    hour, station = F.hour("ts"), F.col("series_id") == 2
+    return replace(
+        good,
+        turbines=turbines,
+        plants=good.plants.withColumn("kv", F.when(fault == 3, None).otherwise(F.col("kv"))),
+        strings=good.strings.filter(fault != 3),
+        links=good.links.join(good.turbines.filter((fault == 2) & (k == 3)).select("turbine_id"), "turbine_id", "left_anti"),
+        models=good.models.unionByName(flat).unionByName(copy(good.models, "MT")),
+        points=good.points.unionByName(copy(good.points, "MC")).unionByName(
+            copy(good.points, "MT").withColumn("ct", infinite)
+        ),
+        series=good.series.withColumn("pressure", F.when(station & (hour == 5), 3100.0).otherwise(F.col("pressure"))).withColumn(
+            "ta", F.when(station & (hour == 7), None).otherwise(F.col("ta"))
+        ),
+    )
+
+
+def faulty_solar_inputs(spark: SparkSession, sf_dir: str) -> SolarInputs:
+    """The solar plants with one fault each by plant number modulo 8, 0 without any.
+
+    1: off the globe. 2: an inverter without its module. 3: a module without a circuit
+    parameter. 4: an inverter without arrays. 5: an inverter without measured points. 6: every
+    hour twice. 7: hours without irradiance.
+    """
+    good = solar_inputs(spark, sf_dir)
+    fault, k = F.col("plant_id") % 8, F.col("inverter_id") % 4
+    return replace(
+        good,
+        plants=good.plants.withColumn("lat", F.when(fault == 1, F.col("lat") + 100).otherwise(F.col("lat"))),
+        modules=good.modules.filter(~((fault == 2) & (k == 1))).withColumn(
+            "a_ref", F.when((fault == 3) & (k == 2), None).otherwise(F.col("a_ref"))
+        ),
+        arrays=good.arrays.filter(~((fault == 4) & (k == 3))),
+        inverters=good.inverters.withColumn(
+            "p_ac_points", F.when((fault == 5) & (k == 0), None).otherwise(F.col("p_ac_points"))
+        ),
+        series=good.series.unionByName(good.series.filter(fault == 6)).withColumn(
+            "ghi", F.when((fault == 7) & (F.hour("ts") == 12), None).otherwise(F.col("ghi"))
+        ),
+    )
+
+
 # --- requests --------------------------------------------------------------------------
 
 
@@ -442,6 +508,56 @@ def wind_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def solar_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One solar request per plant, as the JSON text a client would send."""
+    panels = arrays(spark, sf_dir).groupBy("plant_id", "inverter_id", "tracker").agg(
+        F.sort_array(
+            F.collect_list(
+                F.expr(
+                    "named_struct('Id', array_id, 'CantidadSerie', modules_per_string,"
+                    " 'CantidadParalero', strings, 'OAzimutal', axis_az, 'OElevacion', axis_tilt,"
+                    " 'OMax', max_angle)"
+                )
+            )
+        ).alias("panels")
+    )
+    group = F.expr(
+        "named_struct('id', inverter_id,"
+        " 'ParametrosInversor', named_struct('NInv', n_inv, 'PACnominal', paco, 'PDCnominal', pdco,"
+        " 'VDCnominal', vdco, 'PDCarranque', pso, 'PACnocturnoW', pnt, 'PowerAc', p_ac_points,"
+        " 'PowerDc', p_dc_points),"
+        " 'ParametrosModulo', named_struct('ReferenciaModulo', module_model, 'Tnoct', t_noct,"
+        " 'AlphaSc', alpha_sc, 'Psi', psi, 'Bifacial', bifacial, 'Bifacialidad', bifaciality),"
+        " 'EstructuraYConfiguracion', named_struct('EstructuraPlantaConSeguidores', tracker,"
+        " 'CantidadPanelConectados', panels))"
+    )
+    groups = (
+        inverters(spark, sf_dir)
+        .join(module_names(spark, sf_dir), ["plant_id", "inverter_id"])
+        .join(panels, ["plant_id", "inverter_id"])
+        .groupBy("plant_id")
+        .agg(F.array_sort(F.collect_list(group)).alias("groups"))
+    )
+    body = F.expr(
+        "to_json(named_struct('ParametrosTransversales', named_struct('ZonaHoraria', tz,"
+        " 'Albedo', albedo, 'L', l_pct, 'Cen', cen, 'Ihf', ihf, 'Ppi', ppi, 'Kpc', kpc, 'Kt', kt,"
+        " 'Kin', kin, 'Latitud', lat, 'Longitud', lon, 'InformacionMedida', measured),"
+        " 'ParametrosConfiguracion', named_struct('GrupoInversores', groups),"
+        " 'ArchivoSeries', named_struct('Nombre', file)))"
+    )
+    return (
+        solar_plants(spark, sf_dir)
+        .withColumn("file", series_file(F.col("series_id")))
+        .join(groups, "plant_id")
+        .select("plant_id", F.lit(0).alias("TipoMensaje"), body.alias("CuerpoMensaje"))
+    )
+
+
+def module_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every inverter's module under a name of its own, as a request gives it."""
+    return modules(spark, sf_dir).withColumn("module_model", F.concat(F.lit("module-"), F.col("inverter_id").cast("string")))
+
+
 def plain_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A short request per supplier; some are of a kind that does not exist."""
     return table(spark, sf_dir, "supplier").selectExpr(

@@ -12,6 +12,9 @@ from firmwatt.operators import array_power, cleaning, energy, inverter, irradian
 from firmwatt.sources import requests as plant_requests
 from firmwatt.sources.sinks import stage
 
+#: Parameters of the single-diode circuit.
+CIRCUIT = ["a_ref", "il_ref", "i0_ref", "rs_ref", "rsh_ref", "adjust"]
+
 
 @dataclass
 class SolarInputs:
@@ -41,9 +44,7 @@ def from_requests(requests: DataFrame, series: DataFrame, circuits: DataFrame) -
     parameters by ``module_model``; a module that it lacks keeps them NULL.
     """
     dims = plant_requests.solar_dimensions(plant_requests.accepted(requests, "solar"))
-    parameters = circuits.select(
-        "module_model", "a_ref", "il_ref", "i0_ref", "rs_ref", "rsh_ref", "adjust"
-    )
+    parameters = circuits.select("module_model", *CIRCUIT)
     files = dims["plants"].select("plant_id", F.col("series_file").alias("series_id"))
     return SolarInputs(
         plants=dims["plants"].drop("series_file"),
@@ -67,13 +68,101 @@ def status(inputs: SolarInputs, fit: DataFrame) -> DataFrame:
     )
 
 
-def accepted_inputs(inputs: SolarInputs, fit: DataFrame) -> SolarInputs:
-    """The inputs without the plants that fail a check; they are reported by ``status``."""
-    failing = stage(status(inputs, fit).filter("n_bad > 0").select("plant_id").distinct())
+def site_status(inputs: SolarInputs) -> DataFrame:
+    """What would cut inverters or arrays out of a plant's sum, or count them twice: rows that
+    find no partner in the plan's inner joins, missing values, repeated rows."""
+    key, array_key = inverter.KEY, [*inverter.KEY, "array_id"]
+    counted = lambda df, name, *keys: df.groupBy(*keys).agg(F.count("*").alias(name))
+    back = F.col("bifacial") & quality.any_missing("bifaciality")
+    module = inputs.modules.groupBy(*key).agg(
+        F.count("*").alias("n_modules"),
+        F.max(quality.any_missing("t_noct", "psi", "alpha_sc") | F.col("bifacial").isNull() | back).alias("no_module"),
+        F.max(quality.any_missing(*CIRCUIT)).alias("no_circuit"),
+    )
+    inverters = (
+        inputs.inverters.join(module, key, "left")
+        .join(counted(inputs.arrays, "n_arrays", *key), key, "left")
+        .join(counted(inputs.inverters, "n_inverters", *key), key, "left")
+    )
+    known = inputs.inverters.select(*key).distinct().withColumn("known", F.lit(True))
+    arrays = inputs.arrays.join(known, key, "left").join(counted(inputs.arrays, "n_arrays", *array_key), array_key, "left")
+    tracker = F.col("tracker").isNull() | (F.col("tracker") & quality.any_missing("max_angle"))
+    plants = inputs.plants.join(counted(inputs.plants, "n_plants", "plant_id"), "plant_id", "left").join(
+        counted(inputs.inverters, "n_inverters", "plant_id"), "plant_id", "left"
+    )
+    repeated = "repeated row of a plant, inverter, module or array"
+    return quality.plant_status(
+        quality.violations_of(
+            plants,
+            ("coordinates", "latitude or longitude out of range", quality.outside("lat", "lon")),
+            (
+                "plant",
+                "missing value of a plant",
+                F.col("tz").isNull() | quality.any_missing("albedo", "l_pct", "kpc", "kt", "kin", "ihf", "ppi"),
+            ),
+            ("inverters", "plant without an inverter", F.col("n_inverters").isNull()),
+            ("repeated", repeated, F.col("n_plants") > 1),
+        ),
+        quality.violations_of(
+            inverters,
+            ("modules", "inverter without a module or with a missing value of it", F.coalesce("no_module", F.lit(True))),
+            ("circuits", "module without all circuit parameters", F.col("no_circuit")),
+            ("arrays", "inverter without an array", F.col("n_arrays").isNull()),
+            (
+                "inverters",
+                "missing value of an inverter",
+                quality.any_missing("paco", "pdco", "vdco", "pso", "pnt", "n_inv"),
+            ),
+            ("repeated", repeated, (F.col("n_inverters") > 1) | (F.col("n_modules") > 1)),
+        ),
+        quality.violations_of(
+            arrays,
+            ("arrays", "array of an unknown inverter", F.col("known").isNull()),
+            (
+                "array_values",
+                "missing value of an array",
+                tracker | quality.any_missing("axis_az", "axis_tilt", "modules_per_string", "strings"),
+            ),
+            ("repeated", repeated, F.col("n_arrays") > 1),
+        ),
+    )
+
+
+def series_status(inputs: SolarInputs, series: DataFrame) -> DataFrame:
+    """Plants without weather, with repeated or missing stamps or with missing values; the back
+    irradiance counts where a module uses it. ``series`` may be what the plan derived from it."""
+    bifacial = inputs.modules.filter("bifacial").select("plant_id").distinct().withColumn("two_faces", F.lit(True))
+    by_stamp = series.groupBy("plant_id", "ts").agg(
+        F.count("*").alias("rows"),
+        F.count_if(quality.any_missing("ghi", "ta")).alias("holes"),
+        F.count_if(quality.any_missing("back_irradiance")).alias("dark"),
+    )
+    faults = by_stamp.groupBy("plant_id").agg(
+        F.count_if((F.col("rows") > 1) | F.col("ts").isNull()).alias("stamps"),
+        F.sum("holes").alias("holes"),
+        F.sum("dark").alias("dark"),
+    )
+    plants = inputs.plants.select("plant_id").join(faults, "plant_id", "left").join(bifacial, "plant_id", "left")
+    return quality.violations_of(
+        plants,
+        ("series", "no weather for a plant", F.col("stamps").isNull()),
+        ("stamps", "repeated or missing time stamp", F.col("stamps") > 0),
+        ("values", "missing value in ghi, ta or back_irradiance", (F.col("holes") > 0) | (F.col("two_faces") & (F.col("dark") > 0))),
+    )
+
+
+def without(inputs: SolarInputs, failing: DataFrame) -> SolarInputs:
+    """The inputs without the failing plants."""
     keep = lambda df: df.join(failing, "plant_id", "left_anti")
     return replace(inputs, plants=keep(inputs.plants), inverters=keep(inputs.inverters), arrays=keep(inputs.arrays))
 
 
+def accepted_inputs(inputs: SolarInputs, fit: DataFrame) -> SolarInputs:
+    """The inputs without the plants that fail a check; they are reported by ``status``."""
+    found = quality.plant_status(status(inputs, fit), site_status(inputs), series_status(inputs, inputs.series))
+    return without(inputs, stage(quality.failing_plants(found)))
+
+
 def static_arrays(inputs: SolarInputs) -> DataFrame:
     """Arrays with everything that does not change by the hour."""
     site = inputs.plants.select("plant_id", "albedo", "l_pct")
@@ -94,26 +183,46 @@ def plane_of_arrays(hours: DataFrame, arrays: DataFrame) -> DataFrame:
     return irradiance.combine_faces(front).withColumn("poa", F.coalesce(poa, F.lit(0.0)))
 
 
-def array_irradiance(inputs: SolarInputs) -> DataFrame:
-    """Irradiance on every array. Both sides of the fan-out are stored, so the optimizer
-    knows their true sizes and picks the side to broadcast, or none, by them."""
-    hours = stage(irradiance.irradiance_by_plant(inputs.series, inputs.plants))
-    return plane_of_arrays(hours, stage(static_arrays(inputs)))
-
-
-def array_output(inputs: SolarInputs) -> DataFrame:
-    """DC current, voltage and power of each array per hour, after DC losses."""
-    df = array_power.panel_temperature(array_irradiance(inputs))
+def array_output(arrays: DataFrame) -> DataFrame:
+    """DC current, voltage and power of each array per hour, after DC losses. ``arrays`` is
+    the irradiance on them."""
+    df = array_power.panel_temperature(arrays)
     df = array_power.max_power_point(array_power.circuit_params(df))
     return array_power.dc_losses(array_power.string_scaling(df))
 
 
+@dataclass
+class Checked:
+    """Hourly energy of the plants that pass all checks, and the outcome of every check."""
+
+    hourly: DataFrame
+    status: DataFrame
+
+
+def checked_energy(inputs: SolarInputs) -> Checked:
+    """The plan, with its checks where their data pass anyway.
+
+    Tables are checked first. The stored irradiance holds each row of the series that is
+    left, so the series themselves are read once and checked there; a plant that fails
+    leaves before its hours meet its arrays. Both sides of that fan-out are stored, so the
+    optimizer knows their true sizes and picks the side to broadcast, or none, by them.
+    """
+    fit = stage(inverter.inverter_fit(inverter.inverter_samples(inputs.inverters)))
+    found = stage(quality.plant_status(status(inputs, fit), site_status(inputs)))
+    passing = without(inputs, quality.failing_plants(found))
+    hours = stage(irradiance.irradiance_by_plant(inputs.series, passing.plants))
+    seen = stage(series_status(passing, hours))
+    found, failing = found.unionByName(seen), quality.failing_plants(seen)
+    if not failing.isEmpty():
+        passing, hours = without(passing, failing), hours.join(failing, "plant_id", "left_anti")
+    arrays = plane_of_arrays(hours, stage(static_arrays(passing)))
+    ac = inverter.inverter_ac(array_output(arrays), passing.inverters, fit)
+    return Checked(inverter.plant_losses(energy.hourly_energy_solar(ac), passing.plants), found)
+
+
 def hourly_energy(inputs: SolarInputs) -> DataFrame:
     """Hourly energy of the plants that pass all checks."""
-    fit = stage(inverter.inverter_fit(inverter.inverter_samples(inputs.inverters)))
-    inputs = accepted_inputs(inputs, fit)
-    ac = inverter.inverter_ac(array_output(inputs), inputs.inverters, fit)
-    return inverter.plant_losses(energy.hourly_energy_solar(ac), inputs.plants)
+    return checked_energy(inputs).hourly
 
 
 def results(hourly: DataFrame, plants: DataFrame) -> dict[str, DataFrame]:

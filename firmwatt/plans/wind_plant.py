@@ -130,7 +130,10 @@ def status(inputs: WindInputs, profile: DataFrame | None = None) -> DataFrame:
     cables = inputs.links.join(one(inputs.turbines, "known", *place), place, "left")
     sites = inputs.plants.join(
         inputs.strings.groupBy("plant_id").agg(F.max(quality.any_missing("ohm")).alias("no_ohm")), "plant_id", "left"
-    ).join(counted(inputs.plants, "n_plants", "plant_id"), "plant_id", "left")
+    )
+    sites = sites.join(counted(inputs.plants, "n_plants", "plant_id"), "plant_id", "left").join(
+        counted(inputs.turbines, "n_turbines", "plant_id"), "plant_id", "left"
+    )
     masts = towers.join(counted(towers, "n_towers", "plant_id", "tower_id"), ["plant_id", "tower_id"], "left")
     driven = plants.filter(~F.col("measured")).select("plant_id", "series_id").union(towers.select("plant_id", "series_id"))
     weather = driven.join(profile, "series_id", "left")
@@ -164,6 +167,7 @@ def status(inputs: WindInputs, profile: DataFrame | None = None) -> DataFrame:
             ("coordinates", "latitude or longitude out of range", quality.outside("pcc_lat", "pcc_lon")),
             ("distance", "missing elevation", quality.any_missing("pcc_elev")),
             ("plant", "missing value of a plant", quality.any_missing("kv", "kpc", "kt", "kin", "ihf", "ppi")),
+            ("turbines", "plant without a turbine", F.col("n_turbines").isNull()),
             ("repeated", repeated, F.col("n_plants") > 1),
         ),
         quality.violations_of(

@@ -547,6 +547,22 @@ def _finals() -> dict[str, str]:
             UNION ALL SELECT 'monthly', count(*) FROM monthly UNION ALL SELECT 'daily', count(*) FROM daily
             UNION ALL SELECT 'firm', count(*) FROM firm_s UNION ALL SELECT 'surplus', count(*) FROM surplus""",
         "write_csv": f"SELECT plant_id, {ym}, {r('monthly', 2, 'energy_kwh_month')} FROM monthly",
+        "stream_to_dims": f"""SELECT plant_id, 'turbine' AS dim, turbine_id::VARCHAR AS item, {r('lat', 6, 'value')} FROM turb
+            UNION ALL SELECT plant_id, 'tower', tower_id::VARCHAR, {r('radius_km', 6)} FROM tower
+            UNION ALL SELECT plant_id, 'point', concat(model_id, ':', idx), {r('p', 6)}
+              FROM (SELECT DISTINCT plant_id, model_id FROM turb) JOIN pt USING (model_id)
+            UNION ALL SELECT plant_id, 'link', concat(string_pos, ':', pos, ':', turbine_id),
+              {r('0.2e0 + 0.01e0 * string_pos', 6)} FROM turb
+            UNION ALL SELECT plant_id, 'plant', 'cen', {r('cen', 6)} FROM farm
+            UNION ALL SELECT DISTINCT s_suppkey // 4, 'solar plant', 'America/Bogota', {r('0.2e0 + 0.1e0 * ((s_suppkey // 4) % 4)', 6)}
+              FROM supplier
+            UNION ALL SELECT s_suppkey // 4, 'inverter', (s_suppkey % 4)::VARCHAR,
+              {r('200000e0 * (0.5e0 + 0.125e0 * (s_suppkey % 8))', 6)} FROM supplier
+            UNION ALL SELECT s_suppkey // 4, 'module', concat(s_suppkey % 4, ':module-', s_suppkey), 45e0 FROM supplier
+            UNION ALL SELECT s_suppkey // 4, 'array', concat(s_suppkey % 4, ':', a), {r('108e0 + 10 * a + s_suppkey % 7', 6)}
+              FROM supplier, unnest([0, 1]) AS t(a)
+            UNION ALL SELECT s_suppkey, 'dead letter', CASE s_nationkey % 3 WHEN 2 THEN 'unknown plant kind'
+              ELSE 'request cannot be read' END, 1e0 FROM supplier""",
         "ingest_requests_stream": f"""SELECT s_suppkey AS plant_id, (s_nationkey % 3)::INT AS "TipoMensaje",
             concat('{{"ArchivoSeries":{{"Nombre":"', s_name, '"}}}}') AS "CuerpoMensaje", {route} AS route FROM supplier""",
         "request_status": """SELECT s_suppkey AS plant_id, 'request' AS task, CASE s_nationkey % 3

@@ -27,7 +27,7 @@ from firmwatt.operators import (
 from firmwatt.plans import solar_plant, wind_plant
 from firmwatt.session import tune
 from firmwatt.sources import requests, series, sinks
-from firmwatt.streaming.requests import append_to, ingest_requests
+from firmwatt.streaming.requests import append_to, dead_letters, dimensions_of, fan_out_to, ingest_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -181,15 +181,18 @@ def scan_towers(spark: SparkSession, sf: str) -> DataFrame:
     return tagged.select("plant_id", "tower_id", "event_id", stamp(), *[num(c) for c in READING])
 
 
+def _dim_rows(df: DataFrame, dim: str, item: Column, value: str) -> DataFrame:
+    return df.select(
+        "plant_id", F.lit(dim).alias("dim"), item.cast("string").alias("item"), num("value", 6, value)
+    )
+
+
 def config_to_dims(spark: SparkSession, sf: str) -> DataFrame:
-    dims = requests.wind_dimensions(T.wind_requests(spark, sf))
+    return _wind_dims(requests.wind_dimensions(T.wind_requests(spark, sf)))
 
-    def rows(df: DataFrame, dim: str, item: Column, value: str) -> DataFrame:
-        return df.select(
-            "plant_id", F.lit(dim).alias("dim"), item.cast("string").alias("item"),
-            num("value", 6, value),
-        )
 
+def _wind_dims(dims: dict[str, DataFrame]) -> DataFrame:
+    rows = _dim_rows
     links = dims["links"].join(dims["strings"], ["plant_id", "string_pos"])
     return (
         rows(dims["turbines"], "turbine", F.col("turbine_id"), "lat")
@@ -795,6 +798,25 @@ def ingest_requests_stream(spark: SparkSession, sf: str) -> DataFrame:
     ).select("plant_id", "TipoMensaje", "CuerpoMensaje", "route")
 
 
+def stream_to_dims(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests of both kinds and unreadable ones, parsed by the stream into dimension tables."""
+    base = sinks.shared_folder(spark)
+    for sent in (T.wind_requests(spark, sf), T.solar_requests(spark, sf), T.plain_requests(spark, sf)):
+        sent.write.mode("append").json(f"{base}/incoming")
+    ingest_requests(spark, f"{base}/incoming", f"{base}/checkpoint", fan_out_to(f"{base}/tables"))
+    solar = dimensions_of(spark, f"{base}/tables", "solar")
+    place = lambda *names: F.concat_ws(":", *names)
+    letters = dead_letters(spark, f"{base}/tables").groupBy("plant_id", "message").agg(F.count("*").alias("n"))
+    return (
+        _wind_dims(dimensions_of(spark, f"{base}/tables", "wind"))
+        .unionByName(_dim_rows(solar["plants"], "solar plant", F.col("tz"), "cen"))
+        .unionByName(_dim_rows(solar["inverters"], "inverter", F.col("inverter_id"), "paco"))
+        .unionByName(_dim_rows(solar["modules"], "module", place("inverter_id", "module_model"), "t_noct"))
+        .unionByName(_dim_rows(solar["arrays"], "array", place("inverter_id", "array_id"), "axis_az"))
+        .unionByName(_dim_rows(letters, "dead letter", F.col("message"), "n"))
+    )
+
+
 _QUERIES: list[Query] = [
     scan_series, scan_towers, config_to_dims, dispatch_by_type, write_result_tables,
     result_payload, failure_payload, request_status, accepted_plants, matrix_to_long, write_csv, plant_status, parse_decimal_comma, build_timestamp, scale_ghi,
@@ -812,7 +834,7 @@ _QUERIES: list[Query] = [
     wind_request_result, wind_plant_status, solar_plant_status, solar_request_result, sun_position,
     extraterrestrial, dni_disc, dhi_closure, surface_orientation, poa_perez, poa_bifacial,
     panel_temperature, circuit_params, max_power_point, string_scaling, dc_losses, inverter_ac,
-    plant_losses_solar, solar_plant_query, ingest_requests_stream,
+    plant_losses_solar, solar_plant_query, ingest_requests_stream, stream_to_dims,
 ]
 
 

@@ -38,12 +38,17 @@ class SolarInputs:
 
 
 def from_requests(requests: DataFrame, series: DataFrame, circuits: DataFrame) -> SolarInputs:
-    """The inputs that solar requests describe.
+    """The inputs that solar requests describe."""
+    dims = plant_requests.solar_dimensions(plant_requests.accepted(requests, "solar"))
+    return from_dimensions(dims, series, circuits)
+
+
+def from_dimensions(dims: dict[str, DataFrame], series: DataFrame, circuits: DataFrame) -> SolarInputs:
+    """The inputs from the tables of ``solar_dimensions``, parsed now or stored by the stream.
 
     ``series`` has the file's name as ``series_id``. ``circuits`` has the six circuit
     parameters by ``module_model``; a module that it lacks keeps them NULL.
     """
-    dims = plant_requests.solar_dimensions(plant_requests.accepted(requests, "solar"))
     parameters = circuits.select("module_model", *CIRCUIT)
     files = dims["plants"].select("plant_id", F.col("series_file").alias("series_id"))
     return SolarInputs(

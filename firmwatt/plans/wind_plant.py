@@ -49,12 +49,16 @@ class WindInputs:
 
 
 def from_requests(requests: DataFrame, series: DataFrame) -> WindInputs:
-    """The inputs that wind requests describe; ``series`` has the file's name as ``series_id``.
+    """The inputs that wind requests describe; ``series`` has the file's name as ``series_id``."""
+    return from_dimensions(plant_requests.wind_dimensions(plant_requests.accepted(requests, "wind")), series)
+
+
+def from_dimensions(dims: dict[str, DataFrame], series: DataFrame) -> WindInputs:
+    """The inputs from the tables of ``wind_dimensions``, parsed now or stored by the stream.
 
     Two plants may give the same name to different models, so a model is keyed by its
     content: equal curves of many plants are still built once.
     """
-    dims = plant_requests.wind_dimensions(plant_requests.accepted(requests, "wind"))
 
     def keyed(df: DataFrame) -> DataFrame:
         return df.drop("model_id").withColumnRenamed("model_key", "model_id")

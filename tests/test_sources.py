@@ -110,3 +110,32 @@ def test_stream_takes_each_request_once(spark, tmp_path):
     assert got.count() == 10
     wrong = got.filter((F.col("route") == "rejected") != (~F.col("TipoMensaje").isin(0, 1)))
     assert wrong.count() == 0
+
+
+def test_stream_fills_the_dimension_tables(spark, tmp_path):
+    """A repeated batch changes nothing, bad bodies end as dead letters, the last request counts."""
+    from firmwatt.checks import tables as T
+    from firmwatt.plans import wind_plant
+    from firmwatt.sources.requests import with_route
+    from firmwatt.streaming.requests import dead_letters, dimensions_of, fan_out_to
+
+    sf, base = "/root/testdata/sf0.001", str(tmp_path)
+    bad = spark.createDataFrame([(901, 1, "{not json"), (902, 7, "{}"), (903, 0, None)], T.REQUEST_SCHEMA)
+    good = T.wind_requests(spark, sf)
+    handle = fan_out_to(base)
+    for _ in range(2):
+        handle(with_route(good.unionByName(bad)), 0)
+    dims = dimensions_of(spark, base, "wind")
+    expected = T.turbines(spark, sf).count()
+    assert dims["turbines"].count() == expected and dims["plants"].count() == good.count()
+    assert dimensions_of(spark, base, "solar")["plants"].count() == 0
+    letters = {r["plant_id"]: r["message"] for r in dead_letters(spark, base).collect()}
+    assert letters == {901: "request cannot be read", 902: "unknown plant kind", 903: "request cannot be read"}
+    renamed = good.withColumn("CuerpoMensaje", F.regexp_replace("CuerpoMensaje", "farm ", "renamed "))
+    handle(with_route(renamed), 1)
+    dims = dimensions_of(spark, base, "wind")
+    assert dims["turbines"].count() == expected
+    assert all(r["name"].startswith("renamed") for r in dims["plants"].collect())
+    series = T.wind_inputs(spark, sf).series.withColumn("series_id", T.series_file(F.col("series_id")))
+    inputs = wind_plant.from_dimensions(dims, series)
+    assert not wind_plant.status(inputs).filter("n_bad > 0").count()

@@ -182,6 +182,7 @@ def search(documents: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
     for number in sorted(r["block"] for r in blocks.select("block").distinct().collect()):
         sent = spark.sparkContext.broadcast(_packed(weights.filter(F.col("block") == number)))
         part = stage(index.mapInArrow(_searcher(sent, k, mean, id_type), schema))
+        sent.destroy()  # the part is written
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = index.select(F.col("row").alias("query"), "doc_id", F.lit(0.0).alias("score")).limit(0)

@@ -533,6 +533,14 @@ def _finals() -> dict[str, str]:
         "scan_series": f"SELECT plant_id, {reading} FROM reading",
         "scan_towers": f"""SELECT w.plant_id, tower_id, {reading} FROM reading d
             JOIN tower w ON w.series_id = d.plant_id""",
+        "series_files": f"""SELECT plant_id, 'station=' || plant_id || '.parquet' AS series_file, NULL AS problem,
+              count(*) AS rows, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first,
+              strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, {r('max(wind)', 4, 'top')}
+            FROM reading GROUP BY plant_id
+            UNION ALL SELECT DISTINCT plant_id, 'station=' || plant_id || '-b.parquet', 'missing', NULL, NULL, NULL, NULL
+            FROM reading WHERE plant_id % 3 = 0
+            UNION ALL SELECT DISTINCT plant_id, 'half.parquet', 'unreadable', NULL, NULL, NULL, NULL
+            FROM reading WHERE plant_id = (SELECT max(plant_id) FROM reading)""",
         "config_to_dims": f"""SELECT plant_id, 'turbine' AS dim, turbine_id::VARCHAR AS item, {r('lat', 6, 'value')} FROM turb
             UNION ALL SELECT plant_id, 'tower', tower_id::VARCHAR, {r('radius_km', 6)} FROM tower
             UNION ALL SELECT plant_id, 'point', concat(model_id, ':', idx), {r('p', 6)}

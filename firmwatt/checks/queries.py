@@ -26,7 +26,7 @@ from firmwatt.operators import (
 )
 from firmwatt.plans import solar_plant, wind_plant
 from firmwatt.session import tune
-from firmwatt.sources import requests, series, sinks
+from firmwatt.sources import files, requests, series, sinks
 from firmwatt.streaming.requests import append_to, dead_letters, dimensions_of, fan_out_to, ingest_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,6 +181,34 @@ def scan_towers(spark: SparkSession, sf: str) -> DataFrame:
     return tagged.select("plant_id", "tower_id", "event_id", stamp(), *[num(c) for c in READING])
 
 
+def series_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The stations' readings written as one series each and read by name.
+
+    Every station names its own series, every third one a second that is not there, and the
+    last one a third with parts that are no parquet beside those that are.
+    """
+    base = sinks.shared_folder(spark)
+    raw = T.raw_wind(spark, sf).drop("event_id")
+    own = raw.withColumn("station", F.format_string("%d.parquet", "series_id")).drop("series_id")
+    own.write.partitionBy("station").parquet(base)
+    last = raw.filter(F.col("series_id") == T.STATIONS - 1).drop("series_id")
+    last.write.parquet(f"{base}/half.parquet")
+    last.select("Ano").write.mode("append").text(f"{base}/half.parquet")
+    stations = spark.range(T.STATIONS).select(F.col("id").alias("plant_id"))
+    name = lambda pattern: F.format_string(pattern, "plant_id").alias("series_file")
+    names = (
+        stations.select("plant_id", name("station=%d.parquet"))
+        .unionByName(stations.filter("plant_id % 3 = 0").select("plant_id", name("station=%d-b.parquet")))
+        .unionByName(stations.filter(F.col("plant_id") == T.STATIONS - 1).select("plant_id", F.lit("half.parquet").alias("series_file")))
+    )
+    found = files.named_series(spark, base, names, series.schemas.RAW_WIND, series.clean_wind)
+    span = found.series.groupBy("series_id").agg(
+        F.count("*").alias("rows"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.max("wind").alias("top")
+    )
+    rows = found.files.join(span, F.col("series_file") == F.col("series_id"), "left")
+    return rows.select("plant_id", "series_file", "problem", "rows", stamp("first"), stamp("last"), num("top"))
+
+
 def _dim_rows(df: DataFrame, dim: str, item: Column, value: str) -> DataFrame:
     return df.select(
         "plant_id", F.lit(dim).alias("dim"), item.cast("string").alias("item"), num("value", 6, value)
@@ -818,7 +846,7 @@ def stream_to_dims(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _QUERIES: list[Query] = [
-    scan_series, scan_towers, config_to_dims, dispatch_by_type, write_result_tables,
+    scan_series, scan_towers, series_files, config_to_dims, dispatch_by_type, write_result_tables,
     result_payload, failure_payload, request_status, accepted_plants, matrix_to_long, write_csv, plant_status, parse_decimal_comma, build_timestamp, scale_ghi,
     daylight_filter, drop_dark_rows, low_sun_clamp, cap_interconnection, floor_zero,
     temperature_gate, normalize_technology, check_pressure, check_coordinates, check_nulls,

@@ -7,9 +7,11 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firmwatt import schemas
 from firmwatt.constants import INVERTER_LEVELS, POINTS_PER_LEVEL
 from firmwatt.operators import array_power, cleaning, energy, inverter, irradiance, quality
 from firmwatt.sources import requests as plant_requests
+from firmwatt.sources.files import named_series
 from firmwatt.sources.sinks import stage
 
 #: Parameters of the single-diode circuit.
@@ -60,6 +62,21 @@ def from_dimensions(dims: dict[str, DataFrame], series: DataFrame, circuits: Dat
     )
 
 
+def from_files(requests: DataFrame, folder: str, circuits: DataFrame) -> tuple[SolarInputs, DataFrame]:
+    """The inputs that solar requests describe, with their series read below ``folder``.
+
+    A plant whose file is missing or can't be read is left out; the second table has the status
+    of every plant's file. The files hold no back irradiance: it is NULL, which fails the
+    plants with bifacial modules.
+    """
+    dims = plant_requests.solar_dimensions(plant_requests.accepted(requests, "solar"))
+    names = dims["plants"].select("plant_id", "series_file")
+    found = named_series(requests.sparkSession, folder, names, schemas.RAW_SOLAR, cleaning.clean_solar)
+    series = found.series.withColumn("back_irradiance", F.lit(None).cast("double"))
+    status = found.status()
+    return without(from_dimensions(dims, series, circuits), quality.failing_plants(status)), status
+
+
 def status(inputs: SolarInputs, fit: DataFrame) -> DataFrame:
     """Inverters whose points or fit are not valid; they would be missing in a plant's sum."""
     points = len(INVERTER_LEVELS) * POINTS_PER_LEVEL

@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from firmwatt import schemas
 from firmwatt.constants import PRESSURE_LIMIT
 from firmwatt.operators import (
     curves,
@@ -17,7 +18,9 @@ from firmwatt.operators import (
     turbine_power,
     wake,
 )
+from firmwatt.operators.cleaning import clean_wind
 from firmwatt.sources import requests as plant_requests
+from firmwatt.sources.files import named_series
 from firmwatt.sources.sinks import stage
 
 WEATHER = ["wind", "direction", "ta", "pressure"]
@@ -75,6 +78,26 @@ def from_dimensions(dims: dict[str, DataFrame], series: DataFrame) -> WindInputs
     )
 
 
+def series_names(dims: dict[str, DataFrame]) -> DataFrame:
+    """plant_id, series_file: the files that drive a plant's turbines, its towers' in measured plants."""
+    plants = dims["plants"]
+    own = plants.filter(~F.col("measured")).select("plant_id", "series_file")
+    measured = plants.filter("measured").select("plant_id")
+    return own.unionByName(dims["towers"].join(measured, "plant_id", "left_semi").select("plant_id", "series_file"))
+
+
+def from_files(requests: DataFrame, folder: str) -> tuple[WindInputs, DataFrame]:
+    """The inputs that wind requests describe, with their series read below ``folder``.
+
+    A plant with a file that is missing or can't be read is left out; the second table has
+    the status of every plant's files.
+    """
+    dims = plant_requests.wind_dimensions(plant_requests.accepted(requests, "wind"))
+    found = named_series(requests.sparkSession, folder, series_names(dims), schemas.RAW_WIND, clean_wind)
+    status = found.status()
+    return without(from_dimensions(dims, found.series), quality.failing_plants(status)), status
+
+
 def series_profile(series: DataFrame) -> DataFrame:
     """One pass over the series: per series its mean density and its faults.
 

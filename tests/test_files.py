@@ -8,7 +8,7 @@ from firmwatt.operators.cleaning import clean_wind
 from firmwatt.plans import wind_plant
 from firmwatt.sources import files
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 ROW = ("2008", "1", "1", "12", "0,5", "990,5", "20,5", "7,25")
 
 
@@ -63,30 +63,29 @@ def test_each_kind_of_damage(spark, tmp_path):
     assert bad == {(p, unreadable) for p in (3, 4, 6)} | {(p, "series file is missing") for p in (5, 7, 8)}
 
 
-def test_wind_plan_from_files(spark, tmp_path):
-    """The same energy as from a table; the plants of one lost file leave, the others stay."""
+def test_wind_inputs_from_files(spark, tmp_path):
+    """The same inputs as from a table; the plants of one lost file leave, the others stay."""
     base = str(tmp_path / "in")
-    raw = T.raw_wind(spark, SF).withColumn("day", F.concat_ws("-", "Ano", "Mes", "Dia", "Hora"))
-    once = raw.dropDuplicates(["series_id", "day"]).drop("event_id", "day")
+    raw = T.raw_wind(spark, SF).filter("Mes = '1' AND Dia = '2'").drop("event_id")
     for number in range(T.STATIONS):
-        rows = once.filter(F.col("series_id") == number).drop("series_id")
+        rows = raw.filter(F.col("series_id") == number).drop("series_id")
         rows.coalesce(1).write.parquet(f"{base}/station-{number}.parquet")
     requests = T.wind_requests(spark, SF)
     inputs, status = wind_plant.from_files(requests, base)
-    assert not status.filter("n_bad > 0").count()
-    table = clean_wind(once).withColumn("series_id", T.series_file(F.col("series_id")))
-
-    def energy(df):
-        return {r["plant_id"]: r["kwh"] for r in df.groupBy("plant_id").agg(F.bround(F.sum("kwh"), 3).alias("kwh")).collect()}
-
-    expected = energy(wind_plant.hourly_energy(wind_plant.from_requests(requests, table)))
-    assert expected and energy(wind_plant.hourly_energy(inputs)) == expected
-    lost = 1
-    for part in (tmp_path / "in" / f"station-{lost}.parquet").glob("part-*"):
-        part.write_bytes(b"PAR1 lost PAR1")
+    plants = {r["plant_id"] for r in requests.select("plant_id").collect()}
+    assert {r["plant_id"] for r in status.collect()} == plants and not status.filter("n_bad > 0").count()
     names = wind_plant.series_names(wind_plant.plant_requests.wind_dimensions(requests))
-    driven = {r["plant_id"] for r in names.filter(F.col("series_file") == f"station-{lost}.parquet").collect()}
+    driven = [(r["plant_id"], r["series_file"]) for r in names.collect()]
+    table = clean_wind(raw).withColumn("series_id", T.series_file(F.col("series_id")))
+    table = table.filter(F.col("series_id").isin([f for _, f in driven])).select("series_id", "ts", *wind_plant.WEATHER)
+    read = inputs.series.select(*table.columns)
+    assert read.count() and not read.exceptAll(table).count() and not table.exceptAll(read).count()
+    lost = driven[0][1]
+    for part in (tmp_path / "in" / lost).glob("part-*"):
+        part.write_bytes(b"PAR1 lost PAR1")
+    failing = {p for p, f in driven if f == lost}
+    assert failing and failing != plants
     inputs, status = wind_plant.from_files(requests, base)
-    assert {r["plant_id"] for r in status.filter("n_bad > 0").collect()} == driven != set()
-    left = energy(wind_plant.hourly_energy(inputs))
-    assert left == {p: e for p, e in expected.items() if p not in driven}
+    assert {r["plant_id"] for r in status.filter("n_bad > 0").collect()} == failing
+    for df in (inputs.plants, inputs.turbines, inputs.links):
+        assert {r["plant_id"] for r in df.select("plant_id").distinct().collect()} == plants - failing

@@ -149,7 +149,7 @@ WITH RECURSIVE urls AS (
     ) WHERE mass > 0
     UNION ALL
     SELECT k + 1, t.kind, w.dst, sum(t.mass * w.share) * 0.85
-    FROM terms t JOIN walks w ON t.kind = w.kind AND t.host = w.src WHERE k < 20 GROUP BY k, t.kind, w.dst
+    FROM terms t JOIN walks w ON t.kind = w.kind AND t.host = w.src WHERE k < 400 GROUP BY k, t.kind, w.dst
 ), scores AS (
     SELECT host, round(sum(CASE WHEN kind = 'trust' THEN mass ELSE 0 END), 6) AS trust,
         round(sum(CASE WHEN kind = 'distrust' THEN mass ELSE 0 END), 6) AS distrust

@@ -6,8 +6,8 @@ host decides. Every page that a rule allows gives its host one unit of trust, ev
 that a rule blocks one unit of distrust. Trust follows the links (personalised PageRank from
 the trusted seeds); distrust follows them backwards (who links to blocked pages is suspect).
 Both are sums of walks with a damping of 0.85: the power series is added up term by term,
-each term a table of its own, until no mass moves or ``ROUNDS`` terms are added (the rest is
-below 0.85 ^ ROUNDS). A host is blocked when its distrust is more than ``RATIO`` times its
+each term a table of its own, until all mass that still moves is below ``REST``, however
+long the chains and cycles of hosts are. A host is blocked when its distrust is more than ``RATIO`` times its
 trust and at least ``SHARE`` of its number of pages.
 
 Built from DataFrame functions alone. Links are the absolute and the scheme-less ones of
@@ -23,6 +23,7 @@ is allowed; a null html has no links; equal rows each count as a page. Other col
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,10 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-DAMPING, ROUNDS = 0.85, 20
+DAMPING = 0.85
+# Mass of a term, over all hosts, below which no score of six digits changes, and the terms
+# that are summed up together.
+REST, FOLD = 1e-8, 16
 RATIO, SHARE = 2.0, 0.25
 LINK = r"""(?is)\b(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -75,25 +79,33 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.count("*").alias("pages"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rest: float = REST) -> DataFrame:
     """Scores by (kind, host): the mass of ``seeds`` (kind, host, mass) along ``edges``
-    (kind, src, dst, share)."""
+    (kind, src, dst, share).
+
+    A term holds at most ``damping`` times the mass of the one before it, so the walk ends; what
+    follows the last one is below ``rest * damping / (1 - damping)`` in all. Terms are summed up in
+    groups of ``FOLD``, so no plan grows with their number.
+    """
+    if not 0 < damping < 1 or rest <= 0:
+        raise ValueError("damping must lie between 0 and 1, and rest above 0")
     term = stage(seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass")))
     terms = [term]
-    for _ in range(rounds):
+    while (term.agg(F.sum("mass")).first()[0] or 0.0) > rest:
         walked = term.join(edges, (term["kind"] == edges["walk"]) & (term["host"] == edges["src"]))
         term = stage(
             walked.groupBy("kind", "dst")
             .agg((F.sum(F.col("mass") * F.col("share")) * damping).alias("mass"))
             .select("kind", F.col("dst").alias("host"), "mass")
         )
-        if not term.limit(1).count():
-            break
         terms.append(term)
-    every = terms[0]
-    for other in terms[1:]:
-        every = every.unionByName(other)
-    return every.groupBy("kind", "host").agg(F.sum("mass").alias("score"))
+        if len(terms) == FOLD:
+            terms = [stage(_summed(terms))]
+    return _summed(terms).withColumnRenamed("mass", "score")
+
+
+def _summed(terms: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, terms).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:

@@ -318,9 +318,20 @@ def test_hosts_paths_rules_and_spread(spark):
     assert found[8]["rule"] == "org/" and found[3]["host"] == "" and found[4]["verdict"] == "allow"
     assert found[10]["rule"] is None and found[10]["verdict"] == "block"
     # b.com <-> spam.net: distrust of one page walks back and forth, 0.15 * 0.85 ^ k
-    walk = [0.15 * 0.85**k for k in range(21)]
-    assert found[6]["distrust"] == pytest.approx(sum(walk[1::2]), abs=1e-5)
-    assert found[2]["distrust"] == pytest.approx(sum(walk[0::2]), abs=1e-5)
+    walk = [0.15 * 0.85**k for k in range(400)]
+    assert found[6]["distrust"] == pytest.approx(sum(walk[1::2]), abs=1e-6)
+    assert found[2]["distrust"] == pytest.approx(sum(walk[0::2]), abs=1e-6)
+
+
+def test_mass_reaches_the_end_of_a_long_chain(spark):
+    """A chain of 24 hosts from a seed of a million pages; every link carries all mass on."""
+    seeds = spark.createDataFrame([("trust", "h0", 1e6)], "kind string, host string, mass double")
+    chain = [("trust", f"h{i}", f"h{i + 1}", 1.0) for i in range(24)]
+    edges = spark.createDataFrame(chain, "walk string, src string, dst string, share double")
+    found = {r["host"]: r["score"] for r in url_filter.spread(seeds, edges).collect()}
+    assert found == pytest.approx({f"h{i}": 0.15e6 * 0.85**i for i in range(25)})
+    none = url_filter.spread(seeds.limit(0), edges)
+    assert none.columns == ["kind", "host", "score"] and not none.count()
 
 
 def test_quality_model_learns(spark):
@@ -421,7 +432,7 @@ def test_every_participant_gets_a_view(spark):
     bob = found[1, 0, "bob"]
     assert [bob["text"][s["begin"] : s["end"]] for s in bob["mask"]] == ["hé<|im_end|>"]
     assert "user name=ann" in bob["text"]
-    crowd = spark.createDataFrame([(9, None, "ann", f"t{i}") for i in range(40)], turns.schema)
+    crowd = spark.createDataFrame([(9, None, "ann", f"t{i}") for i in range(24)], turns.schema)
     assert sum(r["n_turns"] for r in chat.rotate(crowd).collect()) == 40
     split = chat.parts(crowd, part_rows=8).groupBy("piece").count().collect()
     assert len(split) > 1 and sum(r["count"] for r in split) == 40

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from firmwatt import schemas
 from firmwatt.checks import tables as T
 from firmwatt.operators.cleaning import clean_wind
-from firmwatt.plans import wind_plant
+from firmwatt.plans import solar_plant, wind_plant
 from firmwatt.sources import files
 
 SF = "/root/testdata/sf0.01"
@@ -89,3 +89,21 @@ def test_wind_inputs_from_files(spark, tmp_path):
     assert {r["plant_id"] for r in status.filter("n_bad > 0").collect()} == failing
     for df in (inputs.plants, inputs.turbines, inputs.links):
         assert {r["plant_id"] for r in df.select("plant_id").distinct().collect()} == plants - failing
+
+
+def test_solar_inputs_from_files(spark, tmp_path):
+    """Readings come in Wh with the plant that names their file; a plant without one is left out."""
+    rows = spark.createDataFrame([("2008", "1", "1", "12", "0,5", "20,5")], schemas.RAW_SOLAR)
+    requests = T.solar_requests(spark, SF)
+    dims = solar_plant.plant_requests.solar_dimensions(requests)
+    named = {r["plant_id"]: r["series_file"] for r in dims["plants"].select("plant_id", "series_file").collect()}
+    lost = min(named.values())
+    for name in set(named.values()) - {lost}:
+        rows.coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in" / "unnamed.parquet"))
+    inputs, status = solar_plant.from_files(requests, str(tmp_path / "in"), T.module_names(spark, SF))
+    failing = {p for p, f in named.items() if f == lost}
+    assert {r["plant_id"] for r in status.filter("n_bad > 0").collect()} == failing
+    assert {r["plant_id"] for r in inputs.plants.select("plant_id").collect()} == set(named) - failing
+    read = {(r["plant_id"], r["ghi"], r["ta"], r["back_irradiance"]) for r in inputs.series.collect()}
+    assert read == {(p, 500.0, 20.5, None) for p in set(named) - failing} != set()

@@ -7,14 +7,14 @@ character spans that the participant is trained on: their texts with the end mar
 A turn is ``<|im_start|>role`` or ``<|im_start|>user name=NAME``, a line feed, the text and
 ``<|im_end|>`` with a line feed. Marks inside a text are broken up (``<|`` becomes ``< |``).
 
-A conversation is cut into parts of ``PART_TURNS`` turn numbers. Every participant of the
-conversation gets every part, also those where they don't speak, and a part begins with the
-system turns that stand before it, equal texts once (a conversation with more than
-``PART_ROWS`` different system texts gives the first of them along). A part of more than ``PART_ROWS`` rows (repeated or null turn
-numbers) is cut into consecutive pieces of so many rows in the order of its turns. So no row
-grows with the table, and a conversation with a third of all rows is many parts. The order is
-found by a range partition and counts per partition; rows that are equal in it are equal in
-all that is rendered, so the pieces don't depend on the layout of the files.
+A conversation is rendered whole up to ``PART_BYTES`` and cut into parts only above it: a turn
+counts its text, its speaker's name and ``TURN_BYTES`` for the marks, and its part is the sum of
+the turns before it over ``PART_BYTES``. So no row grows with the table, and a conversation with
+a third of all rows is many parts. Every participant of the conversation gets every part, also
+those where they don't speak. A part after the first begins with the system turn in force, the
+last one before it. The order of a conversation that is cut is found by a range partition and sums
+per partition; rows that are equal in it are equal in all that is rendered, so the parts don't
+depend on the layout of the files.
 
 Defined cases: a null role is a participant named ``unknown``; a null text is empty; turns
 go by turn number (null first), then role, then text; a conversation of system turns alone
@@ -32,82 +32,84 @@ from pyspark.sql import functions as F
 
 from firmwatt.llm.common import stage
 
-PART_TURNS, PART_ROWS = 64, 256
+PART_BYTES, TURN_BYTES = 1 << 19, 64
 
 
-def parts(conversations: DataFrame, part_turns: int = PART_TURNS, part_rows: int = PART_ROWS) -> DataFrame:
-    """Turns with the columns conv_id, part, piece, turn, speaker and text."""
+def parts(conversations: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Turns with the columns conv_id, part, turn, speaker and text."""
     text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("< |"))
     speaker = F.coalesce(F.col("role"), F.lit("unknown"))
-    part = F.floor(F.col("turn") / part_turns).cast("long")
-    rows = conversations.select("conv_id", part.alias("part"), "turn", speaker.alias("speaker"), text.alias("text"))
-    crowded = rows.groupBy("conv_id", "part").count().filter(F.col("count") > part_rows)
-    crowded = stage(crowded.select(F.col("conv_id").alias("c_conv"), F.col("part").alias("c_part")))
-    first = F.lit(0).cast("long").alias("piece")
-    if not crowded.limit(1).count():
-        return rows.select("*", first)
-    same = F.col("conv_id").eqNullSafe(F.col("c_conv")) & F.col("part").eqNullSafe(F.col("c_part"))
-    cut = _stretches(rows.join(crowded, same, "left_semi"), part_rows)
-    return rows.join(crowded, same, "left_anti").select("*", first).unionByName(cut)
+    rows = conversations.select("conv_id", "turn", speaker.alias("speaker"), text.alias("text"))
+    rows = rows.withColumn("bytes", F.octet_length("text") + F.octet_length("speaker") + F.lit(TURN_BYTES).cast("long"))
+    large = rows.groupBy("conv_id").agg(F.sum("bytes").alias("all")).filter(F.col("all") > part_bytes)
+    large, same = _same_part(stage(large.select("conv_id")), ("conv_id",))
+    whole = F.lit(0).cast("long").alias("part")
+    columns = ["conv_id", "turn", "speaker", "text"]
+    if not large.limit(1).count():
+        return rows.select(*columns, whole)
+    cut = _cut(rows.join(large, same, "left_semi"), part_bytes)
+    return rows.join(large, same, "left_anti").select(*columns, whole).unionByName(cut)
 
 
-def _stretches(rows: DataFrame, part_rows: int) -> DataFrame:
-    """The rows with their piece: their place in the order of their part, by ``part_rows``.
+def _cut(rows: DataFrame, part_bytes: int) -> DataFrame:
+    """The rows with their part: the bytes before them in their conversation, by ``part_bytes``.
 
     A tie-breaker spreads equal rows over partitions; which of them is first makes no difference.
     """
-    key, order = ["conv_id", "part"], ["turn", "speaker", "text", "tie"]
+    order = ["turn", "speaker", "text", "tie"]
     tied = stage(rows.withColumn("tie", F.monotonically_increasing_id()))
-    ranged = stage(tied.repartitionByRange(*key, *order).withColumn("slot", F.spark_partition_id()))
-    counts = ranged.groupBy(*key, "slot").count()
-    before = F.sum("count").over(Window.partitionBy(*key).orderBy("slot")) - F.col("count")
-    counts = counts.select(*[F.col(k).alias(f"c_{k}") for k in (*key, "slot")], before.alias("before"))
-    same = (F.col("slot") == F.col("c_slot")) & F.col("conv_id").eqNullSafe(F.col("c_conv_id"))
-    same = same & F.col("part").eqNullSafe(F.col("c_part"))
-    place = F.row_number().over(Window.partitionBy("slot", *key).orderBy(*order)) - 1 + F.col("before")
-    placed = ranged.join(counts, same).withColumn("piece", F.floor(place / part_rows).cast("long"))
-    return placed.select(*key, "turn", "speaker", "text", "piece")
-
-
-def _same_part(other: DataFrame, names: tuple[str, ...] = ("conv_id", "part", "piece")) -> tuple[DataFrame, Column]:
+    ranged = stage(tied.repartitionByRange("conv_id", *order).withColumn("slot", F.spark_partition_id()))
+    slots = ranged.groupBy("conv_id", "slot").agg(F.sum("bytes").alias("held"))
+    before = F.sum("held").over(Window.partitionBy("conv_id").orderBy("slot")) - F.col("held")
+    slots, same = _same_part(slots.select("conv_id", "slot", before.alias("before")), ("conv_id", "slot"))
+    within = F.sum("bytes").over(Window.partitionBy("slot", "conv_id").orderBy(*order)) - F.col("bytes")
+    place = F.floor((F.col("before") + within) / part_bytes).cast("long")
+    return ranged.join(slots, same).select("conv_id", "turn", "speaker", "text", place.alias("part"))
+
+
+def _same_part(other: DataFrame, names: tuple[str, ...] = ("conv_id", "part")) -> tuple[DataFrame, Column]:
     """``other`` with ``names`` renamed, and the condition that they are equal or both null."""
     renamed = other.withColumnsRenamed({n: f"o_{n}" for n in names})
     return renamed, reduce(and_, [F.col(n).eqNullSafe(F.col(f"o_{n}")) for n in names])
 
 
 def views_of(rows: DataFrame) -> DataFrame:
-    """conv_id, part, piece and me: each part with each participant of its conversation."""
+    """conv_id, part and me: each part with each participant of its conversation."""
     speakers = rows.filter("speaker != 'system'").select("conv_id", F.col("speaker").alias("me")).distinct()
     speakers, same = _same_part(speakers, ("conv_id",))
-    return rows.select("conv_id", "part", "piece").distinct().join(speakers, same).drop("o_conv_id")
+    return rows.select("conv_id", "part").distinct().join(speakers, same).drop("o_conv_id")
 
 
-def system_before(rows: DataFrame, most: int = PART_ROWS) -> DataFrame:
-    """conv_id, part, piece and before: the system turns of the conversation's earlier parts."""
-    place = F.min(F.struct("part", "piece", "turn")).alias("place")
-    system = rows.filter("speaker = 'system'").groupBy("conv_id", "text").agg(place)
-    system = system.withColumn("nth", F.row_number().over(Window.partitionBy("conv_id").orderBy("place", "text")))
-    system, same = _same_part(system.filter(F.col("nth") <= most), ("conv_id",))
-    earlier = F.struct("place.part", "place.piece") < F.struct("part", "piece")
-    turn = F.struct(F.col("place.turn").alias("turn"), F.lit("system").alias("speaker"), "text")
-    ordered = F.array_sort(F.collect_list(F.struct("nth", turn.alias("t"))))
-    found = rows.select("conv_id", "part", "piece").distinct().join(system, same & earlier)
-    return found.groupBy("conv_id", "part", "piece").agg(F.transform(ordered, lambda x: x["t"]).alias("before"))
+def in_force(turns: DataFrame) -> DataFrame:
+    """conv_id, part and force: the last system turn before each part that has one.
 
+    ``turns`` has one row per part with its last system turn as ``last``. The window sees the
+    numbers of a conversation's parts alone; the turn is joined by the part that holds it.
+    """
+    held = F.when(F.col("last").isNotNull(), F.col("part"))
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    holder = turns.select("conv_id", "part", F.last(held, ignorenulls=True).over(earlier).alias("holder"))
+    last, _ = _same_part(turns.select("conv_id", "part", "last"))
+    same = F.col("conv_id").eqNullSafe(F.col("o_conv_id")) & (F.col("holder") == F.col("o_part"))
+    return holder.filter("holder IS NOT NULL").join(last, same).select("conv_id", "part", F.col("last").alias("force"))
 
-def rotate(conversations: DataFrame) -> DataFrame:
-    """One row per part and participant: conv_id, part, piece, speaker, text, mask, n_turns.
+
+def rotate(conversations: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """One row per part and participant: conv_id, part, speaker, text, mask, n_turns.
 
     ``mask`` is an array of (begin, end) in characters, ``end`` not included; ``n_turns``
-    counts the part's own turns, without the system turns from before it.
+    counts the part's own turns, without the system turn from before it.
     """
-    rows = parts(conversations)
+    rows = parts(conversations, part_bytes)
     turn = F.struct("turn", "speaker", "text")
-    whole = rows.groupBy("conv_id", "part", "piece").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    whole = whole.withColumn("n_turns", F.size("turns"))
-    before, same = _same_part(system_before(rows))
-    whole = whole.join(before, same, "left").select(
-        "conv_id", "part", "piece", "n_turns", F.when(F.col("before").isNull(), F.col("turns")).otherwise(F.concat("before", "turns")).alias("turns")
+    whole = rows.groupBy("conv_id", "part").agg(
+        F.array_sort(F.collect_list(turn)).alias("turns"),
+        F.max(F.when(F.col("speaker") == "system", turn)).alias("last"),
+    )
+    force, same = _same_part(in_force(whole))
+    turns = F.when(F.col("force").isNull(), F.col("turns")).otherwise(F.concat(F.array("force"), "turns"))
+    whole = whole.join(force, same, "left").select(
+        "conv_id", "part", F.size("turns").alias("n_turns"), turns.alias("turns")
     )
     views, same = _same_part(views_of(rows))
     views = whole.join(views, same)
@@ -137,7 +139,6 @@ def rotate(conversations: DataFrame) -> DataFrame:
     return views.select(
         "conv_id",
         "part",
-        "piece",
         F.col("me").alias("speaker"),
         text.alias("text"),
         F.aggregate("rendered", start, step, lambda s: s["spans"]).alias("mask"),

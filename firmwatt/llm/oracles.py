@@ -164,24 +164,33 @@ FROM ruled JOIN ranked USING (host)
 
 OP10 = r"""
 WITH turns AS (
-    SELECT conv_id, turn // 64 AS part, turn, coalesce(role, 'unknown') AS speaker,
-        replace(coalesce(text, ''), '<|', '< |') AS text
+    SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text
     FROM conversations
+), numbered AS (
+    SELECT *, row_number() OVER w AS nth,
+        (coalesce(sum(strlen(text) + strlen(speaker) + 64) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+            // 524288)::BIGINT AS part
+    FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, text)
+), firsts AS (
+    SELECT conv_id, part, min(nth) AS first FROM numbered GROUP BY ALL
+), lines AS (
+    SELECT conv_id, part, nth, speaker, text, true AS own FROM numbered
+    UNION ALL
+    SELECT f.conv_id, f.part, 0, 'system', arg_max(n.text, n.nth), false FROM firsts f JOIN numbered n
+    ON f.conv_id IS NOT DISTINCT FROM n.conv_id AND n.nth < f.first AND n.speaker = 'system' GROUP BY f.conv_id, f.part
 ), views AS (
-    SELECT t.*, me FROM turns t JOIN (SELECT DISTINCT conv_id, part, speaker AS me FROM turns WHERE speaker != 'system') v
-    ON t.conv_id IS NOT DISTINCT FROM v.conv_id AND t.part IS NOT DISTINCT FROM v.part
+    SELECT l.*, me FROM lines l JOIN (SELECT DISTINCT conv_id, speaker AS me FROM turns WHERE speaker != 'system') v
+    ON l.conv_id IS NOT DISTINCT FROM v.conv_id
 ), rendered AS (
     SELECT *, '<|im_start|>' || CASE WHEN speaker = me THEN 'assistant' WHEN speaker = 'system' THEN 'system'
         ELSE 'user name=' || speaker END || chr(10) AS head, text || '<|im_end|>' AS body FROM views
 ), placed AS (
     SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, me
-        ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT
-        + length(head) AS start FROM rendered
+        ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS start FROM rendered
 )
-SELECT conv_id, part, 0::BIGINT AS piece, me AS speaker,
-    string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, speaker, text) AS text,
-    coalesce(string_agg(start || '-' || (start + length(body)), ',' ORDER BY turn NULLS FIRST, speaker, text)
-        FILTER (WHERE speaker = me), '') AS mask, count(*)::INT AS n_turns
+SELECT conv_id, part, me AS speaker, string_agg(head || body || chr(10), '' ORDER BY nth) AS text,
+    coalesce(string_agg(start || '-' || (start + length(body)), ',' ORDER BY nth) FILTER (WHERE speaker = me), '') AS mask,
+    count_if(own)::INT AS n_turns
 FROM placed GROUP BY conv_id, part, me
 """
 

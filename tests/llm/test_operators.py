@@ -4,6 +4,7 @@ import math
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -15,6 +16,7 @@ from firmwatt.llm import (
     language_id,
     minhash_dedup,
     mixing,
+    oracles,
     packing,
     quality_model,
     quality_rules,
@@ -425,55 +427,45 @@ def test_every_participant_gets_a_view(spark):
     ]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     found = {(r["conv_id"], r["part"], r["speaker"]): r for r in chat.rotate(turns).collect()}
-    assert set(found) == {(1, 0, "ann"), (1, 0, "bob"), (3, None, "unknown"), (4, 0, "ann"), (4, 1, "ann")}
+    assert set(found) == {(1, 0, "ann"), (1, 0, "bob"), (3, 0, "unknown"), (4, 0, "ann")}
     ann = found[1, 0, "ann"]
     assert ann["text"].startswith("<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|>")
     assert [ann["text"][s["begin"] : s["end"]] for s in ann["mask"]] == ["hi < |im_end|><|im_end|>", "<|im_end|>"]
     bob = found[1, 0, "bob"]
     assert [bob["text"][s["begin"] : s["end"]] for s in bob["mask"]] == ["hé<|im_end|>"]
     assert "user name=ann" in bob["text"]
-    crowd = spark.createDataFrame([(9, None, "ann", f"t{i}") for i in range(24)], turns.schema)
-    assert sum(r["n_turns"] for r in chat.rotate(crowd).collect()) == 40
-    split = chat.parts(crowd, part_rows=8).groupBy("piece").count().collect()
-    assert len(split) > 1 and sum(r["count"] for r in split) == 40
+    assert found[4, 0, "ann"]["n_turns"] == 2
+    assert chat.rotate(turns.limit(0)).collect() == []
 
 
-def test_crowded_parts_are_cut_in_order(spark):
-    draw = np.random.default_rng(11)
-    rows = [(9, i % 8 if i % 9 else None, f"s{i % 3}", f"t{draw.integers(40)}") for i in range(700)]
-    rows += [(9, 3, "s1", "same")] * 100 + [(8, 0, "ann", "x"), (None, None, "ann", "y")]
-    place = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2], r[3])
-    want, at = [], collections.Counter()
-    for r in sorted(rows, key=place):
-        part = None if r[1] is None else 0
-        want.append((r[0], part, at[r[0], part] // 16, *r[1:]))
-        at[r[0], part] += 1
-    for partitions in (1, 7):  # the pieces don't go by the layout
-        turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(partitions)
-        found = chat.parts(turns, part_rows=16).select("conv_id", "part", "piece", "turn", "speaker", "text").collect()
-        assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
-
-
-def test_every_participant_gets_every_part(spark):
-    rows = [(5, 0, "system", "be kind"), (5, 0, "system", "be kind")]
-    rows += [(5, i, "ann" if i < 64 else "bob", f"t{i}") for i in range(1, 100)]
-    rows += [(5, 70, "system", "be brief"), (6, 1, "bob", "x"), (None, 0, "system", "s"), (None, 200, "cy", "z")]
+def _chat_rows(df):
+    spans = F.transform("mask", lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string")))
+    columns = ["conv_id", "part", "speaker", "text", F.array_join(spans, ",").alias("mask"), "n_turns"]
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+
+
+def test_long_conversations_are_whole_below_the_bound(spark):
+    rows = [(5, 0, "system", "be kind")] + [(5, i, f"s{i % 3}", f"t{i}") for i in range(1, 400)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    found = {(r["conv_id"], r["part"], r["speaker"]): r for r in chat.rotate(turns).collect()}
-    both = {(5, part, me) for part in (0, 1) for me in ("ann", "bob")}
-    assert set(found) == both | {(6, 0, "bob"), (None, 0, "cy"), (None, 3, "cy")}
-    ann, bob = found[5, 1, "ann"], found[5, 0, "bob"]
-    assert ann["mask"] == [] and ann["n_turns"] == 37 and bob["mask"] == [] and bob["n_turns"] == 65
-    opening = "<|im_start|>system\nbe kind<|im_end|>\n"
-    assert ann["text"].startswith(opening + "<|im_start|>user name=bob\nt64<|im_end|>")
-    assert ann["text"].count("be kind") == 1 and ann["text"].count("be brief") == 1
-    mine = found[5, 1, "bob"]
-    assert mine["text"].startswith(opening + "<|im_start|>assistant\nt64")
-    want = [f"t{i}<|im_end|>" for i in range(64, 100)]
-    assert [mine["text"][s["begin"] : s["end"]] for s in mine["mask"]] == want
-    assert found[None, 3, "cy"]["text"].startswith("<|im_start|>system\ns<|im_end|>\n<|im_start|>assistant\nz")
-    # pieces of one part give their system turns along too
-    crowd = [(7, 0, "system", "a")] + [(7, 0, "zoe", f"t{i:03}") for i in range(300)]
-    found = chat.rotate(spark.createDataFrame(crowd, turns.schema)).orderBy("piece").collect()
-    assert [(r["piece"], r["speaker"], r["n_turns"]) for r in found] == [(0, "zoe", 256), (1, "zoe", 45)]
-    assert found[1]["text"].startswith("<|im_start|>system\na<|im_end|>\n<|im_start|>assistant\nt255<")
+    found = chat.rotate(turns).collect()
+    assert {(r["part"], r["speaker"], r["n_turns"]) for r in found} == {(0, f"s{i}", 400) for i in range(3)}
+
+
+@pytest.mark.parametrize("part_bytes", [300, 2000, 1 << 19])
+def test_large_conversations_are_cut_in_order(spark, part_bytes):
+    """Against the SQL: system turns in force, ties, nulls, repeated rows, a hot and a null conversation."""
+    draw = np.random.default_rng(11)
+    rows = [(9, int(i % 8) if i % 9 else None, f"s{i % 3}", f"t{draw.integers(40)}é" * (i % 5)) for i in range(500)]
+    rows += [(9, 3, "s1", "same")] * 60 + [(8, 0, "ann", "x"), (None, None, "ann", "y"), (None, 4, None, "long " * 300)]
+    rows += [(None, 3, "system", "s"), (None, 9, "cy", None), (9, 2, "system", "a <| b"), (9, 5, "system", "later"), (7, 1, "system", "alone")]
+    turns = spark.createDataFrame(
+        [(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, part string, speaker string"
+    )
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    duck.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    sql = oracles.OP10.replace("524288", str(part_bytes))
+    names = "conv_id, part, speaker, text, mask, n_turns"
+    want = sorted(duck.execute(f"SELECT {names} FROM ({sql})").fetchall(), key=str)
+    for partitions in (1, 7):  # the parts don't go by the layout
+        assert _chat_rows(chat.rotate(turns.repartition(partitions), part_bytes)) == want

@@ -17,8 +17,8 @@ documents as prior.
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without any
 learned language every text is ``und``; ties go to the language first in code order; a
 character outside the vocabulary is a piece of its own with a small probability; equal rows
-are predicted alike; a word beyond ``WORD_LIMIT`` characters is cut into stretches of that
-length, all of which count.
+are predicted alike; a word of any length is summed over all its segmentations, in logarithms, so that
+no sum leaves the range of doubles.
 """
 
 from __future__ import annotations
@@ -36,10 +36,12 @@ from pyspark.sql import functions as F
 from firmwatt.llm.common import crc_mod, ship, slices, stage
 
 FOLDS, HELD_OUT = 3, 1
-ROUNDS, PIECE_LENGTH, WORD_LIMIT, SMOOTHING = 2, 6, 24, 0.1
-#: Least probability of a piece: a word of 24 characters stays above the smallest double.
+ROUNDS, SMOOTHING = 2, 0.1
+#: Least probability of a piece.
 LEAST = 1e-10
 CACHE_WORDS = 400_000
+#: Characters of the words that are computed at once, and of the longest word whose scores are kept.
+BATCH_CHARS, KEPT_CHARS = 200_000, 64
 
 START = "▁"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -50,44 +52,72 @@ def words_of(text: str | None) -> list[str]:
 
 
 def vocabulary(path: str) -> list[str]:
-    """The pieces of a public model that are made of letters, at most ``PIECE_LENGTH`` long."""
+    """The pieces of a public model that are made of letters."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
     letters = (p for p in found if _LETTERS.fullmatch(p.replace(START, "")) or p == START)
-    return sorted(p for p in letters if 0 < len(p) <= PIECE_LENGTH)
+    return sorted(p for p in letters if p)
 
 
-class Lattice:
-    """The pieces at every place of many words of one length, as a matrix of piece numbers.
+class Words:
+    """Words of one length with the pieces in them.
 
-    Number 0 is a character that is no piece; -1 is no piece there.
+    ``first`` holds the number of every single character's piece (0: none) by place and word;
+    ``longer`` the longer pieces by size: rows of the words and piece numbers in the order of
+    the places where they begin, and where each place's share of them starts.
     """
 
+    def __init__(self, at: list[int], first: np.ndarray, longer: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]):
+        self.at, self.first, self.longer = np.array(at), first, longer
+
+    def between(self, begin: int | None, end: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Size, rows and numbers of the longer pieces that begin or end at a place."""
+        for size, row, piece, edge in self.longer:
+            place = end - size if begin is None else begin
+            if 0 <= place < len(edge) - 1 and edge[place] < edge[place + 1]:
+                here = slice(edge[place], edge[place + 1])
+                yield size, row[here], piece[here]
+
+
+class Lattice:
+    """The pieces at every place of many words of one length."""
+
     def __init__(self, pieces: list[str]):
         number = {p: i + 1 for i, p in enumerate(pieces)}
         self.by_size = []
-        for size in range(1, PIECE_LENGTH + 1):
+        for size in range(1, max(map(len, pieces), default=1) + 1):
             these = [p for p in pieces if len(p) == size]
-            hashes = _rolling(_codes(these, size), size)[-1][:, -1] if these else np.empty(0, np.uint64)
+            hashes = list(_rolling(_codes(these, size), size))[-1][:, -1] if these else np.empty(0, np.uint64)
             order = np.argsort(hashes)
             self.by_size.append((hashes[order], np.array([number[p] for p in these], np.int32)[order]))
 
-    def by_length(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
+    def by_length(self, words: list[str]) -> Iterator[Words]:
         lengths: dict[int, list[int]] = defaultdict(list)
         for i, word in enumerate(words):
             lengths[len(word) + 1].append(i)
-        for length, at in lengths.items():
-            ids = np.full((len(at), length, PIECE_LENGTH), -1, np.int32)
-            ids[:, :, 0] = 0
-            for size, hashes in enumerate(_rolling(_codes([START + words[i] for i in at], length), PIECE_LENGTH)):
-                known, numbers = self.by_size[size]
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    found = np.where(known[place] == hashes, numbers[place], ids[:, size:, size])
-                    ids[:, size:, size] = found
-            yield at, ids
+        for length, rows in lengths.items():
+            step = max(1, BATCH_CHARS // length)
+            for lo in range(0, len(rows), step):
+                yield self._found(rows[lo : lo + step], words, length)
+
+    def _found(self, at: list[int], words: list[str], length: int) -> Words:
+        codes = _codes([START + words[i] for i in at], length)
+        first, longer = np.zeros((length, len(at)), np.int32), []
+        for size, hashes in enumerate(_rolling(codes, len(self.by_size)), 1):
+            known, numbers = self.by_size[size - 1]
+            if not len(known):
+                continue
+            hashes = hashes.T
+            place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            hit = known[place] == hashes
+            if size == 1:
+                first[hit] = numbers[place[hit]]
+            elif hit.any():
+                edge = np.concatenate(([0], np.cumsum(hit.sum(axis=1))))
+                longer.append((size, np.nonzero(hit)[1].astype(np.int32), numbers[place[hit]], edge))
+        return Words(at, first, longer)
 
 
 def _codes(words: list[str], length: int) -> np.ndarray:
@@ -95,62 +125,65 @@ def _codes(words: list[str], length: int) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), length).astype(np.uint64)
 
 
-def _rolling(codes: np.ndarray, sizes: int) -> list[np.ndarray]:
-    """For sizes 1, 2, ... the hashes of all strings of that many code points, by their end.
+def _rolling(codes: np.ndarray, sizes: int) -> Iterator[np.ndarray]:
+    """For sizes 1, 2, ... the hashes of all strings of that many code points, by their begin.
 
     Strings are told apart by 64 bits of a polynomial; the vocabulary has no two alike.
     """
-    out = [codes + np.uint64(1)]
-    with np.errstate(over="ignore"):
-        for _ in range(1, min(sizes, codes.shape[1])):
-            out.append(out[-1][:, :-1] * np.uint64(0x9E3779B97F4A7C15) + codes[:, len(out) :] + np.uint64(1))
-    return out
-
+    now = codes + np.uint64(1)
+    yield now
+    for size in range(1, min(sizes, codes.shape[1])):
+        with np.errstate(over="ignore"):
+            now = now[:, :-1] * np.uint64(0x9E3779B97F4A7C15) + codes[:, size:] + np.uint64(1)
+        yield now
 
-def padded(prob: np.ndarray) -> np.ndarray:
-    """Probabilities with a last row of zeros, which piece number -1 points at."""
-    return np.vstack([prob, np.zeros((1, prob.shape[1]))])
 
+def forward(words: Words, prob: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over all segmentations up to every place: (places + 1, words, languages).
 
-def forward(ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """Sums over all segmentations up to every place: (places + 1, words, languages)."""
-    n, length, _ = ids.shape
-    alpha = np.zeros((length + 1, n, prob.shape[1]))
-    alpha[0] = 1
+    A sum is taken relative to the one before it; no piece is so long that the ratio overflows.
+    """
+    length, n = words.first.shape
+    logs = np.zeros((length + 1, n, prob.shape[1]))
     for end in range(1, length + 1):
-        for size in range(1, min(end, PIECE_LENGTH) + 1):
-            alpha[end] += prob[ids[:, end - 1, size - 1]] * alpha[end - size]
-    return alpha
+        now, base = prob[words.first[end - 1]], logs[end - 1]
+        for size, row, piece in words.between(None, end):
+            now[row] += prob[piece] * np.exp(logs[end - size, row] - base[row])
+        logs[end] = base + np.log(now)
+    return logs
+
+
+def backward(words: Words, prob: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over all segmentations from every place on, like ``forward``."""
+    length, n = words.first.shape
+    logs = np.zeros((length + 1, n, prob.shape[1]))
+    for begin in range(length - 1, -1, -1):
+        now, base = prob[words.first[begin]], logs[begin + 1]
+        for size, row, piece in words.between(begin, None):
+            now[row] += prob[piece] * np.exp(logs[begin + size, row] - base[row])
+        logs[begin] = base + np.log(now)
+    return logs
 
 
 def word_scores(words: list[str], lattice: Lattice, prob: np.ndarray) -> np.ndarray:
     """Log probability of every word in every language."""
-    out, prob = np.zeros((len(words), prob.shape[1])), padded(prob)
-    for at, ids in lattice.by_length(words):
-        out[at] = np.log(np.maximum(forward(ids, prob)[-1], 1e-300))
+    out = np.zeros((len(words), prob.shape[1]))
+    for found in lattice.by_length(words):
+        out[found.at] = forward(found, prob)[-1]
     return out
 
 
 def expected_counts(words: list[str], counts: np.ndarray, lattice: Lattice, prob: np.ndarray) -> np.ndarray:
     """Expected uses of every piece in one language: ``counts`` of words spread over pieces."""
-    out, prob = np.zeros(len(prob) + 1), padded(prob[:, None])
-    for at, ids in lattice.by_length(words):
-        n, length, _ = ids.shape
-        before = forward(ids, prob)[:, :, 0]
-        after = np.zeros((length + 1, n))
-        after[length] = counts[at] / np.maximum(before[length], 1e-300)
-        for end in range(length, 0, -1):
-            for size in range(1, min(end, PIECE_LENGTH) + 1):
-                piece = ids[:, end - 1, size - 1]
-                used = prob[piece, 0] * after[end]
-                after[end - size] += used
-                there = np.flatnonzero(piece >= 0)
-                np.add.at(out, piece[there], (used * before[end - size])[there])
-    return out[:-1]
-
-
-def _stretches(word: str) -> list[str]:
-    return [word[i : i + WORD_LIMIT] for i in range(0, len(word), WORD_LIMIT)]
+    out, log_prob, column = np.zeros(len(prob)), np.log(prob), prob[:, None]
+    for found in lattice.by_length(words):
+        before, after = forward(found, column)[:, :, 0], backward(found, column)[:, :, 0]
+        weight, every = np.log(counts[found.at]) - before[-1], np.arange(len(found.at))
+        for end in range(1, len(before)):
+            for size, row, piece in [(1, every, found.first[end - 1]), *found.between(None, end)]:
+                used = before[end - size, row] + log_prob[piece] + after[end, row] + weight[row]
+                np.add.at(out, piece, np.exp(used))
+    return out
 
 
 class Model:
@@ -180,22 +213,25 @@ def predict(texts: list[str | None], model: Model, key: int) -> tuple[list[str],
     names, scores = ["und"] * len(texts), [0.0] * len(texts)
     if not model.languages:
         return names, scores
-    words = [[s for w in words_of(t) for s in (_stretches(w) if len(w) > WORD_LIMIT else (w,))] for t in texts]
+    words = [words_of(t) for t in texts]
     for lo, hi in slices(np.array([len(w) for w in words]), CACHE_WORDS // 2):
         if not _KNOWN or _KNOWN[0].key != key:
             _KNOWN[:] = [WordScores(key, len(model.languages))]
         rows = _KNOWN[0].rows
-        new = list({w for part in words[lo:hi] for w in part if w not in rows})
+        short = {w for part in words[lo:hi] for w in part if len(w) <= KEPT_CHARS}
+        new = [w for w in short if w not in rows]
         if len(rows) + len(new) > CACHE_WORDS:
             _KNOWN[:] = [WordScores(key, len(model.languages))]
-            rows = _KNOWN[0].rows
-            new = list({w for part in words[lo:hi] for w in part})
-        for at in range(0, len(new), 20_000):
-            _KNOWN[0].add(new[at : at + 20_000], model)
+            rows, new = _KNOWN[0].rows, list(short)
+        _KNOWN[0].add(new, model)
         matrix = _KNOWN[0].matrix
         for i in range(lo, hi):
             if words[i]:
-                total = model.prior + matrix[[rows[w] for w in words[i]]].sum(axis=0, dtype=float)
+                kept = [rows[w] for w in words[i] if len(w) <= KEPT_CHARS]
+                total = model.prior + matrix[kept].sum(axis=0, dtype=float)
+                if len(kept) < len(words[i]):
+                    other = [w for w in words[i] if len(w) > KEPT_CHARS]
+                    total = total + word_scores(other, model.lattice, model.prob).sum(axis=0)
                 best = int(np.argmax(total))
                 names[i] = model.languages[best]
                 scores[i] = float(1 / np.exp(total - total[best]).sum())
@@ -211,9 +247,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
             sums: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 sums[lang].update(words_of(text))
-            rows = [
-                (lang, s, n) for lang, found in sums.items() for w, n in found.items() for s in _stretches(w)
-            ]
+            rows = [(lang, w, n) for lang, found in sums.items() for w, n in found.items()]
             yield pa.RecordBatch.from_pydict(
                 dict(zip(("lang", "word", "n"), map(list, zip(*rows, strict=True)), strict=True))
                 if rows else {"lang": pa.array([], pa.string()), "word": pa.array([], pa.string()), "n": pa.array([], pa.int64())}

@@ -3,6 +3,7 @@ import hashlib
 import math
 import re
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -360,27 +361,101 @@ def test_isotonic_never_falls():
 
 
 def test_forward_sums_all_segmentations():
-    pieces = ["▁", "▁a", "ab", "b", "ba", "▁ab"]
-    prob = np.array([[0.05], [0.1], [0.2], [0.15], [0.1], [0.3], [0.1]])
+    pieces = ["▁", "▁a", "ab", "b", "ba", "▁ab", "▁abababab", "bababababa"]
+    prob = np.array([[0.05], [0.1], [0.2], [0.15], [0.1], [0.25], [0.1], [0.02], [0.03]])
     number = {p: i + 1 for i, p in enumerate(pieces)}
 
     def total(rest):
         if not rest:
             return 1.0
         out = 0.0
-        for n in range(1, language_id.PIECE_LENGTH + 1):
+        for n in range(1, len(rest) + 1):
             piece = rest[:n]
             if len(piece) == n and (piece in number or n == 1):
                 out += prob[number.get(piece, 0), 0] * total(rest[n:])
         return out
 
-    words = ["ab", "abab", "zab", "b"]
+    words = ["ab", "abab", "zab", "b", "abababababab", "zbabababababaz"]
     found = language_id.word_scores(words, language_id.Lattice(pieces), prob)[:, 0]
     assert np.allclose(np.exp(found), [total("▁" + w) for w in words])
     counts = language_id.expected_counts(["ab"], np.array([3.0]), language_id.Lattice(pieces), prob[:, 0])
     assert counts[number["▁ab"]] == pytest.approx(3 * prob[number["▁ab"], 0] / total("▁ab"))
 
 
+def test_all_pieces_and_whole_words_count():
+    pieces = language_id.vocabulary(PIECES)
+    assert max(map(len, pieces)) > 6
+    lattice = language_id.Lattice(pieces)
+    rng = np.random.default_rng(3)
+    prob = rng.uniform(1e-10, 1e-3, (len(pieces) + 1, 2))
+    number = {p: i + 1 for i, p in enumerate(pieces)}
+    words = ["international", "x" * 30, "verantwortung" * 3, "straße" * 40]
+    for word, found in zip(words, language_id.word_scores(words, lattice, prob), strict=True):
+        text = "▁" + word
+        sums = [[Fraction(1)] * 2]
+        for end in range(1, len(text) + 1):
+            used = [(n, number.get(text[end - n : end], 0)) for n in range(1, end + 1) if n == 1 or text[end - n : end] in number]
+            sums.append([sum(Fraction(prob[i, k]) * sums[end - n][k] for n, i in used) for k in (0, 1)])
+        want = [math.log(x.numerator) - math.log(x.denominator) for x in sums[-1]]
+        assert list(found) == pytest.approx(want, rel=1e-9)
+    counts = language_id.expected_counts(words, np.array([1.0, 2, 3, 1]), lattice, prob[:, 0])
+    sizes = np.array([1, *map(len, pieces)])  # pieces used cover every place of every word
+    assert (counts * sizes).sum() == pytest.approx(sum(n * (len(w) + 1) for n, w in zip((1, 2, 3, 1), words, strict=True)))
+
+
+def test_languages_end_to_end_by_all_segmentations(spark):
+    """The whole query against plain sums over dictionaries; repeated rows, long words, other columns."""
+    rng = np.random.default_rng(12)
+    kinds = {"aa": ["theory", "tion", "international"], "bb": ["ciones", "mente", "responsabilidad"]}
+    rows = [(i, " ".join(rng.choice(kinds[k], 4)), k) for i, k in enumerate(["aa", "bb"] * 12)]
+    rows += [(90, "tion" * 30, "aa"), (91, "ciones mente", None), (91, "ciones mente", None), (92, "", "bb"), (93, None, "bb")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, word string, n int")
+    pieces = language_id.vocabulary(PIECES)
+    number = {p: i + 1 for i, p in enumerate(pieces)}
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1 and r[2]]
+    start = np.array([1e-3, *[0.05 ** (len(p.replace("▁", "")) ** 0.5) for p in pieces]])
+    prob = {lang: start / start.sum() for lang in ("aa", "bb")}
+
+    def cuts(word, p):  # sums over all segmentations before and after every place, and the pieces that end there
+        text, before = "▁" + word, [1.0]
+        edges = [
+            [(n, number.get(text[e - n : e], 0)) for n in range(1, e + 1) if n == 1 or text[e - n : e] in number]
+            for e in range(1, len(text) + 1)
+        ]
+        for e, used in enumerate(edges, 1):
+            before.append(sum(p[i] * before[e - n] for n, i in used))
+        after = [0.0] * len(text) + [1.0]
+        for e in range(len(text), 0, -1):
+            for n, i in edges[e - 1]:
+                after[e - n] += p[i] * after[e]
+        return before, after, edges
+
+    for _ in range(language_id.ROUNDS):
+        for lang in prob:
+            sums = np.full(len(start), language_id.SMOOTHING)
+            for _, text, k in learned:
+                for word in (text or "").split() if k == lang else []:
+                    before, after, edges = cuts(word, prob[lang])
+                    for e, used in enumerate(edges, 1):
+                        for n, i in used:
+                            sums[i] += prob[lang][i] * before[e - n] * after[e] / before[-1]
+            prob[lang] = np.maximum(sums / sums.sum(), language_id.LEAST)
+    shares = collections.Counter(k for _, _, k in learned)
+    got = language_id.identify(docs, PIECES).collect()
+    found = {r["doc_id"]: r for r in got}
+    assert len(got) == len(rows)
+    for doc_id, text, _ in rows:
+        row = found[doc_id]
+        if not text:
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+            continue
+        logs = {k: math.log(shares[k]) + sum(math.log(cuts(w, prob[k])[0][-1]) for w in text.split()) for k in prob}
+        best = max(sorted(logs), key=logs.get)
+        assert row["lang_pred"] == best
+        assert row["score"] == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs.values()), abs=1e-5)
+    assert language_id.identify(docs.limit(0), PIECES).collect() == []
+
+
 def test_languages_are_told_apart(spark):
     rng = np.random.default_rng(10)
     kinds = {"aa": ["the", "tion", "ing", "and"], "bb": ["ciones", "mente", "para", "que"]}

@@ -102,12 +102,12 @@ def _thrust(spark: SparkSession, sf: str) -> DataFrame:
     return _stored(spark, sf, "thrust", build)
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _stored(spark, sf, "pairs", lambda: wake.sector_pairs(_turbines(spark, sf)))
+def _tiles(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(spark, sf, "tiles", lambda: wake.sector_tiles(_turbines(spark, sf)))
 
 
 def _power(spark: SparkSession, sf: str) -> DataFrame:
-    slowed = wake.wake_speeds(_thrust(spark, sf), _pairs(spark, sf))
+    slowed = wake.wake_speeds(_thrust(spark, sf), _tiles(spark, sf))
     return wind_plant.rated_power(slowed, _armed(spark, sf), _steps(spark, sf))
 
 
@@ -650,7 +650,7 @@ def large_farm_correction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wake_speeds(spark: SparkSession, sf: str) -> DataFrame:
-    slowed = wake.wake_speeds(_thrust(spark, sf), _pairs(spark, sf))
+    slowed = wake.wake_speeds(_thrust(spark, sf), _tiles(spark, sf))
     return slowed.select("plant_id", "turbine_id", stamp(), num("wake_speed", 8))
 
 

@@ -1,17 +1,16 @@
 """Wake effect between the turbines of a farm.
 
 A wake reaches a turbine only inside a narrow cone behind its source, so pairs are
-never formed for a whole farm. Directions are split into sectors. Per sector the
-farm is cut into tiles along and across the wind, each source is listed under the
-tiles its widened cone can touch, and an equi-join on the tile gives every pair
-that can interact for some direction of the sector. The bounds below are exact:
-a pair that is left out has no overlap.
+never formed for a whole farm and none are stored. Candidates come from a spatial hash
+within the hour: per direction sector a farm is cut into square tiles along and across
+the wind, about one turbine each, and every turbine lies in one of them. A source in an
+hour lists the tiles that its cone touches, with the cone turned to the hour's own
+direction, and an equi-join on the tile gives the turbines there. The cone's edges are
+straight lines, so the bounds are exact: a pair that is left out has no overlap.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +19,8 @@ from firmwatt.functions.wake import overlap_share, speed_loss
 from firmwatt.operators.curves import curve_value
 
 SECTOR_DEG = 10.0
-TILE_ALONG_M = 2000.0
-TILE_ACROSS_M = 1000.0
+#: Slack of the cone against rounding.
+SLACK_M = 0.01
 
 
 def sector_of(direction: Column) -> Column:
@@ -29,94 +28,112 @@ def sector_of(direction: Column) -> Column:
     return F.least(sector, F.lit(int(360 / SECTOR_DEG) - 1))
 
 
-def _turned(df: DataFrame, x: str = "x_m", y: str = "y_m") -> DataFrame:
-    """Coordinates along and across the wind at the centre of the row's sector."""
-    angle = wind_angle((F.col("sector") + 0.5) * SECTOR_DEG)
-    along = -F.cos(angle) * F.col(x) - F.sin(angle) * F.col(y)
-    across = F.sin(angle) * F.col(x) - F.cos(angle) * F.col(y)
-    return df.withColumns({"along": along, "across": across})
+def _axes(sector: Column) -> tuple[Column, Column]:
+    """East and north parts of the unit vector along the wind at the sector's centre. The one
+    across is this one turned to the left."""
+    angle = wind_angle((sector + 0.5) * SECTOR_DEG)
+    return -F.cos(angle), -F.sin(angle)
 
 
-def sector_pairs(turbines: DataFrame) -> DataFrame:
-    """Source and affected turbine for every direction sector where the wake of
-    one can touch the other.
+def sector_tiles(turbines: DataFrame) -> DataFrame:
+    """Place of every turbine in the tiles of its farm, one row per direction sector.
 
-    ``turbines`` holds ``plant_id, turbine_id, x_m, y_m, radius, cre``.
+    ``turbines`` holds ``plant_id, turbine_id, x_m, y_m, dz_m, radius``. The rows also have the
+    side of the farm's tiles and the range of tiles that have turbines in the sector.
     """
-    # A direction within the sector is off its centre by at most this angle. With
-    # a the distance along and c across at the centre, the wake condition
-    # |across'| < 2 r + cre * along' gives |c| * (cos - cre sin) < 2 r + |a| (cre + sin).
-    off = math.radians(SECTOR_DEG / 2) * (1 + 1e-9)
-    sin, cos, tan = math.sin(off), math.cos(off), math.tan(off)
-    narrow = F.lit(cos) - F.col("cre") * sin
-    spread = F.col("cre") + sin
-    # Slightly negative distances along the centre line can still be downwind.
-    before = F.col("radius") * 2 * tan / (narrow - spread * tan) + 1.0
-
+    wide = F.max("x_m") - F.min("x_m")
+    high = F.max("y_m") - F.min("y_m")
+    side = F.greatest(F.sqrt(wide * high / F.count("*")), F.max("radius") * 4, F.lit(1.0))
+    farms = turbines.groupBy("plant_id").agg(side.alias("side"))
     sectors = F.explode(F.sequence(F.lit(0), F.lit(int(360 / SECTOR_DEG) - 1)))
-    placed = _turned(turbines.withColumn("sector", sectors))
-    reach = turbines.groupBy("plant_id").agg(
-        F.max(F.sqrt(F.col("x_m") * F.col("x_m") + F.col("y_m") * F.col("y_m"))).alias("extent")
+    east, north = _axes(F.col("sector"))
+    placed = (
+        turbines.join(farms, "plant_id")
+        .select("plant_id", "turbine_id", "x_m", "y_m", "dz_m", "side", sectors.alias("sector"))
+        .withColumn("along", F.col("x_m") * east + F.col("y_m") * north)
+        .withColumn("across", F.col("y_m") * east - F.col("x_m") * north)
+        .withColumn("tile_along", F.floor(F.col("along") / F.col("side")).cast("int"))
+        .withColumn("tile_across", F.floor(F.col("across") / F.col("side")).cast("int"))
     )
+    edges = placed.groupBy("plant_id", "sector").agg(
+        F.max("tile_along").alias("end_along"),
+        F.min("tile_across").alias("begin_across"),
+        F.max("tile_across").alias("end_across"),
+    )
+    return placed.join(edges, ["plant_id", "sector"])
 
-    first = F.floor((F.col("along") - before) / TILE_ALONG_M)
-    last = F.floor((F.col("extent") + 1.0) / TILE_ALONG_M)
-    far_edge = F.least((F.col("tile_along") + 1) * TILE_ALONG_M, F.col("extent") + 1.0)
-    ahead = F.greatest(far_edge - F.col("along"), before)
-    half_width = (F.col("radius") * 2 + ahead * spread) / narrow + 1.0
-    sources = (
-        placed.join(reach, "plant_id")
-        .withColumn("tile_along", F.explode(F.sequence(first, F.greatest(first, last))))
-        .withColumn("half_width", half_width)
-        .select(
-            "plant_id",
-            "sector",
-            "tile_along",
+
+def _touched(cones: DataFrame) -> DataFrame:
+    """The sources under each tile that their cone touches, as ``tile_along, tile_across``.
+
+    ``ahead`` and ``aside`` are the parts of the hour's wind along and across at the sector's
+    centre; a point at ``a`` along and ``c`` across from its source is in the cone if
+    ``|c ahead - a aside| < 2 radius + cre (a ahead + c aside)``, two straight lines in ``a``.
+    """
+    reach = F.col("radius") * 2 + SLACK_M
+    behind = -reach * F.abs("aside")  # the cone's first point along
+    left = lambda a: (reach + a * (F.col("aside") + F.col("cre") * F.col("ahead"))) / (
+        F.col("ahead") - F.col("cre") * F.col("aside")
+    )
+    right = lambda a: (a * (F.col("aside") - F.col("cre") * F.col("ahead")) - reach) / (
+        F.col("ahead") + F.col("cre") * F.col("aside")
+    )
+    first = F.floor((F.col("along") + behind) / F.col("side")).cast("int")
+    near = F.greatest(F.col("tile_along") * F.col("side") - F.col("along"), behind)
+    far = (F.col("tile_along") + 1) * F.col("side") - F.col("along")
+    tile = lambda c: F.floor((F.col("across") + c) / F.col("side")).cast("int")
+    lowest = F.greatest(tile(F.least(right(F.col("near")), right(F.col("far")))), F.col("begin_across"))
+    highest = F.least(tile(F.greatest(left(F.col("near")), left(F.col("far")))), F.col("end_across"))
+    return (
+        cones.withColumn("tile_along", F.explode(F.sequence(first, F.col("end_along"))))
+        .withColumns({"near": near, "far": far})
+        .withColumns({"lowest": lowest, "highest": highest})
+        .filter("lowest <= highest")
+        .withColumn("tile_across", F.explode(F.sequence("lowest", "highest")))
+    )
+
+
+def wake_candidates(sources: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Every source in an hour with the other turbines in the tiles that its cone touches.
+
+    The rows have the offset of the affected turbine: how far it is ``behind`` the source and
+    how far ``apart`` from the wake's axis.
+    """
+    angle = wind_angle(F.col("direction"))
+    east, north = _axes(F.col("sector"))
+    cones = (
+        sources.select(
+            "plant_id", "ts", "wind", "thrust", "radius", "cre",
             F.col("turbine_id").alias("source_id"),
-            F.col("along").alias("s_along"),
-            F.col("across").alias("s_across"),
-            F.col("x_m").alias("s_x"),
-            F.col("y_m").alias("s_y"),
-            F.col("dz_m").alias("s_z"),
-            (F.col("radius") * 2).alias("_wide"),
-            spread.alias("_spread"),
-            narrow.alias("_narrow"),
-            before.alias("_before"),
-            F.explode(
-                F.sequence(
-                    F.floor((F.col("across") - F.col("half_width")) / TILE_ACROSS_M),
-                    F.floor((F.col("across") + F.col("half_width")) / TILE_ACROSS_M),
-                )
-            ).alias("tile_across"),
+            sector_of(F.col("direction")).alias("sector"),
+            (-F.cos(angle)).alias("_ux"),
+            (-F.sin(angle)).alias("_uy"),
         )
+        .join(
+            tiles.select(
+                "plant_id", "sector", F.col("turbine_id").alias("source_id"),
+                "along", "across", "side", "end_along", "begin_across", "end_across",
+                F.col("x_m").alias("s_x"), F.col("y_m").alias("s_y"), F.col("dz_m").alias("s_z"),
+            ),
+            ["plant_id", "source_id", "sector"],
+        )
+        .withColumn("ahead", F.col("_ux") * east + F.col("_uy") * north)
+        .withColumn("aside", F.col("_uy") * east - F.col("_ux") * north)
     )
-    affected = placed.select(
-        "plant_id",
-        "sector",
-        F.col("turbine_id"),
-        "along",
-        "across",
-        "x_m",
-        "y_m",
-        "dz_m",
-        F.floor(F.col("along") / TILE_ALONG_M).alias("tile_along"),
-        F.floor(F.col("across") / TILE_ACROSS_M).alias("tile_across"),
-    )
-    a = F.col("along") - F.col("s_along")
-    c = F.abs(F.col("across") - F.col("s_across"))
-    touching = (
-        (F.col("turbine_id") != F.col("source_id"))
-        & (a > -F.col("_before"))
-        & (c * F.col("_narrow") < F.col("_wide") + F.abs(a) * F.col("_spread") + 1.0)
+    listed = _touched(cones).select(
+        "plant_id", "ts", "source_id", "wind", "thrust", "radius", "cre", "_ux", "_uy", "s_x", "s_y", "s_z",
+        "sector", "tile_along", "tile_across",
     )
+    there = tiles.select("plant_id", "sector", "tile_along", "tile_across", "turbine_id", "x_m", "y_m", "dz_m")
+    east, north, rise = F.col("x_m") - F.col("s_x"), F.col("y_m") - F.col("s_y"), F.col("dz_m") - F.col("s_z")
+    side = east * F.col("_uy") - north * F.col("_ux")
     return (
-        affected.join(sources, ["plant_id", "sector", "tile_along", "tile_across"])
-        .filter(touching)
+        listed.join(there, ["plant_id", "sector", "tile_along", "tile_across"])
+        .filter(F.col("turbine_id") != F.col("source_id"))
         .select(
-            "plant_id", "sector", "source_id", "turbine_id",
-            (F.col("x_m") - F.col("s_x")).alias("east"),
-            (F.col("y_m") - F.col("s_y")).alias("north"),
-            (F.col("dz_m") - F.col("s_z")).alias("rise"),
+            "plant_id", "ts", "source_id", "turbine_id", "wind", "thrust", "radius", "cre",
+            (east * F.col("_ux") + north * F.col("_uy")).alias("behind"),
+            F.sqrt(side * side + rise * rise).alias("apart"),
         )
     )
 
@@ -131,37 +148,22 @@ def source_thrust(hours: DataFrame, steps: int) -> DataFrame:
     )
 
 
-def wake_deficits(sources: DataFrame, pairs: DataFrame) -> DataFrame:
+def wake_deficits(sources: DataFrame, tiles: DataFrame) -> DataFrame:
     """Squared speed loss that each source causes at each turbine it reaches."""
-    angle = wind_angle(F.col("direction"))
-    ux, uy = -F.cos(angle), -F.sin(angle)
-    behind = F.col("east") * F.col("_ux") + F.col("north") * F.col("_uy")
-    side_x = F.col("east") - F.col("behind") * F.col("_ux")
-    side_y = F.col("north") - F.col("behind") * F.col("_uy")
-    apart = F.sqrt(side_x * side_x + side_y * side_y + F.col("rise") * F.col("rise"))
-    joined = (
-        sources.select(
-            "plant_id", "ts", "wind", "thrust", "radius", "cre",
-            F.col("turbine_id").alias("source_id"),
-            sector_of(F.col("direction")).alias("sector"),
-            ux.alias("_ux"),
-            uy.alias("_uy"),
-        )
-        .join(pairs, ["plant_id", "source_id", "sector"])
-        .withColumn("behind", behind)
+    reached = (
+        wake_candidates(sources, tiles)
         .filter(F.col("behind") > 0)
         .withColumn("wake_radius", F.col("radius") + F.col("cre") * F.col("behind"))
-        .withColumn("apart", apart)
         .filter(F.col("apart") < F.col("radius") + F.col("wake_radius"))
     )
     share = overlap_share(F.col("radius"), F.col("wake_radius"), F.col("apart"))
     loss = speed_loss(F.col("wind"), F.col("thrust"), F.col("radius"), F.col("wake_radius"))
-    return joined.withColumn("loss", loss).select(
+    return reached.withColumn("loss", loss).select(
         "plant_id", "ts", "turbine_id", (share * F.col("loss") * F.col("loss")).alias("deficit")
     )
 
 
-def wake_speeds(sources: DataFrame, pairs: DataFrame) -> DataFrame:
+def wake_speeds(sources: DataFrame, tiles: DataFrame) -> DataFrame:
     """Speed of each turbine behind the wakes of the others, as ``wake_speed``.
 
     ``sources`` has one row per turbine and hour with ``wind, direction, ta, rho,
@@ -170,7 +172,7 @@ def wake_speeds(sources: DataFrame, pairs: DataFrame) -> DataFrame:
     aggregation, so no join back is needed.
     """
     undefined = sources.filter(F.col("thrust") > 1).select("plant_id", "ts").distinct()
-    deficits = wake_deficits(sources, pairs).join(undefined, ["plant_id", "ts"], "left_anti")
+    deficits = wake_deficits(sources, tiles).join(undefined, ["plant_id", "ts"], "left_anti")
     keys, own = ["plant_id", "ts", "turbine_id"], ["wind", "ta", "rho"]
     rows = sources.select(*keys, *own, F.lit(0.0).alias("deficit"))
     total = (

@@ -336,7 +336,7 @@ def checked_energy(inputs: WindInputs) -> Checked:
     is undefined are the plants counted. A plant that fails leaves before the next stage.
 
     Five stages are stored: the profile, the static turbines with their curves, the curve
-    segments, the wake pairs and the hourly thrust. Each is read more than once afterwards.
+    segments, the turbines' tiles and the hourly thrust. Each is read more than once afterwards.
     """
     profile = stage(series_profile(inputs.series))
     found = stage(status(inputs, profile))
@@ -357,8 +357,8 @@ def checked_energy(inputs: WindInputs) -> Checked:
         bad = stage(thrust_status(hours))
         found, failing = found.unionByName(bad), quality.failing_plants(bad)
         passing, hours = without(passing, failing), hours.join(failing, "plant_id", "left_anti")
-    pairs = stage(wake.sector_pairs(armed))
-    power = rated_power(wake.wake_speeds(hours, pairs), armed, steps)
+    tiles = stage(wake.sector_tiles(armed))
+    power = rated_power(wake.wake_speeds(hours, tiles), armed, steps)
     return Checked(energy.hourly_energy_wind(power, passing.plants), found)
 
 

@@ -44,21 +44,46 @@ def _shares(turbines, direction):
     return result
 
 
+def _candidates(spark, turbines, directions):
+    """Candidates of all turbines in one hour per direction, as (hour, affected, source)."""
+    hours = [(*t, h, float(d), 8.0, 0.5) for t in turbines for h, d in enumerate(directions)]
+    hours = spark.createDataFrame(hours, FARM + ", ts int, direction double, wind double, thrust double")
+    found = wake.wake_candidates(hours, wake.sector_tiles(spark.createDataFrame(turbines, FARM)))
+    return [tuple(r) for r in found.select("ts", "turbine_id", "source_id").collect()]
+
+
 @pytest.mark.parametrize("seed, n, extent", [(1, 40, 600.0), (2, 60, 4000.0), (3, 60, 15000.0)])
 def test_no_interacting_pair_is_pruned(spark, seed, n, extent):
     turbines = _random_farm(seed, n, extent)
-    pairs = wake.sector_pairs(spark.createDataFrame(turbines, FARM)).select(
-        "sector", "turbine_id", "source_id"
-    )
-    listed = pairs.collect()
-    found = {tuple(r) for r in listed}
-    assert len(found) == len(listed)
-    assert len(found) < 36 * n * (n - 1) / 2
     rng = np.random.default_rng(seed)
-    for direction in [0.0, 9.999999, 10.0, 355.0, 359.9999999, *rng.uniform(0, 360, 60)]:
-        sector = min(int(direction // 10), 35)
+    directions = [0.0, 9.999999, 10.0, 355.0, 359.9999999, *rng.uniform(0, 360, 60)]
+    listed = _candidates(spark, turbines, directions)
+    found = set(listed)
+    assert len(found) == len(listed)
+    for hour, direction in enumerate(directions):
         for i, j in _shares(turbines, {k: direction for k in range(n)}):
-            assert (sector, i, j) in found
+            assert (hour, i, j) in found
+
+
+@pytest.mark.parametrize("n", [20, 100, 400])
+def test_candidates_are_a_small_multiple_of_interacting_pairs(spark, n):
+    """Farms of equal density: what an hour looks at grows with what interacts, and what is stored with n."""
+    turbines = _random_farm(n, n, 300.0 * math.sqrt(n))
+    directions = np.random.default_rng(n).uniform(0, 360, 12)
+    found = _candidates(spark, turbines, directions)
+    interacting = sum(len(_shares(turbines, {k: d for k in range(n)})) for d in directions)
+    assert interacting <= len(found) <= 4 * interacting
+    assert wake.sector_tiles(spark.createDataFrame(turbines, FARM)).count() == 36 * n
+
+
+def test_farms_of_one_turbine_and_in_one_line(spark):
+    assert _candidates(spark, [(1, 0, 0.0, 0.0, 0.0, 46.0, 0.075)], [0.0, 77.0]) == []
+    line = [(1, i, 500.0 * i, 0.0, 0.0, 46.0, 0.075) for i in range(30)]
+    found = set(_candidates(spark, line, [270.0, 90.0, 0.0]))
+    for hour, direction in enumerate([270.0, 90.0, 0.0]):
+        pairs = _shares(line, {k: direction for k in range(30)})
+        assert {(hour, *p) for p in pairs} <= found
+        assert len(pairs) == (0 if hour == 2 else 435)
 
 
 def _published_share(t, e, d):
@@ -109,8 +134,8 @@ def test_wake_speeds(spark, hot):
         "plant_id int, ts int, turbine_id int, wind double, direction double, ta double, "
         "rho double, thrust double, radius double, cre double",
     )
-    pairs = wake.sector_pairs(spark.createDataFrame(turbines, FARM))
-    got = {r.turbine_id: r.wake_speed for r in wake.wake_speeds(hours, pairs).collect()}
+    tiles = wake.sector_tiles(spark.createDataFrame(turbines, FARM))
+    got = {r.turbine_id: r.wake_speed for r in wake.wake_speeds(hours, tiles).collect()}
     expected = _wake_reference(turbines, wind, direction, thrust)
     assert got.keys() == expected.keys()
     for i in expected:

@@ -139,3 +139,19 @@ def test_stream_fills_the_dimension_tables(spark, tmp_path):
     series = T.wind_inputs(spark, sf).series.withColumn("series_id", T.series_file(F.col("series_id")))
     inputs = wind_plant.from_dimensions(dims, series)
     assert not wind_plant.status(inputs).filter("n_bad > 0").count()
+
+
+def test_one_series_of_many_towers_is_dealt_evenly(spark):
+    """Rows of one series are spread before they fan out, and each is cleaned before that."""
+    raw = spark.range(0, 400, 1, 1).selectExpr(
+        "id AS event_id", "7L AS series_id", "'2008' AS Ano", "'1' AS Mes", "'1' AS Dia", "'3' AS Hora",
+        "'75,25' AS DireccionViento", "'990,5' AS PresionAtmosferica", "'28,5' AS Ta", "concat(id, ',5') AS VelocidadViento",
+    )
+    towers = sinks.stage(spark.range(30).selectExpr("id % 2 AS plant_id", "id AS tower_id", "7L AS series_id"))
+    tagged = series.tag_towers(raw, towers, "series_id")
+    assert tagged.columns == ["event_id", "plant_id", "tower_id", "ts", "direction", "pressure", "ta", "wind"]
+    sizes = [r["count"] for r in tagged.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 12000 and max(sizes) <= 4 * 12000 / spark.sparkContext.defaultParallelism
+    assert tagged.groupBy("event_id", "wind").count().filter("count = 30 AND wind = event_id + 0.5").count() == 400
+    named = series.tag_towers(raw, towers, "series_id", ["event_id", F.round("wind").alias("w")])
+    assert named.columns == ["plant_id", "tower_id", "event_id", "w"]

@@ -155,3 +155,17 @@ def test_one_series_of_many_towers_is_dealt_evenly(spark):
     assert tagged.groupBy("event_id", "wind").count().filter("count = 30 AND wind = event_id + 0.5").count() == 400
     named = series.tag_towers(raw, towers, "series_id", ["event_id", F.round("wind").alias("w")])
     assert named.columns == ["plant_id", "tower_id", "event_id", "w"]
+
+
+def test_files_of_a_result_table_do_not_grow_with_the_plants(spark, tmp_path):
+    """A rerun replaces its plants only, also those that share a part, and the plant without an id."""
+    path = str(tmp_path / "table")
+    ids = spark.range(1500).selectExpr("nullif(id, 0) AS plant_id", "id * 1.5D AS kwh", "'a' AS run")
+    first = sinks.write_table(ids, path)
+    assert len(list((tmp_path / "table").glob("*/*.parquet"))) <= 2 * sinks.PLANT_BUCKETS
+    assert first.columns == ["plant_id", "kwh", "run"] and first.count() == 1500
+    again = ids.filter("plant_id IS NULL OR plant_id % 300 = 1").withColumn("run", F.lit("b"))
+    table = sinks.write_table(again.unionByName(again), path)
+    got = {(r.plant_id, r.run): r["count"] for r in table.groupBy("plant_id", "run").count().collect()}
+    new = {None, 1, 301, 601, 901, 1201}
+    assert got == {(p, "b" if p in new else "a"): 2 if p in new else 1 for p in [None, *range(1, 1500)]}

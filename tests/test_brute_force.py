@@ -271,3 +271,20 @@ def test_fit_matches_least_squares(spark):
     assert got.c3 == pytest.approx(lines[0][0] / lines[0][1], rel=1e-6)
     assert got.c1 == pytest.approx(lines[1][0] / lines[1][1], rel=1e-6)
     assert got.c2 == pytest.approx(lines[2][0] / lines[2][1], rel=1e-6)
+
+
+def test_hours_of_the_wake_are_dealt_twice_at_most(spark):
+    """Without a broadcast an hour of a source meets its turbines in one row: no copy by tile, no tile key."""
+    turbines = _random_farm(3, 30, 900.0)
+    hours = [(*t, 1, 77.0, 8.0, 0.5, 20.0, 1.2) for t in turbines]
+    hours = spark.createDataFrame(hours, FARM + ", ts int, direction double, wind double, thrust double, ta double, rho double")
+    tiles = wake.sector_tiles(spark.createDataFrame(turbines, FARM))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = wake.wake_speeds(hours, tiles)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = [line for line in plan.splitlines() if "hashpartitioning" in line and "tile_" not in line]
+    by_hour = [line for line in dealt if "ts#" in line]
+    assert len(by_hour) == 1 and not any("ts#" in line and "tile_" in line for line in plan.splitlines() if "Exchange" in line)

@@ -141,10 +141,11 @@ def _fit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ac(spark: SparkSession, sf: str) -> DataFrame:
-    dc = array_power.dc_losses(
-        array_power.string_scaling(array_power.max_power_point(_circuit(spark, sf)))
-    )
-    return inverter.inverter_ac(dc, T.inverters(spark, sf), _fit(spark, sf))
+    def build() -> DataFrame:
+        inputs = T.solar_inputs(spark, sf)
+        return inverter.with_nameplate(solar_plant.static_arrays(inputs), inputs.inverters, _fit(spark, sf))
+
+    return solar_plant.inverter_hours(_irradiance(spark, sf), _stored(spark, sf, "rated", build))
 
 
 def _monthly(spark: SparkSession, sf: str) -> DataFrame:

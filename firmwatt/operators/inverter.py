@@ -105,37 +105,53 @@ def inverter_fit(samples: DataFrame) -> DataFrame:
     )
 
 
+#: What the conversion needs of an inverter and of its fit.
+NAMEPLATE = ["paco", "pdco", "vdco", "pso", "pnt", "n_inv", "c0", "c1", "c2", "c3"]
+
+
+def with_nameplate(arrays: DataFrame, inverters: DataFrame, fit: DataFrame) -> DataFrame:
+    """Arrays, or their hours, with the nameplate and the fit of their inverter as ``plate``.
+
+    ``n_plates`` in it counts the rows of an inverter, as a repeated one repeats its arrays.
+    """
+    copies = F.count("*").over(Window.partitionBy(*KEY)).alias("n_plates")
+    plates = inverters.join(fit, KEY).select(*KEY, *NAMEPLATE, copies)
+    return arrays.join(plates.select(*KEY, F.struct(*NAMEPLATE, "n_plates").alias("plate")), KEY)
+
+
 def inverter_ac(array_hours: DataFrame, inverters: DataFrame, fit: DataFrame) -> DataFrame:
-    """AC power ``p_ac`` (W) per inverter and hour, times the inverter count.
+    """AC power ``p_ac`` (W) per inverter and hour, times the inverter count."""
+    return inverter_output(with_nameplate(array_hours.select(*KEY, "ts", "v_mp", "p_mp"), inverters, fit))
+
+
+def inverter_output(array_hours: DataFrame) -> DataFrame:
+    """AC power ``p_ac`` (W) per inverter and hour of arrays that carry their nameplate.
 
-    Each array counts by its share of the inverter's DC power. The window and the
-    aggregation share one partitioning by inverter and hour.
+    Each array counts by its share of the inverter's DC power. Its output is a polynomial in
+    that power, P, whose coefficients depend on the array alone:
+    ``p/P (A (P - b) + c (P - b)^2) = P pc + p (A - 2bc) + p (b^2 c - A b) / P``. So sums over
+    the arrays give all, in one aggregation without a sort; hours dealt by plant and stamp
+    before they meet their arrays need no further shuffle for it.
     """
     col = F.col
-    nameplate = inverters.select(
-        "plant_id", "inverter_id", "paco", "pdco", "vdco", "pso", "pnt", "n_inv"
-    ).join(fit.select(*KEY, "c0", "c1", "c2", "c3"), KEY)
-    unit = Window.partitionBy(*KEY, "ts")
-    joined = (
-        array_hours.select(*KEY, "ts", "v_mp", "p_mp")
-        .withColumn("p_dc", F.sum("p_mp").over(unit))
-        .join(nameplate, KEY)
-    )
     dv = col("v_mp") - col("vdco")
     a = col("pdco") * (F.lit(1.0) + col("c1") * dv)
     b = col("pso") * (F.lit(1.0) + col("c2") * dv)
     c = col("c0") * (F.lit(1.0) + col("c3") * dv)
+    joined = array_hours.select(*KEY, "ts", "v_mp", "p_mp", "plate.*")
     joined = joined.withColumns({"_a": a, "_b": b, "_c": c})
-    span, above = col("_a") - col("_b"), col("p_dc") - col("_b")
-    efficiency = (col("paco") / span - col("_c") * span) * above + col("_c") * above * above
-    share = F.try_divide(col("p_mp"), col("p_dc"))
+    span = col("_a") - col("_b")
+    joined = joined.withColumn("_slope", col("paco") / span - col("_c") * span)
+    p, b, c = F.when(col("_slope").isNotNull(), col("p_mp")), col("_b"), col("_c")
     summed = joined.groupBy("plant_id", "inverter_id", "ts").agg(
-        F.sum(share * efficiency).alias("p_ac"),
-        *[F.any_value(c).alias(c) for c in ("p_dc", "pso", "pnt", "paco", "n_inv")],
-    )
-    limited = F.when(col("p_dc") < col("pso"), -F.abs("pnt")).otherwise(
-        capped(col("p_ac"), col("paco"))
+        F.sum(col("p_mp") / col("n_plates")).alias("p_dc"),
+        F.sum(p * c).alias("_square"),
+        F.sum(p * (col("_slope") - b * c * 2)).alias("_linear"),
+        F.sum(p * (b * c - col("_slope")) * b).alias("_fixed"),
+        *[F.max(name).alias(name) for name in ("pso", "pnt", "paco", "n_inv")],
     )
+    p_ac = col("p_dc") * col("_square") + col("_linear") + F.try_divide(col("_fixed"), col("p_dc"))
+    limited = F.when(col("p_dc") < col("pso"), -F.abs("pnt")).otherwise(capped(p_ac, col("paco")))
     return summed.select(
         "plant_id", "inverter_id", "ts", (floored(limited) * col("n_inv")).alias("p_ac")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmwatt import schemas
@@ -12,11 +12,15 @@ from firmwatt.constants import INVERTER_LEVELS, POINTS_PER_LEVEL
 from firmwatt.operators import array_power, cleaning, energy, inverter, irradiance, quality
 from firmwatt.sources import requests as plant_requests
 from firmwatt.sources.files import named_series
+from firmwatt.sources.series import dealt
 from firmwatt.sources.sinks import stage
 
 #: Parameters of the single-diode circuit.
 CIRCUIT = ["a_ref", "il_ref", "i0_ref", "rs_ref", "rsh_ref", "adjust"]
 
+#: Array hours of a task.
+PART_ROWS = 250_000
+
 
 @dataclass
 class SolarInputs:
@@ -40,9 +44,10 @@ class SolarInputs:
 
 
 def from_requests(requests: DataFrame, series: DataFrame, circuits: DataFrame) -> SolarInputs:
-    """The inputs that solar requests describe."""
-    dims = plant_requests.solar_dimensions(plant_requests.accepted(requests, "solar"))
-    return from_dimensions(dims, series, circuits)
+    """The inputs that solar requests describe. The requests are parsed once: their tables are
+    stored, so their sizes are known where the series fan out."""
+    dims = plant_requests.solar_dimensions(stage(plant_requests.accepted(requests, "solar")))
+    return from_dimensions({name: stage(rows) for name, rows in dims.items()}, series, circuits)
 
 
 def from_dimensions(dims: dict[str, DataFrame], series: DataFrame, circuits: DataFrame) -> SolarInputs:
@@ -58,7 +63,7 @@ def from_dimensions(dims: dict[str, DataFrame], series: DataFrame, circuits: Dat
         inverters=dims["inverters"],
         arrays=dims["arrays"],
         modules=dims["modules"].join(parameters, "module_model", "left"),
-        series=series.join(files, "series_id").drop("series_id"),
+        series=dealt(series).join(files, "series_id").drop("series_id"),
     )
 
 
@@ -191,6 +196,11 @@ def static_arrays(inputs: SolarInputs) -> DataFrame:
     return inputs.arrays.join(site, "plant_id").join(inputs.modules, inverter.KEY)
 
 
+def is_day() -> Column:
+    """Whether an hour counts: daylight with any irradiance."""
+    return cleaning.is_daylight() & cleaning.is_lit()
+
+
 def plane_of_arrays(hours: DataFrame, arrays: DataFrame) -> DataFrame:
     """``poa`` and ``ta`` per array and hour, for every hour of the series.
 
@@ -198,7 +208,7 @@ def plane_of_arrays(hours: DataFrame, arrays: DataFrame) -> DataFrame:
     keep their row with 0. The lit flag travels with the row, so the full index never
     has to be joined back.
     """
-    lit_hours = hours.withColumn("lit", cleaning.is_daylight() & cleaning.is_lit())
+    lit_hours = hours.withColumn("lit", is_day())
     facing = irradiance.surface_orientation(lit_hours.join(arrays, "plant_id"))
     front = irradiance.plane_irradiance(facing).withColumnRenamed("back_irradiance", "poa_back")
     poa = F.nanvl(F.when(F.col("lit"), F.col("poa")), F.lit(0.0))
@@ -213,6 +223,33 @@ def array_output(arrays: DataFrame) -> DataFrame:
     return array_power.dc_losses(array_power.string_scaling(df))
 
 
+def by_plant_hour(hours: DataFrame, arrays: DataFrame) -> DataFrame:
+    """The hours dealt by plant and stamp, in parts of about ``PART_ROWS`` array hours.
+
+    What follows is grouped by inverter and hour, then by plant and hour: where the arrays are
+    broadcast, no array hour is shuffled, and a task's groups keep their size as plants grow in
+    number. Both tables should be stored, as their rows are counted.
+    """
+    many, plants = arrays.agg(F.count("*"), F.countDistinct("plant_id")).first()
+    parts = -(-hours.count() * many // (max(plants, 1) * PART_ROWS))
+    return hours.repartition(max(hours.sparkSession.sparkContext.defaultParallelism, parts), "plant_id", "ts")
+
+
+def inverter_hours(hours: DataFrame, arrays: DataFrame) -> DataFrame:
+    """AC power per inverter for every hour of the series. ``arrays`` carry their nameplate.
+
+    An array gives nothing in an hour without light, so what its inverter then shows is the
+    same in each of them: it is found once per inverter, and only lit hours meet the arrays.
+    """
+    dealt_hours = by_plant_hour(hours, arrays).withColumn("day", F.coalesce(is_day(), F.lit(False)))
+    day = array_output(plane_of_arrays(dealt_hours.filter("day"), arrays))
+    nothing = {c: F.lit(0.0) for c in ("i_sc", "v_oc", "i_mp", "v_mp", "p_mp", "i_x", "i_xx")}
+    idle = array_power.dc_losses(array_power.string_scaling(arrays.withColumns(nothing)))
+    idle = inverter.inverter_output(idle.withColumn("ts", F.lit(None).cast("timestamp_ntz"))).drop("ts")
+    night = dealt_hours.groupBy("plant_id", "ts").agg(F.bool_or("day").alias("day")).filter("not day")
+    return inverter.inverter_output(day).unionByName(night.select("plant_id", "ts").join(idle, "plant_id"))
+
+
 @dataclass
 class Checked:
     """Hourly energy of the plants that pass all checks, and the outcome of every check."""
@@ -227,7 +264,8 @@ def checked_energy(inputs: SolarInputs) -> Checked:
     Tables are checked first. The stored irradiance holds each row of the series that is
     left, so the series themselves are read once and checked there; a plant that fails
     leaves before its hours meet its arrays. Both sides of that fan-out are stored, so the
-    optimizer knows their true sizes and picks the side to broadcast, or none, by them.
+    optimizer knows their true sizes and picks the side to broadcast, or none, by them. The
+    arrays carry their inverter's nameplate, so array hours are joined with nothing more.
     """
     fit = stage(inverter.inverter_fit(inverter.inverter_samples(inputs.inverters)))
     found = stage(quality.plant_status(status(inputs, fit), site_status(inputs)))
@@ -237,8 +275,8 @@ def checked_energy(inputs: SolarInputs) -> Checked:
     found, failing = found.unionByName(seen), quality.failing_plants(seen)
     if not failing.isEmpty():
         passing, hours = without(passing, failing), hours.join(failing, "plant_id", "left_anti")
-    arrays = plane_of_arrays(hours, stage(static_arrays(passing)))
-    ac = inverter.inverter_ac(array_output(arrays), passing.inverters, fit)
+    static = stage(inverter.with_nameplate(static_arrays(passing), passing.inverters, fit))
+    ac = inverter_hours(hours, static)
     return Checked(inverter.plant_losses(energy.hourly_energy_solar(ac), passing.plants), found)
 
 

@@ -42,13 +42,18 @@ def tag_towers(raw: DataFrame, files: DataFrame, key: str, columns: list[Column
     taken of the cleaned row. Few series drive many towers, so the rows are dealt evenly and not
     by their series before they fan out; ``files`` should be stored, so that its size is known.
     """
-    spark = raw.sparkSession
     cleaned = clean_wind(raw)
     kept = [c for c in raw.columns if c in cleaned.columns]
     readings = [c for c in cleaned.columns if c not in kept]
     if columns is not None:
         kept, readings = [key], cleaned.select(*columns).columns
         cleaned = cleaned.select(key, *columns)
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [c for c in kept if c != key] + [c for c in files.columns if c != key] + readings
-    return cleaned.repartition(parts).join(files, key).select(*order)
+    return dealt(cleaned).join(files, key).select(*order)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows over all tasks evenly: few of them fan out to many, and none by its series."""
+    spark = rows.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts)

@@ -227,14 +227,22 @@ def _shards(batches: Iterator[pa.RecordBatch], known: np.ndarray, mean: float) -
     for batch in batches:
         for lo in range(0, len(batch), SHARD_DOCS):
             part = batch.slice(lo, SHARD_DOCS)
-            words = [np.frombuffer(w, np.int64) for w in part["words"].to_pylist()]
-            size = np.array([len(w) for w in words])
-            owner = np.repeat(np.arange(len(words)), size)
-            word = np.concatenate(words)
-            often = np.concatenate([np.frombuffer(c, np.int32) for c in part["counts"].to_pylist()]).astype(float)
-            length = part["length"].to_numpy()[owner]
-            place = np.minimum(np.searchsorted(known, word), len(known) - 1)
-            use = known[place] == word
-            owner, word, often, length = owner[use], word[use], often[use], length[use]
-            impact = often * (K1 + 1) / (often + K1 * (1 - B + B * length / mean))
-            yield part["doc_id"].to_pylist(), Shard(owner, word, impact, len(part))
+            yield part["doc_id"].to_pylist(), _shard(part, known, mean)
+
+
+def _shard(part: pa.RecordBatch, known: np.ndarray, mean: float) -> Shard:
+    """The index of the words that are ``known``. Its raw postings end with the call, before the
+    queries run: a worker then holds the index alone."""
+    words = [np.frombuffer(w, np.int64) for w in part["words"].to_pylist()]
+    size = np.array([len(w) for w in words])
+    word = np.concatenate(words)
+    del words
+    place = np.minimum(np.searchsorted(known, word), len(known) - 1)
+    use = np.flatnonzero(known[place] == word)
+    del place
+    word, owner = word[use], np.repeat(np.arange(len(size)), size)[use]
+    often = np.concatenate([np.frombuffer(c, np.int32) for c in part["counts"].to_pylist()])[use].astype(float)
+    length = part["length"].to_numpy()[owner]
+    impact = often * (K1 + 1) / (often + K1 * (1 - B + B * length / mean))
+    del often, length, use
+    return Shard(owner, word, impact, len(part))

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmwatt.llm.common import ship, stage
+from firmwatt.llm.token_ids import forget
 
 ALPHA, DELTA = 0.05, 0.05
 MIN_WORDS = 50
@@ -81,14 +82,20 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def stats_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """The statistics of batches of texts."""
+    forget()  # a worker that packed before would hold its tokens on
+    names = [field.split()[0] for field in STATS.split(", ")]
+    for batch in texts:
+        yield pd.DataFrame([text_stats(t) for t in batch], columns=names).astype("int64")
+
+
 def stats_column(text: Column) -> Column:
     """A struct of the statistics; only the text goes to Python."""
 
     @F.pandas_udf(STATS)
     def stats(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = [field.split()[0] for field in STATS.split(", ")]
-        for batch in texts:
-            yield pd.DataFrame([text_stats(t) for t in batch], columns=names).astype("int64")
+        yield from stats_of(texts)
 
     return stats(text.cast("binary"))
 

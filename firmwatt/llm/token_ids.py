@@ -116,3 +116,8 @@ def encoder(definition: bytes) -> Encoder:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(definition)
     return _ENCODERS[key]
+
+
+def forget() -> None:
+    """Free the tables of this worker, where other work begins that needs none."""
+    _ENCODERS.clear()

@@ -4,22 +4,24 @@ A document is the weighted set of its shingles of five words: term frequency tim
 inverse document frequency. Each of K samples draws one (shingle, level) per document by
 improved consistent weighted sampling, so that two documents draw the same with the
 probability of their weighted Jaccard similarity. Samples are banded; documents that agree
-in a band are compared by their exact weighted Jaccard similarity, and links of 0.8 or more
-form the classes.
-
-Inverse document frequency. With f the share of distinct texts that hold a shingle,
-idf = ln(1 + 1 / max(f, 1/20)) / ln(21), and 5/6 at least: a shingle counts fully unless it
-stands in more than a twentieth of all distinct texts, and no shingle weighs more than 1.2
-times another. So exact copies lower no weight, and edits in a large group of copies cannot
-outweigh what is equal: a plain Jaccard similarity above 0.828 is one above 0.8 by weight,
-whatever the group. Counts are exact. A shingle above a twentieth of the distinct texts is
-above a twentieth of some block of them, so the blocks name the candidates and a second pass
-counts them; at most 20 times the mean number of shingles of a text can pass, whatever the
-size of the corpus, and that table goes to the workers.
+in a band are compared, and links of 0.8 or more form the classes.
+
+Inverse document frequency. With n of N distinct texts holding a shingle, idf = ln(1 + N / n),
+without any floor or cut. Every shingle is counted, exactly: blocks of about ``BLOCK_BYTES`` of
+text send their different shingles, with the number of texts that hold each, to parts by ranges
+of the shingle's hash; a part adds them up and sends what more than one text holds back to the
+blocks that hold it, and a block meets its texts again where they are sampled. A frequent shingle
+is one entry per block, and no table of shingles is held by the driver or by all workers.
+
+The exact check that follows compares the shingles with their term frequencies alone: 0.8 is a
+share of the two texts, whatever else the corpus holds. Were it weighted as well, the words that
+were edited in one of many copies would outweigh all that is equal (a frequent passage is light,
+an edit is heavy), and a group of copies would hide its members from each other.
 
 No link is lost to large groups. Equal texts are one node. In a bucket, every node is first
 compared with its head, the node that shares most buckets with others: in a group of edited
-copies that is the one with the fewest edits. Links give classes. Where a bucket still holds
+copies that is the one with the fewest edits; and with the head of its head, which finds it for
+copies that share a bucket with other copies only. Links give classes. Where a bucket still holds
 several classes, the rest is compared in blocks: the nodes of a head are dealt over blocks of
 about ``CELL_BYTES`` of text, a task takes two blocks and multiplies their shingle matrices,
 and only links between different classes leave it. Blocks of the head's own class don't meet
@@ -35,6 +37,7 @@ stand.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,17 +46,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmwatt.llm.common import mix64, ship, slices, stage, word_hashes
+from firmwatt.sources.sinks import Stages
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 4
-COMMON = 0.05
-#: The smallest weight of a shingle that occurs once; the largest is 1.
-LEAST_WEIGHT = 5 / 6
 #: A block of a cell holds at most so much text and, on average, so many texts.
 CELL_BYTES, CELL_TEXTS = 256 << 10, 500
 BLOCK_BYTES = 1 << 20
-#: Above this many candidate shingles they are counted by a join and not by a broadcast.
-MOST_CANDIDATES = 2_000_000
+#: The shingles of about so much text are counted by one task.
+COUNTED_BYTES = 16 << 20
 
 
 def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,19 +85,26 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
 
 
 class Weights:
-    """Weights of shingles; holds the share of distinct texts of each common one."""
+    """TF-IDF weights; holds how many of ``texts`` distinct texts hold each shingle.
+
+    A shingle that is not named stands in one text.
+    """
 
-    def __init__(self, common: np.ndarray, share: np.ndarray):
-        order = np.argsort(common)
-        self.common, self.share = common[order], share[order]
+    def __init__(self, shingle: np.ndarray, held: np.ndarray, texts: int = 1):
+        order = np.argsort(shingle)
+        self.shingle, self.held, self.texts = shingle[order], held[order], texts
 
     def __call__(self, value: np.ndarray, often: np.ndarray) -> np.ndarray:
-        share = np.full(len(value), COMMON)
-        if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, value), len(self.common) - 1)
-            known = self.common[at] == value
-            share[known] = np.maximum(self.share[at[known]], COMMON)
-        return often * np.maximum(np.log1p(1 / share) / np.log1p(1 / COMMON), LEAST_WEIGHT)
+        held = np.ones(len(value))
+        if len(self.shingle):
+            at = np.minimum(np.searchsorted(self.shingle, value), len(self.shingle) - 1)
+            known = self.shingle[at] == value
+            held[known] = self.held[at[known]]
+        return often * np.log1p(self.texts / held)
+
+
+#: All shingles count alike, as often as they occur.
+EVEN = Weights(np.empty(0, np.uint64), np.empty(0))
 
 
 class Sampler:
@@ -153,6 +161,12 @@ class Sampler:
         return drawn
 
 
+@lru_cache(1)
+def sampler_of(samples: int) -> Sampler:
+    """One sampler per worker."""
+    return Sampler(samples)
+
+
 def bands(draws: np.ndarray, band_rows: int = ROWS) -> np.ndarray:
     """One 64-bit bucket per text and band."""
     out = np.zeros((len(draws), draws.shape[1] // band_rows), np.uint64)
@@ -192,70 +206,103 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa
             yield batch.slice(lo, hi - lo), texts[lo:hi]
 
 
-def common_shingles(texts: DataFrame) -> Weights:
-    """The shingles in more than a twentieth of ``texts``, with their exact shares."""
-    spark = texts.sparkSession
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in _blocks(batches, "bytes"):
-            value, count = np.unique(shingles(block)[1], return_counts=True)
-            often = value[count > COMMON * len(block)]
-            yield pa.RecordBatch.from_pydict({"shingle": pa.array(often.view(np.int64))})
-
-    named = stage(texts.select("bytes").mapInArrow(candidates, "shingle long").distinct())
-    total, many = texts.select("node").count(), named.count()
-    if not many:
-        return Weights(np.empty(0, np.uint64), np.empty(0))
-    if many <= MOST_CANDIDATES:
-        listed = np.sort(named.toPandas()["shingle"].to_numpy().view(np.uint64))
-        sent = spark.sparkContext.broadcast(listed)
-    else:
-        sent = None
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = sent.value if sent else None
-        sums = None if wanted is None else np.zeros(len(wanted), np.int64)
-        for _, block in _blocks(batches, "bytes"):
-            value = shingles(block)[1]
-            if wanted is None:
-                value, n = np.unique(value, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"shingle": pa.array(value.view(np.int64)), "n": pa.array(n)})
-            else:
-                at = np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)
-                np.add.at(sums, at[wanted[at] == value], 1)
-        if wanted is not None:
-            there = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_pydict(
-                {"shingle": pa.array(wanted[there].view(np.int64)), "n": pa.array(sums[there])}
-            )
-
-    counted = texts.select("bytes").mapInArrow(counts, "shingle long, n long")
-    if sent is None:
-        counted = counted.join(named, "shingle", "left_semi")
-    common = counted.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > COMMON * total).toPandas()
-    return Weights(common["shingle"].to_numpy().view(np.uint64), common["n"].to_numpy() / total)
-
-
-def signatures(texts: DataFrame, weights: Weights) -> DataFrame:
-    """doc_id, node and the buckets of every document with a word."""
-    id_type = texts.schema["doc_id"].dataType.simpleString()
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(BANDS * ROWS)
-        for batch, block in _blocks(batches, "bytes"):
+def _in_blocks(texts: DataFrame) -> DataFrame:
+    """The different texts: node, bytes and the block that a text is in."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _blocks(batches, "bytes"):
+            block = int(batch["node"][0].as_py()[:15], 16)
+            yield batch.append_column("block", pa.array([block] * len(texts), pa.int64()))
+
+    distinct = texts.select("node", "bytes").dropDuplicates(["node"])
+    return distinct.mapInArrow(number, "node string, bytes binary, block long")
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Ascending 64-bit values as the bytes of their steps, the highest bytes first: mostly 0."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype(">u8")
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(">u8")
+    return np.cumsum(steps.ravel().astype(np.uint64), dtype=np.uint64)
+
+
+def shingle_counts(distinct: DataFrame, size: int) -> DataFrame:
+    """block, shingles, held: what more than one text holds, for each block that holds it.
+
+    ``held`` says how many of the texts hold each of the shingles; a block has several rows.
+    The texts have ``size`` bytes together.
+    """
+    parts = max(1, -(-size // COUNTED_BYTES))
+    edges = np.array([(k << 64) // parts for k in range(parts)], np.uint64)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, texts = batch["block"].to_numpy(), batch["bytes"]
+            begin = np.flatnonzero(np.concatenate(([len(block) > 0], block[1:] != block[:-1])))
+            for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(block)], strict=True):
+                value, count = np.unique(shingles(texts.slice(lo, hi - lo).to_pylist())[1], return_counts=True)
+                at = np.append(np.searchsorted(value, edges), len(value))
+                there = np.flatnonzero(np.diff(at))
+                spans = [slice(at[k], at[k + 1]) for k in there]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "part": pa.array(there, pa.int32()),
+                        "block": pa.array([block[lo]] * len(there), pa.int64()),
+                        "shingles": pa.array([_packed(value[k]) for k in spans], pa.binary()),
+                        "held": pa.array([count[k].astype("<i4").tobytes() for k in spans], pa.binary()),
+                    }
+                )
+
+    def add(group: pa.Table) -> pa.Table:
+        parts = [_unpacked(p.as_py()) for p in group["shingles"]]
+        value = np.concatenate(parts)
+        held = np.concatenate([np.frombuffer(h.as_py(), "<i4") for h in group["held"]])
+        order = np.argsort(value, kind="stable")
+        value, held = value[order], held[order]
+        begin = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+        total, value = np.add.reduceat(held, begin, dtype=np.int64), value[begin]
+        value, total = value[total > 1], total[total > 1]
+        blocks, shared, often = [], [], []
+        for block, part in zip(group["block"].to_pylist(), parts, strict=True):
+            at = np.searchsorted(value, part)
+            at = at[(at < len(value)) & (value[np.minimum(at, len(value) - 1)] == part)] if len(value) else at[:0]
+            if len(at):
+                blocks.append(block)
+                shared.append(_packed(value[at]))
+                often.append(total[at].astype("<i8").tobytes())
+        return pa.table(
+            {"block": pa.array(blocks, pa.int64()), "shingles": pa.array(shared, pa.binary()), "held": pa.array(often, pa.binary())}
+        )
+
+    rows = distinct.select("bytes", "block").mapInArrow(named, "part int, block long, shingles binary, held binary")
+    return rows.groupBy("part").applyInArrow(add, "block long, shingles binary, held binary")
+
+
+def signatures(distinct: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """node, whether it has a word, and its buckets, of every different text."""
+
+    def sign(texts: pa.Table, held: pa.Table) -> pa.Table:
+        shared = np.concatenate([np.empty(0, np.uint64), *[_unpacked(s.as_py()) for s in held["shingles"]]])
+        often = np.concatenate([np.empty(0, np.int64), *[np.frombuffer(h.as_py(), "<i8") for h in held["held"]]])
+        weights, sampler, parts = Weights(shared, often, total), sampler_of(BANDS * ROWS), []
+        for batch, block in _blocks(texts.to_batches(), "bytes"):
             owner, value, often = shingles(block)
             buckets = bands(sampler(owner, value, weights(value, often), len(block)))
             worded = np.bincount(owner, minlength=len(block)) > 0
             flat = pa.array(buckets.ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, BANDS), pa.int32()), flat)
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch["doc_id"], "node": batch["node"], "worded": pa.array(worded), "buckets": lists}
-            )
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat)
+            parts.append(pa.RecordBatch.from_pydict({"node": batch["node"], "worded": pa.array(worded), "buckets": lists}))
+        schema = pa.schema([("node", pa.string()), ("worded", pa.bool_()), ("buckets", pa.list_(pa.int64()))])
+        return pa.Table.from_batches(parts, schema)
 
-    return texts.mapInArrow(sign, f"doc_id {id_type}, node string, worded boolean, buckets array<long>")
+    schema = "node string, worded boolean, buckets array<long>"
+    return distinct.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(sign, schema)
 
 
-def compared(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
+def compared(pairs: DataFrame, texts: DataFrame, weights: Weights = EVEN) -> DataFrame:
     """The pairs of nodes (a, b) with their weighted Jaccard similarity."""
 
     @F.pandas_udf("double")
@@ -309,11 +356,13 @@ def _classes(documents: DataFrame, least: float) -> DataFrame:
     spark: SparkSession = documents.sparkSession
     ship(spark)
     texts = _texts(documents)
-    distinct = stage(texts.select("node", "bytes").dropDuplicates(["node"]))
-    weights = common_shingles(distinct)
-    signed = stage(signatures(texts, weights))
-    worded = signed.filter("worded")
-    nodes = stage(worded.groupBy("node").agg(F.first("buckets").alias("buckets")))
+    distinct = stage(_in_blocks(texts))
+    with Stages(spark) as counting:
+        total, size = distinct.agg(F.count("*"), F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()
+        counts = stage(shingle_counts(distinct, size))
+    signed = stage(signatures(distinct, counts, total))
+    counting.release()
+    nodes = signed.filter("worded").select("node", "buckets")
     buckets = nodes.select("node", F.posexplode("buckets").alias("band", "bucket"))
     shared = buckets.groupBy("band", "bucket").count().filter("count > 1")
     shared = stage(buckets.join(shared, ["band", "bucket"]))
@@ -323,12 +372,21 @@ def _classes(documents: DataFrame, least: float) -> DataFrame:
     heads = shared.groupBy("band", "bucket").agg(head)
     members = stage(shared.join(heads, ["band", "bucket"]).select("node", "band", "bucket", "head"))
     in_buckets = stage(distinct.join(members.select("node").distinct(), "node", "left_semi"))
-    done = stage(compared(_pairs(members, "head"), in_buckets, weights))
+    pairs = _pairs(members, "head").union(_pairs(_heads_of_heads(members, central), "top")).distinct()
+    done = stage(compared(pairs, in_buckets))
     found = components(done.filter(F.col("similarity") >= least))
-    more = stage(_between_classes(_open_members(members, found), in_buckets, weights, least))
+    more = stage(_between_classes(_open_members(members, found), in_buckets, EVEN, least))
     if more.limit(1).count():
         found = components(done.filter(F.col("similarity") >= least).select("a", "b").unionByName(more))
-    return _named(signed, found)
+    return _named(texts.select("doc_id", "node"), signed.filter("not worded").select("node"), found)
+
+
+def _heads_of_heads(members: DataFrame, central: DataFrame) -> DataFrame:
+    """Every node with the best head of each of its heads (``top``)."""
+    under = members.select("node", "head").distinct()
+    scored = under.join(central.select(F.col("node").alias("head"), "score"), "head")
+    best = scored.groupBy(F.col("node").alias("head")).agg(F.max(F.struct("score", "head"))["head"].alias("top"))
+    return under.join(best.filter("head != top"), "head").select("node", "top")
 
 
 def _pairs(rows: DataFrame, other: str) -> DataFrame:
@@ -420,9 +478,12 @@ def _between_classes(open_: DataFrame, texts: DataFrame, weights: Weights, least
     return filled.groupBy("head", "m", "r", "s").applyInArrow(compare, "a string, b string").distinct()
 
 
-def _named(signed: DataFrame, found: DataFrame) -> DataFrame:
+def _named(rows: DataFrame, empty: DataFrame, found: DataFrame) -> DataFrame:
     """Classes of rows: equal texts and linked ones; rows without words stand alone."""
-    rows = signed.select("doc_id", "node", "worded").join(found, "node", "left")
+    known = found.select("node", "label", F.lit(True).alias("worded")).unionByName(
+        empty.select("node", F.lit(None).cast("string").alias("label"), F.lit(False).alias("worded"))
+    )
+    rows = rows.join(known, "node", "left").withColumn("worded", F.coalesce("worded", F.lit(True)))
     label = F.when(F.col("worded"), F.coalesce("label", "node"))
     rows = rows.withColumn("label", label)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")

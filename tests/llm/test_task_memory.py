@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 
 from firmwatt.llm import quality_rules, suffix_dedup, token_ids
-from firmwatt.llm.common import word_hashes
+from firmwatt.llm.common import ship, word_hashes
 
 
 class Table:
@@ -58,3 +58,11 @@ def test_rules_free_the_tokens_of_packing():
     assert token_ids._ENCODERS
     stats = quality_rules.stats_of(iter([pd.Series([b"one two", None])]))
     assert next(stats)["n_words"].tolist() == [2, 0] and not token_ids._ENCODERS
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark):
+    ship(spark)
+    texts = spark.range(0, 2000, 1, 1).selectExpr("repeat('0123456789', 1000) AS text")  # 20 MB in one partition
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())}) for b in batches)
+    found = [r["n"] for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) >= 20_000_000 and max(found) < 6_000_000

@@ -45,8 +45,8 @@ def pieces(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, with
         encode = encoder(definition.value)
         for batch in batches:
             row, start, length, crc, tokens, ids = [], [], [], [], [], []
-            for number, text in enumerate(batch["text"]):
-                whole = memoryview(encode(text.as_py()) + end)
+            for number, ids_of_text in enumerate(encode.texts(batch["text"])):
+                whole = memoryview(ids_of_text + end)
                 total = len(whole) // 4
                 for at in range(0, total, window):
                     part = whole[4 * at : 4 * (at + window)]

@@ -51,8 +51,8 @@ def pieces(
         encode = encoder(definition.value)
         for batch in batches:
             row, number, start, length, crc, ids = [], [], [], [], [], []
-            for at, text in enumerate(batch["text"]):
-                whole = memoryview(encode(text.as_py()) + end)
+            for at, ids_of_text in enumerate(encode.texts(batch["text"])):
+                whole = memoryview(ids_of_text + end)
                 total = len(whole) // 4
                 borders = [0, *range(total % window or window, total + 1, window)] if total > window else [0, total]
                 for k, (begin, stop) in enumerate(zip(borders, borders[1:], strict=False)):

@@ -157,6 +157,20 @@ def test_one_series_of_many_towers_is_dealt_evenly(spark):
     assert named.columns == ["plant_id", "tower_id", "event_id", "w"]
 
 
+def test_a_task_has_few_series_of_many_towers(spark):
+    """Each task fans out a stretch of the readings by series, so its rows repeat the same towers."""
+    raw = spark.range(6000).selectExpr(
+        "nullif(id % 4, 3) AS series_id", "'2024' AS Ano", "'1' AS Mes", "'2' AS Dia", "'3' AS Hora",
+        "'75,25' AS DireccionViento", "'990,5' AS PresionAtmosferica", "'28,5' AS Ta", "'7,5' AS VelocidadViento",
+    )
+    towers = sinks.stage(spark.range(31).selectExpr("id % 2 AS plant_id", "id AS tower_id", "CASE WHEN id < 30 THEN id % 3 END AS series_id"))
+    tagged = series.tag_towers(raw, towers, "series_id")
+    tasks = tagged.groupBy(F.spark_partition_id().alias("task"), F.expr("tower_id % 3 AS series")).count().collect()
+    assert sum(r["count"] for r in tasks) == 1500 * 30 and len({r["series"] for r in tasks}) == 3
+    assert len(tasks) <= len({r["task"] for r in tasks}) + 2  # a stretch ends where the next begins
+    assert max(r["count"] for r in tasks) <= 4 * 45000 / spark.sparkContext.defaultParallelism
+
+
 def test_files_of_a_result_table_do_not_grow_with_the_plants(spark, tmp_path):
     """A rerun replaces its plants only, also those that share a part, and the plant without an id."""
     path = str(tmp_path / "table")

@@ -39,10 +39,12 @@ from firmwatt.llm.common import ship, slices, stage, word_hashes
 
 K1, B, TOP = 1.2, 0.75, 10
 SHARD_DOCS, SHARD_WORDS, BLOCK_DOCS, QUERY_WORDS = 2048, 1_000_000, 32, 1_000_000
+#: Shards are searched together up to so many documents and postings.
+SEARCH_DOCS, SEARCH_WORDS = 4096, 2_000_000
 BLOCK_BYTES = 1 << 20
 #: A word is a column of the product where its postings cost more one by one: a posting takes the
 #: time of so many multiplications. Columns, documents a product takes, and products held at a time.
-POSTING, COLUMNS, PRODUCT_DOCS, HELD = 800, 2048, 512, 1_000_000
+POSTING, COLUMNS, PRODUCT_DOCS, HELD = 800, 2048, 512, 1_500_000
 #: Tasks of a pass over the shards, for each core: each returns k rows a query.
 TASKS = 2
 
@@ -295,17 +297,38 @@ def _inverter(mean: float):
 
 
 def _stored(batches: Iterator[pa.RecordBatch], known: np.ndarray, mean: float) -> Iterator[tuple[list, Shard, np.ndarray]]:
-    """Shards of the words that are ``known``, and the places of these."""
+    """Stored shards, several as one, of the words that are ``known``, and the places of these."""
     kinds = {"length": np.int64, "words": np.int64, "size": np.int32, "document": np.int16, "often": np.int32}
+    parts: list[tuple[np.ndarray, ...]] = []
+    names: list = []
+    postings = 0
     for batch in batches:
         for i in range(len(batch)):
             row = {c: np.frombuffer(batch[c][i].as_buffer(), kind) for c, kind in kinds.items()}
             at = np.minimum(np.searchsorted(known, row["words"]), len(known) - 1)
             use = np.flatnonzero(known[at] == row["words"])
-            size, last = row["size"][use], np.cumsum(row["size"], dtype=np.int64)[use]
+            size, last = row["size"][use].astype(np.int64), np.cumsum(row["size"], dtype=np.int64)[use]
+            more = int(size.sum())
+            if parts and (len(names) + len(row["length"]) > SEARCH_DOCS or postings + more > SEARCH_WORDS):
+                yield names, *_joined(parts, known, mean)
+                parts, names, postings = [], [], 0
             found = ranges(last - size, last)
-            shard = Shard(row["document"][found], row["often"][found], row["words"][use], size, row["length"], mean)
-            yield batch["names"][i].as_py(), shard, at[use]
+            parts.append((at[use], size, row["document"][found] + np.int16(len(names)), row["often"][found], row["length"]))
+            names, postings = names + batch["names"][i].as_py(), postings + more
+    if parts:
+        yield names, *_joined(parts, known, mean)
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]], known: np.ndarray, mean: float) -> tuple[Shard, np.ndarray]:
+    place, size, document, often, length = (np.concatenate(c) for c in zip(*parts, strict=True))
+    if len(parts) > 1:
+        order = np.argsort(place, kind="stable")
+        last = np.cumsum(size)[order]
+        found = ranges(last - size[order], last)
+        document, often, place = document[found], often[found], place[order]
+        size = np.add.reduceat(size[order], np.unique(place, return_index=True)[1]) if len(place) else size
+        place = np.unique(place)
+    return Shard(document, often, known[place], size, length, mean), place
 
 
 def _searcher(sent, k: int, mean: float, id_type: str):

@@ -49,13 +49,14 @@ def test_small_batches_share_a_shard():
     assert len(found[0][1].document) == sum(len(w) for w, _ in bags)
 
 
-@pytest.mark.parametrize("shard_docs", [4096, 150])
+@pytest.mark.parametrize("shard_docs", [4096, 150, 70])
 def test_products_find_what_brute_force_finds(monkeypatch, shard_docs):
     draw = np.random.default_rng(3)
     bags = _bags(draw, 700, 2000)
     bags[650] = bags[40] = bags[300]  # equal scores go to the smaller id
     monkeypatch.setattr(bm25_search, "SHARD_DOCS", shard_docs)
     monkeypatch.setattr(bm25_search, "SHARD_WORDS", shard_docs * 400)
+    monkeypatch.setattr(bm25_search, "SEARCH_DOCS", 2 * shard_docs)
     monkeypatch.setattr(bm25_search, "HELD", 50_000)  # several groups of queries
     names = draw.permutation(700)
     asked = np.arange(0, 700, 10)
